@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, token_counts
+from . import decontaminate, ngram_join, packing, token_counts
 from .session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components over three-word shingles at similarity 0.9."""
+    return ngram_join.near_duplicates(load(spark, sf_dir, "documents"), k=3, permille=900)
+
+
 def tokenizer_path(name: str) -> str:
     """Path of an installed public tokenizer file, the same on every machine."""
     import public_tokenizers
@@ -62,7 +67,7 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 
 def queries() -> dict[str, Query]:
     """Every corpus query by name."""
-    return {f.__name__: f for f in (op3_token_counts, op4_best_fit_packing, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_token_counts, op4_best_fit_packing, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
