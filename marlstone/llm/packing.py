@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -30,13 +32,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import tables, texts, written
+from .token_counts import BYTE_SYMBOLS
 
 #: Chunks of text whose ids a worker remembers.
-CHUNKS = 300_000
+CHUNKS = 500_000
 #: Parts into which the pieces of one length are dealt for numbering.
 SALTS = 64
 
 
+#: Letters whose lower case depends on what follows, or is more than one letter.
+GREEK_SIGMA, DOTTED_I = "\u03a3", "\u0130"
+
+
 class Capacity(NamedTuple):
     """Capacities of a sequence, and the weights of their residuals in the choice."""
 
@@ -48,7 +55,11 @@ class Capacity(NamedTuple):
 
 
 class ChunkIds:
-    """Ids of texts under a tokenizer that drops white space, chunk by chunk between spaces and line feeds."""
+    """Ids of texts under a tokenizer that lower-cases, drops white space and ends words, chunk by chunk.
+
+    Chunks lie between spaces and line feeds. A chunk that is a word, or a word and a full stop or comma, is made of
+    pieces that the tokenizer's model merges on their own.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -61,21 +72,54 @@ class ChunkIds:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(".,", self.encode([".", ","]), strict=True))
 
     def encode(self, some: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
+    def words(self, some: list[str]) -> list[bytes]:
+        """Ids of chunks of letters only, already in lower case: one piece each, for the merges alone."""
+        merge = self.tokenizer.model.tokenize
+        symbols = (w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_SYMBOLS) for w in some)
+        return [array("I", [t.id for t in merge(s)]).tobytes() for s in symbols]
+
+    def chunks(self, text: str) -> list[str] | None:
+        """Chunks of the text as the tokenizer's normaliser leaves it; None where that is not certain."""
+        if any(s in text for s in self.special):
+            return None
+        low = text.lower()
+        if not text.isascii() and (GREEK_SIGMA in text or DOTTED_I in text or not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low))):
+            return None
+        return low.replace("\n", " ").split(" ")
+
+    def learn(self, chunks: set[str]) -> None:
+        """Makes sure that all chunks are known."""
+        if len(self.known) + 2 * len(chunks) > CHUNKS:
+            self.known = {}
+        known = self.known
+        marked, plain, other = [], [], []
+        for c in chunks.difference(known):
+            if c.isalpha():
+                plain.append(c)
+            elif c[-1:] in self.marks and c[:-1].isalpha():
+                marked.append(c)
+                if c[:-1] not in known and c[:-1] not in chunks:
+                    plain.append(c[:-1])
+            else:
+                other.append(c)
+        plain = list(set(plain))
+        for some, encode in ((plain, self.words), (other, self.encode)):
+            for i in range(0, len(some), 4096):
+                known.update(zip(some[i : i + 4096], encode(some[i : i + 4096]), strict=True))
+        for c in marked:
+            known[c] = known[c[:-1]] + self.marks[c[-1]]
+
     def ids(self, rows: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for lo in range(0, len(rows), 64):
             some = rows[lo : lo + 64]
-            cut = [None if any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in some]
-            chunks = set().union(*(c for c in cut if c))
-            if len(self.known) + len(chunks) > CHUNKS:
-                self.known = {}
-            new = list(chunks.difference(self.known))
-            for i in range(0, len(new), 4096):
-                self.known.update(zip(new[i : i + 4096], self.encode(new[i : i + 4096]), strict=True))
+            cut = [self.chunks(t) for t in some]
+            self.learn(set().union(*(c for c in cut if c)))
             for text, chunks in zip(some, cut, strict=True):
                 yield self.encode([text])[0] if chunks is None else b"".join(map(self.known.__getitem__, chunks))
 
