@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, packing, token_counts
+from . import decontaminate, ngram_join, packing, token_counts, toxicity
 from .session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of whole texts."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages of ten words in documents."""
     found = decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
@@ -67,7 +74,7 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 
 def queries() -> dict[str, Query]:
     """Every corpus query by name."""
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_token_counts, op4_best_fit_packing, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_token_counts, op4_best_fit_packing, op7_toxicity, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
