@@ -26,6 +26,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,8 +36,12 @@ from .session import tables, texts, written
 from .textblocks import BLANK_DELIMITED, blocks, grams, mix
 
 #: Shingles in a block of a family, a set counting as LIGHTEST at least; a larger set is a block of its own.
-BLOCK = 40_000
+BLOCK = 200_000
 LIGHTEST = 300
+#: Sets carried down a trie at once.
+PROBES = 64
+#: Bits of the table that keeps the texts of no family from being shuffled; of one size for any corpus.
+BITS = 1 << 23
 #: Ratio between the bounds of size classes.
 RATIO = 1.5
 #: Segments more than needed, so that one that is equal and not empty is certain but for sets with more empty ones.
@@ -177,14 +182,20 @@ class Trie:
 
 
 def trie_join(stored: list[np.ndarray], probes: list[np.ndarray], permille: int) -> Iterator[tuple[int, int]]:
-    """Pairs (stored, probe) with 1000 x overlap >= permille x union, by one walk of the trie for all probes."""
+    """Pairs (stored, probe) with 1000 x overlap >= permille x union, by one walk of the trie for PROBES probes."""
     if not stored or not probes:
         return
+    trie = Trie(stored)
+    for first in range(0, len(probes), PROBES):
+        for i, j in _walk(trie, stored, probes[first : first + PROBES], permille):
+            yield i, first + j
+
+
+def _walk(trie: Trie, stored: list[np.ndarray], probes: list[np.ndarray], permille: int) -> Iterator[tuple[int, int]]:
     sizes = np.array([len(p) for p in probes])
     words, where = np.unique(np.concatenate(probes), return_inverse=True)
     held = np.zeros((len(words) + 1, len(probes)), dtype=np.int8)
     held[where, np.repeat(np.arange(len(probes)), sizes)] = 1
-    trie = Trie(stored)
     overlap: list[np.ndarray | None] = []
     depth: list[int] = []
     for parent, tokens, ends_here, least, most in trie.edges:
@@ -230,6 +241,23 @@ def _spanning(sets: list[np.ndarray], classes: list[int], side: list[int], permi
     return links
 
 
+def _maybe_among(ids: DataFrame, name: str) -> F.Column:
+    """False only for values of a long column that are not in ids: a table of BITS bits, sent to every task."""
+    bit = F.pmod(F.xxhash64(name), F.lit(BITS))
+    parts = ids.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32768).alias("part"))
+    table = np.zeros((BITS // 32768, 4096), dtype=np.uint8)
+    for r in parts.agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits")).collect():  # BITS / 8 bytes
+        table[r.part] = np.frombuffer(r.bits, dtype=np.uint8)
+    held = ids.sparkSession.sparkContext.broadcast(table.reshape(-1))
+
+    @F.pandas_udf("boolean")
+    def is_set(at: pd.Series) -> pd.Series:
+        i = at.to_numpy(dtype=np.int64)
+        return pd.Series((held.value[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1)
+
+    return is_set(F.coalesce(bit, F.lit(0)))
+
+
 def _links(docs: DataFrame, members: DataFrame, k: int, permille: int) -> DataFrame:
     """a, b: links that span the classes of each family. members: family, block, cls, doc_id, n_shingles."""
     bounds = members.groupBy("family", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
@@ -241,8 +269,8 @@ def _links(docs: DataFrame, members: DataFrame, k: int, permille: int) -> DataFr
     either = pairs.select("family", unit.alias("unit"), F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     dealt = members.select("family", "block", "cls", "doc_id").join(either, ["family", "block"]).withColumn("side", F.when(F.col("block") == F.col("unit.i"), 0).otherwise(1))
     per_doc = dealt.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("family", "unit", "side")).alias("units"))  # at most the family's blocks
-    # written, so that Spark knows its size and sends it to the texts only where it is small
-    held = docs.where("doc_id IS NOT NULL").join(written(per_doc, "units"), "doc_id")
+    per_doc = written(per_doc, "units")
+    held = docs.where(_maybe_among(per_doc, "doc_id")).join(per_doc.hint("merge"), "doc_id")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
