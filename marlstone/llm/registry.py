@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, packing, token_counts, toxicity
+from . import decontaminate, line_dedup, ngram_join, packing, token_counts, toxicity, url_filter
 from .session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,50 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(load(spark, sf_dir, "documents"), k=3, permille=900)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat in windows of three."""
+    cleaned = line_dedup.without_repeated_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, i, l[i + 1] || chr(10) || l[i + 2] || chr(10) || l[i + 3] AS g FROM (SELECT doc_id, l, unnest(generate_series(0, len(l) - 3)) AS i FROM d WHERE len(l) >= 3)),
+v AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM w WHERE regexp_matches(g, '[^\s]')),
+r AS (SELECT DISTINCT doc_id, i + o AS p FROM v, (VALUES (0), (1), (2)) AS t(o) WHERE n > 1),
+x AS (SELECT doc_id, list(p) AS ps FROM r GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE CAST(len(l) AS BIGINT) END AS n_lines, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN ps IS NULL THEN coalesce(text, '') ELSE coalesce(array_to_string([l[i + 1] FOR i IN range(len(l)) IF NOT list_contains(ps, i)], chr(10)), '') END) AS text_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
+#: Rules of the URL query: fixed values.
+URL_RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages; hosts of which the rules block more pages than they allow are listed."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES, url_filter.hosts_blocked_by_rules(pages, URL_RULES))
+
+
+OP5_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(rhost, rpath, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+m AS (SELECT p.*, rhost || rpath AS rule, v FROM p LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
+b AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM m GROUP BY page_id, host, path),
+h AS (SELECT host FROM b GROUP BY host HAVING sum(CASE v WHEN 'block' THEN 1 WHEN 'allow' THEN -1 ELSE 0 END) > 0)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FROM h) THEN 'block' ELSE 'allow' END) AS verdict FROM b
+"""
+
+
 def tokenizer_path(name: str) -> str:
     """Path of an installed public tokenizer file, the same on every machine."""
     import public_tokenizers
@@ -74,9 +118,9 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 
 def queries() -> dict[str, Query]:
     """Every corpus query by name."""
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_token_counts, op4_best_fit_packing, op7_toxicity, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_token_counts, op4_best_fit_packing, op5_url_filter, op7_toxicity, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the corpus queries that SQL can express on whole tables."""
-    return {"op9_decontaminate": OP9_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op9_decontaminate": OP9_SQL}
