@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_join, packing, token_counts, toxicity, url_filter
+from . import decontaminate, license_scan, line_dedup, ngram_join, packing, pii, token_counts, toxicity, url_filter
 from .session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and texts in documents."""
+    return license_scan.scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in documents."""
+    found = pii.find_personal_data(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *(pii.count_of(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages of ten words in documents."""
     found = decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
@@ -118,7 +129,7 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 
 def queries() -> dict[str, Query]:
     """Every corpus query by name."""
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_token_counts, op4_best_fit_packing, op5_url_filter, op7_toxicity, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_token_counts, op4_best_fit_packing, op5_url_filter, op7_toxicity, op8_license_scan, op9_decontaminate, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
