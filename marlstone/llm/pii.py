@@ -75,15 +75,22 @@ def matches(text: str, pattern: str) -> Column:
     """Array of (start, end, word) in code points of all matches of a pattern, leftmost and non-overlapping."""
     found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
     between = F.split(F.col(text), pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,word:string>>").alias("out"))
+    # starts are gathered in a string, which a text of many matches extends at little cost
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("starts"))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["word"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["word"].alias("word")))).alias("out"))
+        return F.struct((start + F.length(x["word"])).alias("at"), F.concat(acc["starts"], F.lit(","), start.cast("string")).alias("starts"))
 
     pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("word"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(zero["out"])
+    starts = F.split(F.aggregate(pairs, zero, step, lambda acc: F.substring(acc["starts"], 2, (1 << 31) - 1)), ",")
+
+    def span(x):
+        start = x["start"].cast("int")
+        return F.struct(start.alias("start"), (start + F.length(x["word"])).alias("end"), x["word"].alias("word"))
+
+    spans = F.transform(F.arrays_zip(starts.alias("start"), found.alias("word")), span)
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int,word:string>>"))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:

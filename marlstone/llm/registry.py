@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, ngram_join, packing, pii, token_counts, toxicity, url_filter
+from . import decontaminate, license_scan, line_dedup, ngram_join, order_minhash, packing, pii, token_counts, toxicity, url_filter
 from .session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of texts and of edited texts, and their likeness."""
+    return order_minhash.edits_and_neighbours(load(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of whole texts."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -129,7 +134,7 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 
 def queries() -> dict[str, Query]:
     """Every corpus query by name."""
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_token_counts, op4_best_fit_packing, op5_url_filter, op7_toxicity, op8_license_scan, op9_decontaminate, op10_pii)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_token_counts, op4_best_fit_packing, op5_url_filter, op6_order_minhash, op7_toxicity, op8_license_scan, op9_decontaminate, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
