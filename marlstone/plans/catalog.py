@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from marlstone.plans import panel_queries, stats_queries  # noqa: F401  they register their queries
+from marlstone.plans.registry import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
     """Every registered query by name."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    return dict(ORACLES)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly returns of the price panel."""
+    return panel_queries.panel_returns(spark, sf_dir)
