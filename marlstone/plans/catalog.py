@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import panel_queries, stats_queries  # noqa: F401  they register their queries
+from marlstone.operators import backtest, risk
+from marlstone.plans import frames, panel_queries, risk_queries, stats_queries  # noqa: F401  they register their queries
 from marlstone.plans.registry import ORACLES, QUERIES, Query
 
 
@@ -19,5 +20,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly returns of the price panel."""
-    return panel_queries.panel_returns(spark, sf_dir)
+    """Metric row of a held, regularly rebalanced portfolio on monthly rows (the smoke tables hold few full weeks)."""
+    rows = frames.replication(spark, sf_dir, "month")
+    return risk.harness_metrics(backtest.evaluate_weights(rows, risk_queries.schedule(rows), frames.NAMES, var_rows=12))
