@@ -1,27 +1,27 @@
 """N-gram Jaccard join: near-duplicate classes of texts whose shingle sets have at least a given Jaccard similarity.
 
-A set is the sorted array of the hashes of a text's distinct shingles; hash order is the global order. Sets that
-are equal form one class, whatever the number of copies. Classes that may link are brought together by an exact
-cut of the hash range into segments: two sets of similarity t differ in at most a number of shingles that follows
-from their sizes, so of that many segments plus one at least one is equal in both. A segment holds several
-shingles, so a passage that many unrelated texts share does not bring those together, and one that is frequent
-needs no place of its own in the order. Texts that share a segment with each other, directly or by way of others,
-form a family; most texts have none.
-
-Inside a family the sets are joined through a prefix tree: sets in global order are laid into a compressed trie,
-and all sets of a block are carried down it at once. The overlap with an edge is added to that of the path above,
-which all sets below share, and a subtree is left as soon as no set can reach the required overlap with what
-remains of it and of the set. Large families are dealt into blocks by size and every pair of blocks that may hold a
-link is a unit of work, so that no task holds more than two blocks. Units return links that span their classes, not
-all pairs. Components of these links are the result.
-
-Cost: one pass for sets, one for segments, one join of the texts that are in families. Only the family's sets leave
-the scan. A family of m shingles in different sets that all share segments makes (m / BLOCK)**2 / 2 units.
+A set holds the hashes of a text's distinct shingles. Sets that are equal form one class, whatever the number of
+copies. Two sets can only link if they share a shingle of both prefixes in one global order: the first
+n - ceil(t n) + 1 of each. The order here begins with the shingles of the lowest part of the hash range, rarest
+first, and goes on with the others by hash. Only that part, half again as large as a prefix and more, has to be
+counted over the corpus, and a passage that many unrelated texts share drops to the end of it, out of their
+prefixes. Texts that share a prefix shingle, directly or by way of others, form a family; most texts have none.
+
+Inside a family the sets are joined through a prefix tree: sets in hash order are laid into a compressed trie, and
+all sets of a block are carried down it at once. The overlap with an edge is added to that of the path above, which
+all sets below share, and a subtree is left as soon as no set can reach the required overlap with what remains of it
+and of the set. Large families are dealt into blocks by size and every pair of blocks that may hold a link is a unit
+of work, so that no task holds more than two blocks. Units return links that span their classes, not all pairs.
+Components of these links are the result.
+
+Cost: three passes over the texts (classes; counts of the low part; prefixes among shared shingles) and a join of the
+texts that are in families. Counts combine before the shuffle, and the join of shared shingles is one that Spark can
+split, so a shingle of a third of all texts is no load for one task. A family of m shingles in different sets makes
+(m / BLOCK)**2 / 2 units.
 """
 
 from __future__ import annotations
 
-import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -42,11 +42,11 @@ LIGHTEST = 300
 PROBES = 64
 #: Bits of the table that keeps the texts of no family from being shuffled; of one size for any corpus.
 BITS = 1 << 23
-#: Ratio between the bounds of size classes.
-RATIO = 1.5
-#: Segments more than needed, so that one that is equal and not empty is certain but for sets with more empty ones.
-SPARE = 2
-#: Set hashes that a task remembers, so that copies give their segments once a task.
+#: Bits of the table that keeps shingles of one set only out of the shuffle; of one size for any corpus.
+SHARED_BITS = 1 << 26
+#: Part of the hash range that is ordered by rarity, in lengths of a prefix.
+REGION = 1.6
+#: Set hashes that a task remembers, so that copies give their shingles once a task.
 REMEMBERED = 50_000
 
 
@@ -62,53 +62,23 @@ def set_hash(own: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(mix(own ^ np.uint64(0xA5A5A5A55A5A5A5A))) + np.uint64(len(own))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def size_classes(n: int, permille: int) -> list[int]:
-    """Size classes in which a set of n shingles seeks partners: its own, and those below where a partner may lie."""
-    own = max(0, int(math.log(n, RATIO)))
-    while class_bound(own + 1) <= n:
-        own += 1
-    while class_bound(own) > n:
-        own -= 1
-    out = [own]
-    while out[-1] and n * permille <= (class_bound(out[-1]) - 1) * 1000:
-        out.append(out[-1] - 1)
-    return out
+def prefix_length(n: int, permille: int) -> int:
+    """Shingles of which two linked sets, one of them of n, share at least one."""
+    return n - -(-permille * n // 1000) + 1
 
 
-def class_bound(c: int) -> int:
-    """Least size in a class."""
-    return math.ceil(RATIO**c)
+def region_end(permille: int) -> int:
+    """Hashes below this are ordered by rarity."""
+    return min((1 << 64) - 1, int(REGION * (1000 - permille) / 1000 * (1 << 64)))
 
 
-def segment_count(c: int, permille: int) -> int:
-    """Segments of a size class: the largest possible difference of two linked sets, and SPARE + 1; 0 if only equal sets link."""
-    most = class_bound(c + 1) - 1
-    both = most + most * 1000 // permille  # with the largest partner
-    differ = both * (1000 - permille) // (1000 + permille)
-    return differ + 1 + SPARE if differ else 0
+def prefix_candidates(own: np.ndarray, permille: int) -> tuple[np.ndarray, int]:
+    """Shingles that may be in the set's prefix, and the prefix length less the number of those in the region.
 
-
-def required(both: int, permille: int) -> int:
-    """Least overlap of two sets of `both` shingles together at which 1000 x overlap >= permille x union."""
-    return -(-permille * both // (1000 + permille))
-
-
-def segment_keys(own: np.ndarray, permille: int) -> np.ndarray:
-    """Keys of the set's segments. Empty segments give keys only where a set has more of them than SPARE."""
-    keys = [np.zeros(0, dtype=np.uint64)]
-    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(own + np.uint64(0x51ED270B1)), dtype=np.uint64)))
-    for c in size_classes(len(own), permille):
-        m = segment_count(c, permille)
-        if not m:
-            continue
-        ends = np.searchsorted(own, np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m))
-        ends = np.concatenate(([0], ends, [len(own)]))
-        part = total[ends[1:]] - total[ends[:-1]]
-        name = np.arange(m, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(c * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        key = mix(part + mix(name + np.uint64(1)))
-        empty = ends[1:] == ends[:-1]
-        keys.append(key if empty.sum() > SPARE else key[~empty])
-    return np.concatenate(keys)
+    Where the region holds fewer than a prefix, the next by hash are added.
+    """
+    length, low = prefix_length(len(own), permille), int(np.searchsorted(own, np.uint64(region_end(permille))))
+    return own[: max(low, length)], length - low
 
 
 def _sets(batch_column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -131,24 +101,76 @@ def _identities(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(identify, "doc_id long, n_shingles long, cls long")
 
 
-def _segments(docs: DataFrame, k: int, permille: int) -> DataFrame:
-    """key, cls: the segments of the sets; a copy's are left out where its task remembers having given them."""
+def _candidates(docs: DataFrame, k: int, permille: int, table=None) -> DataFrame:
+    """token, cls, gap of the sets' prefix candidates, with a table of bits only those whose bit is set.
+
+    A copy's are left out where its task remembers having given them.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: OrderedDict[int, None] = OrderedDict()
         for batch in batches:
-            keys, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            tokens, classes, gaps = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for _, own in _sets(batch.column(0), k):
                 if not len(own) or (cls := set_hash(own)) in given:
                     continue
                 given[cls] = None
                 if len(given) > REMEMBERED:
                     given.popitem(last=False)
-                keys.append(segment_keys(own, permille))
-                classes.append(np.full(len(keys[-1]), cls))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes))], names=["key", "cls"])
+                some, gap = prefix_candidates(own, permille)
+                if table is not None:
+                    some = some[table.value.has(some)]
+                tokens.append(some)
+                classes.append(np.full(len(some), cls))
+                gaps.append(np.full(len(some), gap, dtype=np.int32))
+            columns = [np.concatenate(tokens).view(np.int64), np.concatenate(classes), np.concatenate(gaps)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "cls", "gap"])
+
+    return docs.select("text").mapInArrow(cut, "token long, cls long, gap int")
+
+
+class BitTable:
+    """Bits of hashes; one size for any corpus, so it may hold more than was put in."""
 
-    return docs.select("text").mapInArrow(cut, "key long, cls long")
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+        self.shift = np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = (mix(hashes) >> self.shift).astype(np.int64)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def bit_table(keys: DataFrame, name: str, size: int) -> BitTable:
+    """Table of `size` bits of a long column: each task gives its bits in parts, and parts are combined before they meet."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.uint64(64 - size.bit_length() + 1)
+        for batch in batches:
+            at = np.unique((mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> shift).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 15), pa.array(at & 32767)], names=["part", "bit"])
+
+    marked = keys.where(F.col(name).isNotNull()).select(name).mapInArrow(mark, "part long, bit long")
+    table = np.zeros((max(1, size // 32768), 4096), dtype=np.uint8)
+    for r in marked.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # size / 8 bytes
+        table[r.part] = np.frombuffer(r.bits, dtype=np.uint8)
+    return BitTable(table.reshape(-1))
+
+
+def _families(docs: DataFrame, k: int, permille: int) -> DataFrame:
+    """node, component: classes that share prefix shingles, and the family they belong to."""
+    spark = docs.sparkSession
+    counted = _candidates(docs, k, permille).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("cls").alias("least"), F.max("cls").alias("most"))
+    shared = written(counted.where("least < most").select("token", "df", "least"), "shared")
+    table = spark.sparkContext.broadcast(bit_table(shared, "token", SHARED_BITS))
+    found = _candidates(docs, k, permille, table).join(shared, "token")
+    # as signed numbers the region's hashes are those from 0 on, then those from the least on, up to its end
+    end = region_end(permille)
+    low = (F.col("token") >= 0) & (F.col("token") < end) if end < 1 << 63 else (F.col("token") >= 0) | (F.col("token") < end - (1 << 64))
+    of = Window.partitionBy("cls")
+    ranked = found.withColumn("low", low).withColumns({"c": F.count_if("low").over(of), "rank": F.row_number().over(of.orderBy(F.desc("low"), "df", "token"))})
+    edges = ranked.where("(NOT low OR rank <= gap + c) AND cls <> least").select("cls", "least").distinct()
+    return written(connected_components(edges, "cls", "least"), "families")
 
 
 class Trie:
@@ -243,19 +265,13 @@ def _spanning(sets: list[np.ndarray], classes: list[int], side: list[int], permi
 
 def _maybe_among(ids: DataFrame, name: str) -> F.Column:
     """False only for values of a long column that are not in ids: a table of BITS bits, sent to every task."""
-    bit = F.pmod(F.xxhash64(name), F.lit(BITS))
-    parts = ids.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32768).alias("part"))
-    table = np.zeros((BITS // 32768, 4096), dtype=np.uint8)
-    for r in parts.agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits")).collect():  # BITS / 8 bytes
-        table[r.part] = np.frombuffer(r.bits, dtype=np.uint8)
-    held = ids.sparkSession.sparkContext.broadcast(table.reshape(-1))
+    held = ids.sparkSession.sparkContext.broadcast(bit_table(ids, name, BITS))
 
     @F.pandas_udf("boolean")
-    def is_set(at: pd.Series) -> pd.Series:
-        i = at.to_numpy(dtype=np.int64)
-        return pd.Series((held.value[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1)
+    def is_set(value: pd.Series) -> pd.Series:
+        return pd.Series(held.value.has(value.to_numpy(dtype=np.int64).view(np.uint64)))
 
-    return is_set(F.coalesce(bit, F.lit(0)))
+    return is_set(F.coalesce(F.col(name), F.lit(0)))
 
 
 def _links(docs: DataFrame, members: DataFrame, k: int, permille: int) -> DataFrame:
@@ -308,9 +324,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, permille: int = 800) -> DataFra
     docs = texts(docs)
     tables(docs.sparkSession)
     known = written(_identities(docs, k), "identities")
-    at_key = Window.partitionBy("key")
-    edges = _segments(docs, k, permille).withColumn("least", F.min("cls").over(at_key)).where("cls <> least").select("cls", "least").distinct()
-    families = written(connected_components(edges, "cls", "least"), "families")
+    families = _families(docs, k, permille)
     classes = known.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
     sofar = F.sum(F.greatest("n_shingles", F.lit(LIGHTEST))).over(Window.partitionBy("component").orderBy("n_shingles", "cls"))
     members = families.join(classes, families.node == classes.cls).select(
