@@ -18,6 +18,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .session import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Diagonals this close belong to one copy.
@@ -83,7 +85,7 @@ def license_spans(docs: DataFrame, templates: list[Template]) -> DataFrame:
     places = F.broadcast(template_places(docs.sparkSession, templates))  # TEMPLATE_PAIRS rows at most
     votes = _pairs(source, "doc_id", "h").join(places, "gram")
     key = ["doc_id", "h", "template", "label", "whole", "pairs"]
-    diagonals = votes.groupBy(*key, (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"))
+    diagonals = written(votes.groupBy(*key, (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places")), "diagonals")
     exact = diagonals.where(F.col("whole") & (F.size("places") == F.col("pairs"))).select(
         "doc_id", "h", "label", "whole", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("pairs")).alias("last"), F.lit(1.0).alias("score")
     )
