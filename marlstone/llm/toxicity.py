@@ -289,8 +289,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds score, 0 to 1, to all columns of the documents."""
+    """Adds score, 0 to 1, to all columns of the documents; a column of that name gives way."""
     tables(docs.sparkSession)
+    docs = docs.drop("score")
     names = docs.columns
     held = docs.sparkSession.sparkContext.broadcast(model)  # VOTERS numbers
 
@@ -308,4 +309,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The document rows, all columns, that score below the threshold."""
-    return score(docs.drop("score"), fit(docs, labels)).where(F.col("score") < threshold).drop("score")
+    return score(docs, fit(docs, labels)).where(F.col("score") < threshold).drop("score")
