@@ -6,7 +6,8 @@ every identifier-like token (one with a digit or an @) is an instance, and the w
 shape is its lexical pattern. Patterns are scored on the graph of patterns and instances: how surely what they
 precede is a known identifier, times the logarithm of how many different ones; instances by the best of their
 patterns in different texts. Instances that score high become known and the graph is scored again. What is known at
-the end and lies outside every base span is added. All steps are DataFrame operations; a pattern or an instance that
+the end and lies outside every base span is added; what has the form of a base kind and fails its check counts
+against a pattern and is never added. All steps are DataFrame operations; a pattern or an instance that
 a third of all rows share is summed before the shuffle.
 
 Cases: null and empty texts have no spans; repeated rows get equal results; empty tables give no rows; runs of
@@ -35,6 +36,8 @@ SUPPORT = 5
 #: Least score of an instance: precision times the base-2 logarithm of the pattern's known identifiers.
 SCORE = 2.0
 
+#: A whole token in the form of an address, a card or a phone number.
+_FORMED = r"^(?:[0-9](?:[\x20-]?[0-9])++|[0-9]++(?:\.[0-9]++){3}|\+[0-9][\x20().0-9-]+[0-9])$"
 _TOKEN = r"(?<!\S)\S*?[0-9@]\S*+"
 
 
@@ -112,18 +115,25 @@ def _listed(kind: str) -> Column:
 
 
 def _instances(based: DataFrame) -> DataFrame:
-    """doc_id, h, start, end, word, left, shape, kind (null if not in a base span) of identifier-like tokens."""
+    """doc_id, h, start, end, word, left, shape, kind, formed of identifier-like tokens.
+
+    kind is that of the base span that the token is, NULL if it meets none; a token that is part of a base span is
+    no instance. formed marks tokens in the form of a base kind: those without a kind have failed its check.
+    """
     kinds = [_listed(k) for k in KINDS]
     own = based.where(F.col("text").rlike("[0-9@]")).select("doc_id", F.xxhash64("text").alias("h"), "text", F.concat(*kinds).alias("known"), matches("text", _TOKEN).alias("token"))
     own = own.select("doc_id", "h", "text", "known", F.explode("token").alias("t"))
     lead = F.length(F.regexp_extract("t.word", r"^[^A-Za-z0-9+@]*", 0))
     word = F.regexp_replace(F.regexp_replace("t.word", r"^[^A-Za-z0-9+@]+", ""), r"[^A-Za-z0-9]+$", "")
     own = own.withColumns({"word": word, "start": F.col("t.start") + lead}).withColumn("end", F.col("start") + F.length("word")).where("word <> ''")
-    meets = F.filter("known", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
+    own = own.withColumn("meets", F.filter("known", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
+    whole = F.filter("meets", lambda s: (s["start"] == F.col("start")) & (s["end"] == F.col("end")))
+    own = own.withColumn("kind", F.get(whole, F.lit(0))["kind"]).where("kind IS NOT NULL OR size(meets) = 0")
     before = F.substring(F.col("text"), F.greatest(F.col("t.start") - 40, F.lit(0)) + 1, F.least(F.col("t.start"), F.lit(40)))
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("word", "[0-9]+", "9"), r"\p{L}+", "a"), r"(?:9a|a9)[9a]*", "x")
+    mixed = F.when(F.col("word").rlike(r"\p{L}"), "mixed").otherwise("digits")
+    shape = F.when(F.contains("word", F.lit("@")), "@").otherwise(F.concat(F.when(F.col("word").startswith("+"), "+").otherwise(""), mixed))
     return own.select(
-        "doc_id", "h", "start", "end", "word", F.lower(F.regexp_extract(before, r"(\S+)\s*$", 1)).alias("left"), shape.alias("shape"), F.get(meets, F.lit(0))["kind"].alias("kind")
+        "doc_id", "h", "start", "end", "word", F.lower(F.regexp_extract(before, r"(\S+)\s*$", 1)).alias("left"), shape.alias("shape"), "kind", F.col("word").rlike(_FORMED).alias("formed")
     )
 
 
@@ -142,7 +152,7 @@ def bootstrap(based: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         named = pairs.join(strong, ["left", "shape"]).groupBy("word").agg(F.max(F.struct("score", "said")).alias("best")).where(F.col("best.score") >= SCORE)
         grown = named.select("word", F.col("best.said").alias("found")).join(known, "word", "full")
         known = written(grown.select("word", F.coalesce("known", "found").alias("known")), "known")
-    return every.where("kind IS NULL").join(known, "word").select("doc_id", "h", F.col("known").alias("kind"), "start", "end")
+    return every.where("kind IS NULL AND NOT formed").join(known, "word").select("doc_id", "h", F.col("known").alias("kind"), "start", "end")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
