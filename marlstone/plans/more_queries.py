@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import expr as E
 from marlstone.operators import backtest, learn, metrics, panel, recommend, risk, segment, stats, warning
-from marlstone.plans import client_queries, frames, warning_queries
+from marlstone.plans import client_queries, frames, risk_queries, warning_queries
 from marlstone.plans.registry import query
 from marlstone.sources import tables
 from marlstone.streaming import events as streams
@@ -183,3 +183,11 @@ def clients_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers that no order names."""
     orders = frames.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return frames.table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
+
+
+@query(f"WITH {risk_queries.WEEKLY} SELECT date, round(tc + CASE WHEN k % 13 = 0 THEN ge * 0.0002::DOUBLE ELSE 0 END, 8) AS tc, round(net - CASE WHEN k % 13 = 0 THEN ge * 0.0002::DOUBLE ELSE 0 END, 6) AS net FROM weekly")
+def risk_roll_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs with those of rolling the exposure every thirteenth week."""
+    rows = frames.replication(spark, sf_dir)
+    weekly = backtest.evaluate_weights(rows, risk_queries.schedule(rows), N, roll_bps=2.0)
+    return weekly.select("date", _R("tc", 8).alias("tc"), _R("net").alias("net"))
