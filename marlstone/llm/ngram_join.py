@@ -7,6 +7,11 @@ first, and goes on with the others by hash. Only that part, half again as large
 counted over the corpus, and a passage that many unrelated texts share drops to the end of it, out of their
 prefixes. Texts that share a prefix shingle, directly or by way of others, form a family; most texts have none.
 
+Families too large for one block are divided by a second condition that linked sets meet: the hash range is cut into
+a few segments more than two linked sets can have shingles of one only, so some of these segments are equal in both.
+Sets of a family that share an equal segment, directly or by way of others, stay together; those that share none
+have no links. Texts of long common passages meet in prefixes, but hardly in segments of several shingles.
+
 Inside a family the sets are joined through a prefix tree: sets in hash order are laid into a compressed trie, and
 all sets of a block are carried down it at once. The overlap with an edge is added to that of the path above, which
 all sets below share, and a subtree is left as soon as no set can reach the required overlap with what remains of it
@@ -14,14 +19,15 @@ and of the set. Large families are dealt into blocks by size and every pair of b
 of work, so that no task holds more than two blocks. Units return links that span their classes, not all pairs.
 Components of these links are the result.
 
-Cost: three passes over the texts (classes; counts of the low part; prefixes among shared shingles) and a join of the
-texts that are in families. Counts combine before the shuffle, and the join of shared shingles is one that Spark can
+Cost: four passes over the texts (classes; counts of the low part; prefixes among shared shingles; segments of large
+families) and a join of the texts that are in families. Counts combine before the shuffle, and the join of shared shingles is one that Spark can
 split, so a shingle of a third of all texts is no load for one task. A family of m shingles in different sets makes
 (m / BLOCK)**2 / 2 units.
 """
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -46,6 +52,12 @@ BITS = 1 << 23
 SHARED_BITS = 1 << 26
 #: Part of the hash range that is ordered by rarity, in lengths of a prefix.
 REGION = 1.6
+#: Ratio between the bounds of size classes, in which segments are equal for both sets of a pair.
+RATIO = 1.5
+#: Segments more than needed, so that one that is equal and not empty is certain but for sets with more empty ones.
+SPARE = 2
+#: Ratio between the sizes of sets in one bucket of a large family.
+BUCKET = 1.1
 #: Set hashes that a task remembers, so that copies give their shingles once a task.
 REMEMBERED = 50_000
 
@@ -81,6 +93,49 @@ def prefix_candidates(own: np.ndarray, permille: int) -> tuple[np.ndarray, int]:
     return own[: max(low, length)], length - low
 
 
+def class_bound(c: int) -> int:
+    """Least size in a size class."""
+    return math.ceil(RATIO**c)
+
+
+def size_classes(n: int, permille: int) -> list[int]:
+    """Size classes in which a set of n shingles seeks partners: its own, and those below where a partner may lie."""
+    own = max(0, int(math.log(n, RATIO)))
+    while class_bound(own + 1) <= n:
+        own += 1
+    while class_bound(own) > n:
+        own -= 1
+    out = [own]
+    while out[-1] and n * permille <= (class_bound(out[-1]) - 1) * 1000:
+        out.append(out[-1] - 1)
+    return out
+
+
+def segment_count(c: int, permille: int) -> int:
+    """Segments of a size class: the largest possible difference of two linked sets, and SPARE + 1; 0 if only equal sets link."""
+    most = class_bound(c + 1) - 1
+    both = most + most * 1000 // permille  # with the largest partner
+    differ = both * (1000 - permille) // (1000 + permille)
+    return differ + 1 + SPARE if differ else 0
+
+
+def segment_keys(own: np.ndarray, permille: int) -> np.ndarray:
+    """Keys of the set's segments. Empty segments give keys only where a set has more of them than SPARE."""
+    keys = [np.zeros(0, dtype=np.uint64)]
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(own + np.uint64(0x51ED270B1)), dtype=np.uint64)))
+    for c in size_classes(len(own), permille):
+        m = segment_count(c, permille)
+        if not m:
+            continue
+        ends = np.searchsorted(own, np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m))
+        ends = np.concatenate(([0], ends, [len(own)]))
+        name = np.arange(m, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(c * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        key = mix(total[ends[1:]] - total[ends[:-1]] + mix(name + np.uint64(1)))
+        empty = ends[1:] == ends[:-1]
+        keys.append(key if empty.sum() > SPARE else key[~empty])
+    return np.concatenate(keys)
+
+
 def _sets(batch_column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
     for b in blocks(batch_column, BLANK_DELIMITED):
         for i in range(b.n):
@@ -173,6 +228,49 @@ def _families(docs: DataFrame, k: int, permille: int) -> DataFrame:
     return written(connected_components(edges, "cls", "least"), "families")
 
 
+def _divided(docs: DataFrame, members: DataFrame, k: int, permille: int) -> DataFrame:
+    """family, cls of the members (family, cls) that share a segment with others of their family, in smaller families."""
+    held = docs.sparkSession.sparkContext.broadcast(bit_table(members, "cls", BITS))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: OrderedDict[int, None] = OrderedDict()
+        for batch in batches:
+            keys, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for _, own in _sets(batch.column(0), k):
+                if not len(own) or (cls := set_hash(own)) in given or not held.value.has(np.array([cls]).view(np.uint64))[0]:
+                    continue
+                given[cls] = None
+                if len(given) > REMEMBERED:
+                    given.popitem(last=False)
+                keys.append(segment_keys(own, permille))
+                classes.append(np.full(len(keys[-1]), cls))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes))], names=["key", "cls"])
+
+    keyed = written(docs.select("text").mapInArrow(cut, "key long, cls long").join(members, "cls").select("family", "key", "cls"), "segments")
+    shared = keyed.groupBy("family", "key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most")
+    edges = keyed.join(shared, ["family", "key"]).where("cls <> least").select("cls", "least").distinct()
+    return connected_components(edges, "cls", "least").select(F.col("component").alias("family"), F.col("node").alias("cls"))
+
+
+def _members(docs: DataFrame, classes: DataFrame, k: int, permille: int) -> DataFrame:
+    """family, block, cls, doc_id, n_shingles of all classes that may link. classes: cls, doc_id, n_shingles."""
+    weight = F.sum(F.greatest("n_shingles", F.lit(LIGHTEST)))
+    families = _families(docs, k, permille).select(F.col("component").alias("family"), F.col("node").alias("cls"))
+    sized = written(families.join(classes, "cls"), "sized")
+    heavy = sized.groupBy("family").agg(weight.alias("weight")).where(F.col("weight") > BLOCK).select("family")
+    large = written(sized.join(heavy, "family", "left_semi").select("family", "cls"), "large")
+    small = sized.join(heavy, "family", "left_anti")
+    divided = _divided(docs, large, k, permille).join(classes, "cls").select(*small.columns)
+    bucket = F.floor(F.log(BUCKET, "n_shingles")).cast("int")
+    every = written(small.unionByName(divided), "families").withColumn("bucket", bucket)
+    by_family = every.groupBy("family").agg(weight.alias("weight"))
+    by_bucket = every.groupBy("family", "bucket").agg(F.ceil(weight / BLOCK).cast("int").alias("parts"))
+    # blocks in the order of size: those of a bucket, numbered from a start of its own
+    block = F.when(F.col("weight") <= BLOCK, 0).otherwise(F.col("bucket") * (1 << 20) + F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    dealt = every.join(by_family, "family").join(by_bucket, ["family", "bucket"])
+    return dealt.select("family", block.alias("block"), "cls", "doc_id", "n_shingles")
+
+
 class Trie:
     """Compressed prefix tree of sets, as edges in the order of a walk: parent edge, tokens, sets that end there."""
 
@@ -324,12 +422,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, permille: int = 800) -> DataFra
     docs = texts(docs)
     tables(docs.sparkSession)
     known = written(_identities(docs, k), "identities")
-    families = _families(docs, k, permille)
     classes = known.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
-    sofar = F.sum(F.greatest("n_shingles", F.lit(LIGHTEST))).over(Window.partitionBy("component").orderBy("n_shingles", "cls"))
-    members = families.join(classes, families.node == classes.cls).select(
-        F.col("component").alias("family"), F.floor(sofar / BLOCK).cast("int").alias("block"), "cls", "doc_id", "n_shingles"
-    )
+    members = _members(docs, classes, k, permille)
     links = _links(docs, written(members, "members"), k, permille)
     linked = written(connected_components(links), "linked")
     of = known.join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("group", F.coalesce("component", "cls"))
