@@ -90,6 +90,23 @@ def test_ngram_join(spark, odd, k, permille):
     assert ngram_join.near_duplicates(frame(spark, rows).limit(0), k, permille).count() == 0
 
 
+def test_ngram_join_with_small_blocks(spark, monkeypatch):
+    """Families beyond one block are divided by segments and joined in many units, with the same result."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 2000)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 8])):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(1000)}"
+        rows.append((i, " ".join(own)))
+        rows.append((1000 + i, " ".join(passage + [f"x{rng.randrange(10**6)}" for _ in range(20)])))
+    got = ngram_join.near_duplicates(frame(spark, rows), 5, 800).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 5, 800)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
