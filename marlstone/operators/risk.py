@@ -78,7 +78,7 @@ def blotter(weights: DataFrame, by: str, names: list[str], bps: float = COST_BPS
     return rows.withColumn("execution_tc", cost)
 
 
-def harness_metrics(weekly: DataFrame, by: str = "scenario") -> DataFrame:
+def evaluator_metrics(weekly: DataFrame, by: str = "scenario") -> DataFrame:
     """The evaluator's metrics by scenario, from weekly rows with gross, net, target, ge, var, turnover, tc and rebalanced.
 
     Tracking error with n - 1; information ratio on gross returns, 0 where undefined; correlation of net returns;

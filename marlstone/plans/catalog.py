@@ -22,4 +22,4 @@ def oracle_sql() -> dict[str, str]:
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric row of a held, regularly rebalanced portfolio on monthly rows (the smoke tables hold few full weeks)."""
     rows = frames.replication(spark, sf_dir, "month")
-    return risk.harness_metrics(backtest.evaluate_weights(rows, risk_queries.schedule(rows), frames.NAMES, var_rows=12))
+    return risk.evaluator_metrics(backtest.evaluate_weights(rows, risk_queries.schedule(rows), frames.NAMES, var_rows=12))

@@ -57,9 +57,9 @@ def _mdd(side: str) -> str:
  round(avg(net) * 52 / (stddev_samp(net) * sqrt(52)), 5) AS sharpe, round(avg(CASE WHEN sign(net) = sign(target) THEN 1.0 ELSE 0.0 END), 6) AS hit_ratio, round(sum(tc) * 10000, 4) AS tc_bps_total,
  CAST(sum(CASE WHEN rebalanced THEN 1 ELSE 0 END) AS BIGINT) AS n_rebalances, CAST(count(*) FILTER (WHERE ge > 2.0 + 1e-10) AS BIGINT) AS ge_breaches, CAST(count(*) FILTER (WHERE var > 0.2::DOUBLE + 1e-10) AS BIGINT) AS var_breaches, round({_mdd('net')}, 5) AS mdd FROM weekly"""
 )
-def risk_harness_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def risk_evaluator_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluator's metric row."""
-    own = risk.harness_metrics(weekly(spark, sf_dir))
+    own = risk.evaluator_metrics(weekly(spark, sf_dir))
     five = ["ir", "te", "net_ir", "rho", "beta", "avg_var", "max_var", "gross_return", "net_return", "net_vol", "sharpe", "mdd"]
     return own.select(
         "n_weeks", *(_R(c, 5).alias(c) for c in five), *(_R(c).alias(c) for c in ("avg_ge", "max_ge", "turnover", "hit_ratio")), _R("tc_bps_total", 4).alias("tc_bps_total"), "n_rebalances", "ge_breaches", "var_breaches"
@@ -149,7 +149,7 @@ def backtest_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric row of a walk-forward ridge with both caps."""
     rows = frames.replication(spark, sf_dir)
     weights = backtest.walk_forward(rows, N, backtest.ridge(0.01), backtest.Config(window=104))
-    return risk.harness_metrics(backtest.evaluate_weights(rows, weights, N))
+    return risk.evaluator_metrics(backtest.evaluate_weights(rows, weights, N))
 
 
 @query()
@@ -173,7 +173,7 @@ def backtest_predict_then_optimise(spark: SparkSession, sf_dir: str) -> DataFram
     """Metric row of correlated instruments, shrunk covariance and a cost-aware optimum."""
     rows = frames.replication(spark, sf_dir)
     weights = backtest.predict_then_optimise(rows, N, backtest.ols, backtest.Config(window=104))
-    return risk.harness_metrics(backtest.evaluate_weights(rows, weights, N))
+    return risk.evaluator_metrics(backtest.evaluate_weights(rows, weights, N))
 
 
 @query(

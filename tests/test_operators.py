@@ -113,7 +113,7 @@ def test_walk_forward_looks_back_only(spark):
     assert len(a) == 10 and a.iloc[:6].equals(b.iloc[:6]) and not a.iloc[6:].equals(b.iloc[6:])
     assert np.abs(a[[f"w_{n}" for n in names]].to_numpy() - [0.4, 0.3, -0.2, 0.1]).max() < 0.1
     weekly = backtest.evaluate_weights(plain, backtest.walk_forward(plain, names, backtest.ols, config), names)
-    one = risk.harness_metrics(weekly).first()
+    one = risk.evaluator_metrics(weekly).first()
     assert one.n_weeks == 40 and one.n_rebalances == 10 and one.rho > 0.95 and one.net_return <= one.gross_return
 
 
