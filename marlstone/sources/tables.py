@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions import expr as E
+from marlstone.sources.workers import reachable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of a directory."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sheet(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True) -> DataFrame:
