@@ -8,23 +8,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.sources.workers import reachable
+
 #: Rows in an Arrow batch that goes to Python; bounds a worker's memory for long texts.
 ARROW_ROWS = 512
 
 
 def tables(spark: SparkSession) -> SparkSession:
-    """Sets the batch size for Python stages; returns the session."""
+    """Sets the batch size for Python stages and the workers' path; returns the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return spark
+    return reachable(spark)
+
+
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-marlstone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="spark-marlstone-")
+    return _own[app]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
