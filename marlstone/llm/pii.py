@@ -1,14 +1,15 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers that they miss.
 
 Base spans come from regular expressions with checks (parts of addresses, checksums, digit counts); their places
-follow from the lengths of what lies between matches. They are the seeds of a bootstrap over the whole corpus:
-every identifier-like token (one with a digit or an @) is an instance, and the word before it with the token's
-shape is its lexical pattern. Patterns are scored on the graph of patterns and instances: how surely what they
-precede is a known identifier, times the logarithm of how many different ones; instances by the best of their
-patterns in different texts. Instances that score high become known and the graph is scored again. What is known at
-the end and lies outside every base span is added; what has the form of a base kind and fails its check counts
-against a pattern and is never added. All steps are DataFrame operations; a pattern or an instance that
-a third of all rows share is summed before the shuffle.
+follow from the lengths of what lies between matches. They are the seeds of a bootstrap over the whole corpus: every
+base span, spaces within it included, and outside of base spans every maximal run of digits with spaces, brackets
+and the like, and every other token with a digit or an @, is an instance, and the word before it with its shape is
+its lexical pattern. Patterns are scored on the graph of patterns and instances: how surely what they precede is a
+known identifier, times the logarithm of how many different ones; instances by the best of their patterns in
+different texts. Instances that score high become known and the graph is scored again, until none is added. What is
+known at the end and lies outside every base span is added; what has the form of a base kind and fails its check
+counts against a pattern and is never added. Runs with spaces must also have as many digits as their kind. All steps
+are DataFrame operations; a pattern or an instance that a third of all rows share is summed before the shuffle.
 
 Cases: null and empty texts have no spans; repeated rows get equal results; empty tables give no rows; runs of
 digits of any length are matched without recursion; other columns are not used.
@@ -29,8 +30,7 @@ KINDS = {
     "card": r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Rounds of the bootstrap, the least precision and the least number of different known identifiers of a pattern.
-ROUNDS = 2
+#: The least precision and the least number of different known identifiers of a pattern.
 PRECISION = 0.9
 SUPPORT = 5
 #: Least score of an instance: precision times the base-2 logarithm of the pattern's known identifiers.
@@ -38,7 +38,13 @@ SCORE = 2.0
 
 #: A whole token in the form of an address, a card or a phone number.
 _FORMED = r"^(?:[0-9](?:[\x20-]?[0-9])++|[0-9]++(?:\.[0-9]++){3}|\+[0-9][\x20().0-9-]+[0-9])$"
-_TOKEN = r"(?<!\S)\S*?[0-9@]\S*+"
+#: A run of digits with spaces and brackets, what stands glued before it included; else a whole token.
+_RUN = r"\+?+(?:\((?=[0-9]++\)))?+[0-9][0-9\x20\u00A0\u202F()./-]*[0-9](?=[^\p{L}\p{N}+@\s]*+(?!\S))"
+_GLUED = r"(?:[^\s0-9@+(]*+(?<=[:=]))?+(?:(?!\([0-9]++\))[^\p{L}\p{N}+@\s])*+"
+_TOKEN = rf"(?<!\S)(?:{_GLUED}{_RUN}|\S*?[0-9@]\S*+)"
+_SPACED = r"[\x20\u00A0\u202F]"
+#: Code points in which the word before an instance is sought first; where it is longer, ten times as many.
+REACH = 40
 
 
 def _digits(match: Column) -> Column:
@@ -114,45 +120,79 @@ def _listed(kind: str) -> Column:
     return F.transform(kind, lambda x: F.struct(F.lit(order).alias("order"), F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
 
+def _word_before(text: str, start: str) -> Column:
+    """The word before a place, in lower case, '' if there is none. Marks that open the instance are no word."""
+    at = F.col(start)
+
+    def within(reach: int) -> Column:
+        head = F.substring(F.col(text), F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach)))
+        head = F.regexp_replace(head, r"(?<!\S)[^\p{L}\p{N}+@\s]++\z", "")
+        whole = F.regexp_extract(head, r"(?<!\S)(\S++)\s*+\z", 1)
+        return F.when(at <= reach, whole).otherwise(F.nullif(F.regexp_extract(head, r"\s(\S++)\s*+\z", 1), F.lit("")))
+
+    return F.lower(F.coalesce(*(within(reach) for reach in (REACH, REACH * 10, REACH * 100, (1 << 31) - 1))))
+
+
+def _may_be(word: Column, kind: Column) -> Column:
+    """Whether an instance outside the base spans may be one of a kind.
+
+    What has the form of a base kind has failed its check. A spaced run of fewer digits than a card's is no form of
+    a card.
+    """
+    digits, spaced = _digits(word), word.rlike(_SPACED)
+    n = F.length(digits)
+    short = spaced & ~word.startswith("+") & (n < 13)
+    fits = F.when(kind == "phone", n.between(7, 15)).when(kind == "card", n.between(13, 19) & _luhn(digits)).otherwise(False)
+    return (short | ~word.rlike(_FORMED)) & (~spaced | fits)
+
+
 def _instances(based: DataFrame) -> DataFrame:
-    """doc_id, h, start, end, word, left, shape, kind, formed of identifier-like tokens.
+    """doc_id, h, start, end, word, left, shape, kind of base spans (with their kind) and of candidates (kind NULL).
 
-    kind is that of the base span that the token is, NULL if it meets none; a token that is part of a base span is
-    no instance. formed marks tokens in the form of a base kind: those without a kind have failed its check.
+    Candidates are runs and tokens that meet no base span.
     """
-    kinds = [_listed(k) for k in KINDS]
-    own = based.where(F.col("text").rlike("[0-9@]")).select("doc_id", F.xxhash64("text").alias("h"), "text", F.concat(*kinds).alias("known"), matches("text", _TOKEN).alias("token"))
-    own = own.select("doc_id", "h", "text", "known", F.explode("token").alias("t"))
-    lead = F.length(F.regexp_extract("t.word", r"^[^A-Za-z0-9+@]*", 0))
-    word = F.regexp_replace(F.regexp_replace("t.word", r"^[^A-Za-z0-9+@]+", ""), r"[^A-Za-z0-9]+$", "")
-    own = own.withColumns({"word": word, "start": F.col("t.start") + lead}).withColumn("end", F.col("start") + F.length("word")).where("word <> ''")
-    own = own.withColumn("meets", F.filter("known", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
-    whole = F.filter("meets", lambda s: (s["start"] == F.col("start")) & (s["end"] == F.col("end")))
-    own = own.withColumn("kind", F.get(whole, F.lit(0))["kind"]).where("kind IS NOT NULL OR size(meets) = 0")
-    before = F.substring(F.col("text"), F.greatest(F.col("t.start") - 40, F.lit(0)) + 1, F.least(F.col("t.start"), F.lit(40)))
+    none = F.lit(None).cast("string").alias("kind")
+
+    def seeds(kind):
+        return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["word"].alias("word"), F.lit(kind).alias("kind")))
+
+    def candidate(t):
+        run = t["word"].rlike(rf"^{_GLUED}{_RUN}$")
+        lead = F.when(run, F.regexp_extract(t["word"], rf"^{_GLUED}", 0)).otherwise(F.regexp_extract(t["word"], r"^(?:(?!\([0-9]++\))[^A-Za-z0-9+@])*+", 0))
+        word = F.regexp_replace(F.substring(t["word"], F.length(lead) + 1, F.length(t["word"])), r"[^A-Za-z0-9]++$", "")
+        return F.struct((t["start"] + F.length(lead)).alias("start"), word.alias("word"), none)
+
+    def free(c):
+        return (c["word"] != "") & ~F.exists("known", lambda s: (s["start"] < c["start"] + F.length(c["word"])) & (s["end"] > c["start"]))
+
+    own = based.where(F.col("text").rlike("[0-9@]"))
+    own = own.select("doc_id", F.xxhash64("text").alias("h"), "text", F.concat(*(_listed(k) for k in KINDS)).alias("known"), F.concat(*(seeds(k) for k in KINDS)).alias("seeds"), matches("text", _TOKEN).alias("token"))
+    own = own.withColumn("candidates", F.filter(F.transform("token", candidate), free))
+    own = own.select("doc_id", "h", "text", F.explode(F.concat("seeds", "candidates")).alias("i")).select("doc_id", "h", "text", "i.start", "i.word", "i.kind")
+    plus = F.when(F.col("word").startswith("+"), "+").otherwise("")
     mixed = F.when(F.col("word").rlike(r"\p{L}"), "mixed").otherwise("digits")
-    shape = F.when(F.contains("word", F.lit("@")), "@").otherwise(F.concat(F.when(F.col("word").startswith("+"), "+").otherwise(""), mixed))
-    return own.select(
-        "doc_id", "h", "start", "end", "word", F.lower(F.regexp_extract(before, r"(\S+)\s*$", 1)).alias("left"), shape.alias("shape"), "kind", F.col("word").rlike(_FORMED).alias("formed")
-    )
+    shape = F.when(F.contains("word", F.lit("@")), "@").when(F.col("word").rlike(_SPACED), "spaced").otherwise(F.concat(plus, mixed))
+    return own.select("doc_id", "h", "start", (F.col("start") + F.length("word")).alias("end"), "word", _word_before("text", "start").alias("left"), shape.alias("shape"), "kind")
 
 
-def bootstrap(based: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(based: DataFrame) -> DataFrame:
     """doc_id, h, kind, start, end: spans outside the base spans that contexts show to be identifiers."""
     every = written(_instances(based), "instances")
-    pairs = written(
-        every.groupBy("left", "shape", "word").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n")).where("left <> ''"), "graph"
-    )
-    known = pairs.where("kind IS NOT NULL").groupBy("word").agg(F.max("kind").alias("known"))
-    for _ in range(rounds):
+    pairs = written(every.where("left <> ''").groupBy("left", "shape", "word").agg(F.count(F.lit(1)).alias("n")), "graph")
+    known = written(every.where("kind IS NOT NULL").groupBy("word").agg(F.max("kind").alias("known")), "known")
+    before, n = -1, known.count()
+    while n > before:  # known instances only grow in number, and so do the hits of a pattern
         graph = pairs.join(known, "word", "left")
-        pattern = graph.groupBy("left", "shape").agg(F.count_if(F.col("known").isNotNull()).alias("hits"), F.count(F.lit(1)).alias("all"), F.max("known").alias("said"))
+        pattern = graph.groupBy("left", "shape").agg(F.count_if(F.col("known").isNotNull()).alias("hits"), F.count(F.lit(1)).alias("all"), F.mode("known", True).alias("said"))
         precise = F.col("hits") / F.col("all")
         strong = pattern.where((F.col("hits") >= SUPPORT) & (precise >= PRECISION)).withColumn("score", precise * F.log2("hits"))
-        named = pairs.join(strong, ["left", "shape"]).groupBy("word").agg(F.max(F.struct("score", "said")).alias("best")).where(F.col("best.score") >= SCORE)
+        named = pairs.join(strong, ["left", "shape"]).where(_may_be(F.col("word"), F.col("said")))
+        named = named.groupBy("word").agg(F.max(F.struct("score", "said")).alias("best")).where(F.col("best.score") >= SCORE)
         grown = named.select("word", F.col("best.said").alias("found")).join(known, "word", "full")
         known = written(grown.select("word", F.coalesce("known", "found").alias("known")), "known")
-    return every.where("kind IS NULL AND NOT formed").join(known, "word").select("doc_id", "h", F.col("known").alias("kind"), "start", "end")
+        before, n = n, known.count()
+    found = every.where("kind IS NULL").join(known, "word").where(_may_be(F.col("word"), F.col("known")))
+    return found.select("doc_id", "h", F.col("known").alias("kind"), "start", "end")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
