@@ -33,16 +33,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each group linked by five-word shingles at similarity 0.8.
 
-    Of equal rows one stays; texts without words are in no group and stay.
+    Rows without a doc_id come after all others of their group, and one of them stays only if the group has no other;
+    of different texts of one doc_id (or of none) in a group, that of the least hash stays. Of equal rows one stays;
+    texts without words are in no group and stay.
     """
     tables(spark)
     docs = docs.select(*COLUMNS)
-    groups = ngram_join.near_duplicates(docs, k=5, permille=800)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    joined = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").withColumn("row", F.xxhash64(*COLUMNS))
-    same = F.lag("row").over(Window.partitionBy("doc_id").orderBy("row")).eqNullSafe(F.col("row"))
-    kept = joined.withColumn("same", same).where("NOT same").select(*COLUMNS)
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    groups = written(ngram_join.grouped(docs, k=5, permille=800), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = groups.where("group IS NOT NULL").groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.row").alias("key"))
+    kept = first.union(groups.where("group IS NULL").select("row")).distinct()
+    joined = docs.withColumn("key", ngram_join.row_key()).join(kept, "key", "left_semi").withColumn("row", F.xxhash64(*COLUMNS))
+    same = F.lag("row").over(Window.partitionBy("key").orderBy("row")).eqNullSafe(F.col("row"))
+    return joined.withColumn("same", same).where("NOT same").select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,29 +1,33 @@
 """Line dedup: windows of three consecutive lines that occur before are removed.
 
 Every window of three consecutive lines with a word in it is hashed (128 bits). A window's first occurrence in the
-order of doc_id and line stays; every later one, in the same document or another, marks the lines it covers, and
+order of doc_id, text hash and line stays; every later one, in the same document or another, marks the lines it covers, and
 the union of the marked lines is removed. Only hashes and places are shuffled to find occurrences: first places by
 minima that combine before the shuffle, so a passage that a third of all documents share is no load for one task;
 then the places of repeated windows are gathered by document, which is bounded by its lines.
 
 Cases: null and empty texts and those of fewer than three lines stay as they are; lines are compared as they are,
-case and spaces included; rows with an equal doc_id count as one occurrence (repeated rows get equal results); rows
-of a null doc_id come after all others; other columns stay.
+case and spaces included; rows with an equal doc_id (or none) and an equal text count as one occurrence (repeated rows
+get equal results), different texts of one doc_id (or of none) are documents of their own; rows of a null doc_id come
+after all others; other columns stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Order of rows without a doc_id: after all others.
-LAST = (1 << 63) - 1
+
+def _key() -> Column:
+    """Place of a document in the order: by doc_id, rows without one last, then by the hash of its text."""
+    doc_id = F.col("doc_id").cast("long")
+    return F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("h"))
 
 
 def _windows(docs: DataFrame) -> DataFrame:
     """key, pos, h1, h2: the windows of each document."""
     lines = F.split("text", "\n", -1)
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), lines.alias("lines")).where(F.size("lines") >= 3)
+    own = docs.select(_key().alias("key"), lines.alias("lines")).where(F.size("lines") >= 3)
 
     def window(i):
         return F.struct(i.alias("pos"), F.get("lines", i).alias("a"), F.get("lines", i + 1).alias("b"), F.get("lines", i + 2).alias("c"))
@@ -47,7 +51,7 @@ def without_repeated_lines(docs: DataFrame, drop_emptied: bool = False) -> DataF
 
     With drop_emptied, documents of which no line is left are left out.
     """
-    kept = docs.drop("n_lines", "n_removed", "removed", "key").withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    kept = docs.drop("n_lines", "n_removed", "removed", "key").withColumn("key", _key())
     joined = kept.join(repeated_lines(docs), "key", "left")
     lines = F.split("text", "\n", -1)
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n")

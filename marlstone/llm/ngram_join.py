@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -142,8 +142,13 @@ def _sets(batch_column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield b.first + i, shingle_set(b.hashes[b.bounds[i] : b.bounds[i + 1]], k)
 
 
+def row_key() -> Column:
+    """Hash of doc_id (or none) and text: equal for repeated rows only."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def _identities(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles and cls, the set's hash (null for an empty set)."""
+    """doc_id, row (its key), n_shingles and cls, the set's hash (null for an empty set)."""
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,9 +156,9 @@ def _identities(docs: DataFrame, k: int) -> DataFrame:
             for _, own in _sets(batch.column(1), k):
                 sizes.append(len(own))
                 hashes.append(set_hash(own) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.int64())], names=["doc_id", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(hashes, pa.int64())], names=["doc_id", "row", "n_shingles", "cls"])
 
-    return docs.mapInArrow(identify, "doc_id long, n_shingles long, cls long")
+    return docs.select("doc_id", "text", row_key().alias("row")).mapInArrow(identify, "doc_id long, row long, n_shingles long, cls long")
 
 
 def _candidates(docs: DataFrame, k: int, permille: int, table=None) -> DataFrame:
@@ -253,7 +258,7 @@ def _divided(docs: DataFrame, members: DataFrame, k: int, permille: int) -> Data
 
 
 def _members(docs: DataFrame, classes: DataFrame, k: int, permille: int) -> DataFrame:
-    """family, block, cls, doc_id, n_shingles of all classes that may link. classes: cls, doc_id, n_shingles."""
+    """family, block, cls, row, n_shingles of all classes that may link. classes: cls, row, n_shingles."""
     weight = F.sum(F.greatest("n_shingles", F.lit(LIGHTEST)))
     families = _families(docs, k, permille).select(F.col("component").alias("family"), F.col("node").alias("cls"))
     sized = written(families.join(classes, "cls"), "sized")
@@ -268,7 +273,7 @@ def _members(docs: DataFrame, classes: DataFrame, k: int, permille: int) -> Data
     # blocks in the order of size: those of a bucket, numbered from a start of its own
     block = F.when(F.col("weight") <= BLOCK, 0).otherwise(F.col("bucket") * (1 << 20) + F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     dealt = every.join(by_family, "family").join(by_bucket, ["family", "bucket"])
-    return dealt.select("family", block.alias("block"), "cls", "doc_id", "n_shingles")
+    return dealt.select("family", block.alias("block"), "cls", "row", "n_shingles")
 
 
 class Trie:
@@ -373,7 +378,7 @@ def _maybe_among(ids: DataFrame, name: str) -> F.Column:
 
 
 def _links(docs: DataFrame, members: DataFrame, k: int, permille: int) -> DataFrame:
-    """a, b: links that span the classes of each family. members: family, block, cls, doc_id, n_shingles."""
+    """a, b: links that span the classes of each family. members: family, block, cls, row, n_shingles."""
     bounds = members.groupBy("family", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     left = bounds.select("family", F.col("block").alias("i"), F.col("most").alias("most_i"))
     right = bounds.select("family", F.col("block").alias("j"), F.col("least").alias("least_j"))
@@ -381,15 +386,22 @@ def _links(docs: DataFrame, members: DataFrame, k: int, permille: int) -> DataFr
     pairs = left.join(right, "family").where((F.col("i") <= F.col("j")) & (F.col("least_j") * permille <= F.col("most_i") * 1000))
     unit = F.struct("i", "j")
     either = pairs.select("family", unit.alias("unit"), F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    dealt = members.select("family", "block", "cls", "doc_id").join(either, ["family", "block"]).withColumn("side", F.when(F.col("block") == F.col("unit.i"), 0).otherwise(1))
-    per_doc = dealt.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("family", "unit", "side")).alias("units"))  # at most the family's blocks
-    per_doc = written(per_doc, "units")
-    held = docs.where(_maybe_among(per_doc, "doc_id")).join(per_doc.hint("merge"), "doc_id")
+    dealt = members.select("family", "block", "cls", "row").join(either, ["family", "block"]).withColumn("side", F.when(F.col("block") == F.col("unit.i"), 0).otherwise(1))
+    per_row = dealt.groupBy("row", "cls").agg(F.collect_list(F.struct("family", "unit", "side")).alias("units"))  # at most the family's blocks
+    per_row = written(per_row, "units")
+    held = docs.withColumn("row", row_key()).where(_maybe_among(per_row, "row")).join(per_row.hint("merge"), "row")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: OrderedDict[int, None] = OrderedDict()  # repeated rows give their shingles once a task
         for batch in batches:
             sets = [own.view(np.int64) for _, own in _sets(batch.column("text"), k)]
-            ours = [set_hash(own.view(np.uint64)) == cls for own, cls in zip(sets, batch.column("cls").to_pylist(), strict=True)]
+            ours = []
+            for own, cls in zip(sets, batch.column("cls").to_pylist(), strict=True):
+                ours.append(cls not in given and set_hash(own.view(np.uint64)) == cls)
+                if ours[-1]:
+                    given[cls] = None
+                    if len(given) > REMEMBERED:
+                        given.popitem(last=False)
             keep = pa.array(ours)
             out = pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("units"), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "units", "shingles"])
             yield out.filter(keep)
@@ -410,6 +422,22 @@ def _links(docs: DataFrame, members: DataFrame, k: int, permille: int) -> DataFr
     return rows.groupBy("family", "i", "j").applyInArrow(join, "a long, b long")
 
 
+def grouped(docs: DataFrame, k: int = 5, permille: int = 800) -> DataFrame:
+    """One row per document row: doc_id, row (its key), n_shingles, group: one number for texts that links connect.
+
+    Texts without words have no group (NULL). A doc_id plays no part in it.
+    """
+    docs = texts(docs)
+    tables(docs.sparkSession)
+    known = written(_identities(docs, k), "identities")
+    classes = known.where("cls IS NOT NULL").groupBy("cls").agg(F.min("row").alias("row"), F.min("n_shingles").alias("n_shingles"))
+    members = _members(docs, classes, k, permille)
+    links = _links(docs, written(members, "members"), k, permille)
+    linked = written(connected_components(links), "linked")
+    of = known.join(linked.withColumnRenamed("node", "cls"), "cls", "left")
+    return of.select("doc_id", "row", "n_shingles", F.coalesce("component", "cls").alias("group"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, permille: int = 800) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id.
 
@@ -419,13 +447,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, permille: int = 800) -> DataFra
     kept, each with its own text; a null doc_id never names a component unless all its texts have none; other columns
     are not used.
     """
-    docs = texts(docs)
-    tables(docs.sparkSession)
-    known = written(_identities(docs, k), "identities")
-    classes = known.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
-    members = _members(docs, classes, k, permille)
-    links = _links(docs, written(members, "members"), k, permille)
-    linked = written(connected_components(links), "linked")
-    of = known.join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("group", F.coalesce("component", "cls"))
+    of = grouped(docs, k, permille)
     least = of.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"))
     return of.join(least, "group", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

@@ -107,6 +107,27 @@ def test_ngram_join_with_small_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 5, 800)
 
 
+def null_and_repeated_ids():
+    """Rows; texts of the first three, of which one stays; the other rows that stay."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, a), (None, a + " x"), (5, b), (None, b + " y"), (7, b + " z"), (7, c), (7, c), (None, d), (None, "")]
+    return rows, [a, a + " x"], [(5, b), (7, c), (None, d), (None, "")]
+
+
+def test_ngram_join_with_null_and_repeated_ids(spark):
+    """Texts link whether or not they have a doc_id, and texts of one doc_id have groups of their own."""
+    rows, (a, ax), _ = null_and_repeated_ids()
+    key = {r.row: r.text for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", ngram_join.row_key().alias("row")).collect()}
+    got = ngram_join.grouped(frame(spark, rows), 5, 800).collect()
+    assert len(got) == len(rows)
+    group = {key[r.row]: r.group for r in got}
+    b, c, d = rows[3][1], rows[6][1], rows[8][1]
+    assert group[a] == group[ax] and group[b] == group[b + " y"] == group[b + " z"] and group[""] is None
+    assert len({group[a], group[b], group[c], group[d]}) == 4
+    named = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, rows), 5, 800).collect()}
+    assert named == {(None, 36, None), (None, 37, None), (5, 36, 5), (None, 37, 5), (7, 37, 5), (7, 36, 7), (None, 0, None)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -147,6 +168,16 @@ def test_line_dedup(spark, odd, real):
     assert line_dedup.without_repeated_lines(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_line_dedup_with_null_and_repeated_ids(spark):
+    """Different texts of no doc_id or of one are documents of their own; repeated rows get equal results."""
+    rows = [(1, "a\nb\nc\nd"), (None, "a\nb\nc\nu"), (None, "p\nq\nr\ns"), (2, "a\nb\nc\nv"), (2, "k\nl\nm\nn"), (2, "k\nl\nm\nn")]
+    twins = [(None, "e\nf\ng\n1"), (None, "e\nf\ng\n2")]
+    got = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.without_repeated_lines(frame(spark, rows + twins)).collect()]
+    want = [(1, "a\nb\nc\nd", 4, 0), (None, "u", 4, 3), (None, "p\nq\nr\ns", 4, 0), (2, "v", 4, 3), (2, "k\nl\nm\nn", 4, 0), (2, "k\nl\nm\nn", 4, 0)]
+    either = [[(None, "1", 4, 3), (None, "e\nf\ng\n2", 4, 0)], [(None, "e\nf\ng\n1", 4, 0), (None, "2", 4, 3)]]
+    assert sorted(map(str, got)) in [sorted(map(str, want + e)) for e in either]
+
+
 # 3
 
 
@@ -478,3 +509,13 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
+
+
+def test_pipeline_near_duplicates_with_null_and_repeated_ids(spark):
+    """Rows without a doc_id are deduplicated too, and of a repeated doc_id only the text that is near another goes."""
+    import corpus_pipeline
+
+    rows, one_of, want = null_and_repeated_ids()
+    docs = frame(spark, rows, extra=False).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(map(str, got)) in [sorted(map(str, [*want, (None, t)])) for t in one_of]
