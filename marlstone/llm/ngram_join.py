@@ -20,9 +20,9 @@ of work, so that no task holds more than two blocks. Units return links that spa
 Components of these links are the result.
 
 Cost: four passes over the texts (classes; counts of the low part; prefixes among shared shingles; segments of large
-families) and a join of the texts that are in families. Counts combine before the shuffle, and the join of shared shingles is one that Spark can
-split, so a shingle of a third of all texts is no load for one task. A family of m shingles in different sets makes
-(m / BLOCK)**2 / 2 units.
+families) and a join of the texts that are in families. Counts combine before the shuffle, and joins on shingles,
+nodes and groups deal a heavy key into parts, so a shingle or a group of a third of all texts is no load for one task.
+A family of m shingles in different sets makes (m / BLOCK)**2 / 2 units.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .session import tables, texts, written
+from .spread import spread_join
 from .textblocks import BLANK_DELIMITED, blocks, grams, mix
 
 #: Shingles in a block of a family, a set counting as LIGHTEST at least; a larger set is a block of its own.
@@ -220,10 +221,14 @@ def bit_table(keys: DataFrame, name: str, size: int) -> BitTable:
 def _families(docs: DataFrame, k: int, permille: int) -> DataFrame:
     """node, component: classes that share prefix shingles, and the family they belong to."""
     spark = docs.sparkSession
+    # copies in several tasks count more than once: df orders the shingles, and is the same for all sets
     counted = _candidates(docs, k, permille).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("cls").alias("least"), F.max("cls").alias("most"))
     shared = written(counted.where("least < most").select("token", "df", "least"), "shared")
     table = spark.sparkContext.broadcast(bit_table(shared, "token", SHARED_BITS))
-    found = _candidates(docs, k, permille, table).join(shared, "token")
+    rows = _candidates(docs, k, permille, table)
+    found = spread_join(rows, shared.withColumn("n", F.col("df")), ["token"], "n", F.xxhash64("cls"))
+    # one row of each class and shingle, whatever the number of tasks that met a copy of the class
+    found = found.groupBy("cls", "token").agg(F.first("gap").alias("gap"), F.first("df").alias("df"), F.first("least").alias("least"))
     # as signed numbers the region's hashes are those from 0 on, then those from the least on, up to its end
     end = region_end(permille)
     low = (F.col("token") >= 0) & (F.col("token") < end) if end < 1 << 63 else (F.col("token") >= 0) | (F.col("token") < end - (1 << 64))
@@ -252,8 +257,8 @@ def _divided(docs: DataFrame, members: DataFrame, k: int, permille: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes))], names=["key", "cls"])
 
     keyed = written(docs.select("text").mapInArrow(cut, "key long, cls long").join(members, "cls").select("family", "key", "cls"), "segments")
-    shared = keyed.groupBy("family", "key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most")
-    edges = keyed.join(shared, ["family", "key"]).where("cls <> least").select("cls", "least").distinct()
+    shared = keyed.groupBy("family", "key").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+    edges = spread_join(keyed, written(shared, "shared"), ["family", "key"], "n", F.xxhash64("cls")).where("cls <> least").select("cls", "least").distinct()
     return connected_components(edges, "cls", "least").select(F.col("component").alias("family"), F.col("node").alias("cls"))
 
 
@@ -447,6 +452,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, permille: int = 800) -> DataFra
     kept, each with its own text; a null doc_id never names a component unless all its texts have none; other columns
     are not used.
     """
-    of = grouped(docs, k, permille)
-    least = of.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"))
-    return of.join(least, "group", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    of = written(grouped(docs, k, permille), "groups")
+    within, alone = of.where("group IS NOT NULL"), of.where("group IS NULL")
+    least = written(within.groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    named = spread_join(within, least, ["group"], "n", F.xxhash64("row", "doc_id", F.monotonically_increasing_id()))
+    return named.select("doc_id", "n_shingles", "component_id").union(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

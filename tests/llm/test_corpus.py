@@ -519,3 +519,33 @@ def test_pipeline_near_duplicates_with_null_and_repeated_ids(spark):
     docs = frame(spark, rows, extra=False).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
     assert sorted(map(str, got)) in [sorted(map(str, [*want, (None, t)])) for t in one_of]
+
+
+def test_line_dedup_keeps_all_other_columns(spark):
+    docs = frame(spark, [(1, "a\nb\nc"), (2, "a\nb\nc\nd")]).withColumns({"removed": F.lit("r"), "starts": F.lit("s"), "n_lines": F.lit(9)})
+    got = line_dedup.without_repeated_lines(docs)
+    assert set(got.columns) == {*docs.columns, "n_removed"}
+    assert [(r.removed, r.starts, r.key, r.text, r.n_lines, r.n_removed) for r in got.orderBy("doc_id").collect()] == [("r", "s", "x", "a\nb\nc", 3, 0), ("r", "s", "x", "d", 4, 3)]
+
+
+def test_line_dedup_against_brute_force_on_dense_repeats(spark):
+    rng = random.Random(12)
+    rows = [(i, "\n".join(rng.choice("ab") for _ in range(rng.randint(1, 14)))) for i in range(80)]
+    got = line_dedup.without_repeated_lines(frame(spark, rows)).collect()
+    assert {r.doc_id: r.text for r in got} == brute_lines(rows)
+
+
+# joins on heavy keys
+
+
+def test_spread_join_equals_a_plain_join(spark, monkeypatch):
+    from marlstone.llm import spread
+
+    monkeypatch.setattr(spread, "LEAST", 5)
+    rows = spark.range(400).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"), "id").union(spark.createDataFrame([(None, -1)], "k long, id long"))
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("k <> 3")
+    got = spread.spread_join(rows, table, ["k"], "n", F.xxhash64("id"))
+    want = rows.join(table.drop("n"), "k")
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert spread.spread_join(rows.limit(0), table.limit(0), ["k"], "n", F.xxhash64("id")).count() == 0
