@@ -8,8 +8,9 @@ code point: the count of a prefix is that of the prefix before its last token pl
 the only vocabulary entry that the merges leave next to the last token before it.
 
 Chunks are distinct far less often than they occur: each worker keeps a bounded table of chunks it has counted and
-has the tokenizer encode only those it has not met. Texts that hold a special token's string, or characters on
-which notions of white space differ, are encoded whole.
+has the tokenizer encode only those it has not met. A special token's string is a chunk of its own, one token; a
+prefix that ends inside it is ordinary text, and the dynamic program runs over it and the chunk before. The program
+takes time in proportion to the chunk, so a chunk of any length is treated alike.
 
 Cases: null counts as the empty text, 0 tokens; repeated rows are counted one by one; other columns are not used.
 """
@@ -34,7 +35,9 @@ _SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000,
 _RUNS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Single spaces cut a text into chunks unless white space of more than one character holds a space further on.
 _IRREGULAR = re.compile(f"[{_SPACE}] [{_SPACE}]|  ")
-_UNSURE = re.compile(f"[{''.join(map(chr, [*range(0x1C, 0x20), 0x180E, 0x200B, 0xFEFF]))}]")
+_LEADING = re.compile(f"[{_SPACE}]*")
+#: Pieces of which a prefix is more than one piece: fixed values.
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -65,13 +68,21 @@ class PrefixCounter:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.apart = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})") if self.special else None
         self.known: dict[str, int] = {}
         self.marks = dict(zip(".,", self.encode([".", ","]), strict=True))
 
-    def chunks(self, text: str) -> list[str] | None:
-        """The text's chunks in order; None where it has to be encoded whole."""
-        if _UNSURE.search(text) or any(s in text for s in self.special):
-            return None
+    def chunks(self, text: str) -> list[str]:
+        """The text's chunks in order."""
+        if self.apart and any(x in text for x in self.special):
+            parts = self.apart.split(text)  # special strings are every second part
+            return [c for i, p in enumerate(parts) for c in ([p] if i % 2 else self.plain(p))]
+        return self.plain(text)
+
+    def plain(self, text: str) -> list[str]:
+        """Chunks of a text without special strings."""
+        if not text:
+            return []
         if _IRREGULAR.search(text):
             return _RUNS.findall(text)
         parts = text.split(" ")
@@ -123,7 +134,7 @@ class ChunkPrefixes:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["merges"]]
         self.rank = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.ids))
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.pieces = regex.compile(rf"{'|'.join(CONTRACTIONS)}| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
         self.adjacent: dict[tuple[str, str], bool] = {}
 
     def merged(self, parts: list[str]) -> list[str]:
@@ -165,17 +176,30 @@ class ChunkPrefixes:
         return count
 
     def table(self, chunk: str) -> list[int]:
-        """Tokens of each prefix of a chunk in code points, from the empty one."""
-        out, done = [0], {}
-        for end in range(1, len(chunk) + 1):
-            n = 0
-            for p in self.pieces.findall(chunk[:end]):
-                if p not in done:
-                    done[p] = self.piece(p)[-1]
-                n += done[p]
-            out.append(n)
+        """Tokens of each prefix of a chunk in code points, from the empty one.
+
+        The pieces before the one in which a prefix ends are those of the whole chunk, but for prefixes of white
+        space only, which are one piece.
+        """
+        blank = _LEADING.match(chunk)[0]
+        out, before = self._by_character(blank), 0
+        for m in self.pieces.finditer(chunk):
+            piece = m[0]
+            counts = self._by_character(piece)
+            for i in range(max(1, len(blank) + 1 - m.start()), len(piece) + 1):
+                cut = i < len(piece) and piece in CONTRACTIONS
+                out.append(before + (sum(self.piece(p)[-1] for p in self.pieces.findall(piece[:i])) if cut else counts[i]))
+            before += counts[-1]
         return out
 
+    def _by_character(self, piece: str) -> list[int]:
+        """Tokens of each prefix of a piece in code points, from the empty one."""
+        counts = self.piece(piece)
+        if piece.isascii():
+            return counts
+        ends = np.cumsum([0, *(len(c.encode()) for c in piece)])
+        return [counts[i] for i in ends]
+
 
 COUNTS = "doc_id long, n_bytes long, n_chars long, n_tokens long, fit_chars long, chunk_ends array<int>, chunk_tokens array<int>"
 
@@ -186,7 +210,7 @@ def token_prefix_counts(docs: DataFrame, path: str, budget: int = 512, keep_tabl
     Returns doc_id; n_bytes (UTF-8) and n_chars; n_tokens of the whole text; fit_chars, the code points of the
     longest prefix of at most `budget` tokens among those that end inside or at the end of the first chunk that
     passes it (a prefix's count may fall again where its last piece becomes whole); and, with keep_table,
-    chunk_ends (code points) with chunk_tokens (tokens up to there). A text encoded whole has one chunk.
+    chunk_ends (code points) with chunk_tokens (tokens up to there).
     """
     docs = texts(docs)
     tables(docs.sparkSession)
@@ -204,7 +228,7 @@ def token_prefix_counts(docs: DataFrame, path: str, budget: int = 512, keep_tabl
                     fit = len(text)
                 else:
                     inner = inner or ChunkPrefixes(counter)
-                    fit = sum(map(len, chunks[:at])) + fit_inside(counter, inner, chunks[at], budget - (int(counts[at - 1]) if at else 0))
+                    fit = fit_inside(counter, inner, chunks, counts, at, budget)
                 ends = np.cumsum([len(c) for c in chunks]) if keep_table else None
                 for column, x in zip(out, (len(text.encode()), len(text), n, fit, ends, counts if keep_table else None), strict=True):
                     column.append(x)
@@ -220,24 +244,22 @@ def counted(counter: PrefixCounter, rows: list[str]) -> Iterator[tuple[str, list
     for lo in range(0, len(rows), 64):
         some = rows[lo : lo + 64]
         cut = [counter.chunks(t) for t in some]
-        counter.learn(set().union(*(c for c in cut if c)))
+        counter.learn(set().union(*cut))
         for text, chunks in zip(some, cut, strict=True):
-            if chunks is None:
-                yield text, [text], np.array(counter.encode([text]))
-            else:
-                yield text, chunks, counter.counts(chunks)
-
-
-def fit_inside(counter: PrefixCounter, inner: ChunkPrefixes, chunk: str, budget: int) -> int:
-    """Code points of the longest prefix of a chunk of at most `budget` tokens."""
-    if len(chunk) > 256 or counter.chunks(chunk) is None:  # no table for these: search by halves, then encode
-        lo, hi = 0, len(chunk)
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if counter.encode([chunk[:mid]])[0] <= budget else (lo, mid - 1)
-        return lo
-    table = inner.table(chunk)
-    return max(i for i, n in enumerate(table) if n <= budget)
+            yield text, chunks, counter.counts(chunks)
+
+
+def fit_inside(counter: PrefixCounter, inner: ChunkPrefixes, chunks: list[str], counts: np.ndarray, at: int, budget: int) -> int:
+    """Code points of the longest prefix of at most `budget` tokens that ends inside chunk `at`, the first too many."""
+    tail, start = chunks[at], at
+    if tail in counter.special:  # a part of it is ordinary text, which joins the chunk before
+        tail = tail[:-1]
+        if at and chunks[at - 1] not in counter.special:
+            tail, start = chunks[at - 1] + tail, at - 1
+    done = sum(map(len, chunks[start:at]))
+    left = budget - (int(counts[start - 1]) if start else 0)
+    fits = [i for i, n in enumerate(inner.table(tail)) if i >= done and n <= left]
+    return sum(map(len, chunks[:start])) + max(fits, default=done)
 
 
 def tokens_before(table_row, chars: int) -> int:
