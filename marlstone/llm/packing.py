@@ -36,8 +36,9 @@ from .token_counts import BYTE_SYMBOLS
 
 #: Chunks of text whose ids a worker remembers.
 CHUNKS = 500_000
-#: Parts into which the pieces of one length are dealt for numbering.
+#: Parts into which the pieces of one length are dealt for numbering: SALTS, or one for each SALT_ROWS pieces.
 SALTS = 64
+SALT_ROWS = 250_000
 
 
 #: Letters whose lower case depends on what follows, or is more than one letter.
@@ -45,12 +46,17 @@ GREEK_SIGMA, DOTTED_I = "\u03a3", "\u0130"
 
 
 class Capacity(NamedTuple):
-    """Capacities of a sequence, and the weights of their residuals in the choice."""
+    """Capacities of a sequence, and the weights of their residuals (as shares of the capacities) in the choice.
+
+    As they stand, a sequence holds at most 4096 documents and the attention cost of one document that fills it. Every
+    piece has a token at least, so these two never keep out a piece whose tokens fit, and the number of sequences is
+    not raised; all three residuals decide between the sequences that a piece fits.
+    """
 
     tokens: int = 4096
-    documents: int = 1 << 30
-    attention: int = 1 << 60
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    documents: int = 4096
+    attention: int = 4096 * 4096
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     rule: str = "norm"
 
 
@@ -198,7 +204,7 @@ class _Open:
 
 def plan(histogram: dict[int, int], capacity: Capacity = Capacity()) -> list[Step]:
     """Packs counts of pieces by length; the number of sequences is one more than the largest that a step reaches."""
-    full = (capacity.tokens, min(capacity.documents, 1 << 30), min(capacity.attention, 1 << 60))
+    full = (capacity.tokens, capacity.documents, capacity.attention)
     weights = np.array(capacity.weights) / np.array(full, dtype=float)
     opened, steps, used = _Open(), [], 0
     for length in sorted(histogram, reverse=True):
@@ -239,9 +245,11 @@ def plan(histogram: dict[int, int], capacity: Capacity = Capacity()) -> list[Ste
 
 
 def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
-    """Adds sequence_id and offset (gapless from 0) to rows with doc_id, piece and length."""
+    """Adds sequence_id and offset (gapless from 0) to rows with doc_id, piece and length. The rows are read three times."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    salts = max(SALTS, -(-pieces.count() // SALT_ROWS))
+    # rows of no doc_id, or repeated ones, are told apart by what else the pieces hold
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*pieces.columns), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row per possible length at most
     steps = plan(histogram, capacity)

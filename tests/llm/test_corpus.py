@@ -181,7 +181,7 @@ def test_line_dedup_with_null_and_repeated_ids(spark):
 # 3
 
 
-TRICKY = ["  a  b", "a   b\n c", "a\n \nb", "I're 'r it'll", "<|endoftext|> x", "a\x1cb  c", "x\t\t y", " \nq", "é́ a\u200b b", "...--- ***", "12 345", "Ünïcode\u3000spaces\u00a0here", "a" * 600]
+TRICKY = ["  a  b", "a   b\n c", "a\n \nb", "I're 'r it'll", "<|endoftext|> x", "a\x1cb  c", "x\t\t y", " \nq", "é́ a\u200b b", "...--- ***", "12 345", "Ünïcode\u3000spaces\u00a0here", "a" * 600, "x<|endoftext|>", "so<|endoftext|> it goes" * 20, "é" * 3000]
 
 
 def test_token_counts(spark, odd, real):
@@ -208,6 +208,33 @@ def test_prefix_dynamic_programming():
     inner = token_counts.ChunkPrefixes(counter)
     for chunk in (" internationalisation", "Théâtre", " ''re", "can't", " 日本語", "x.\nYes", " a1b2", "\n\n"):
         assert inner.table(chunk) == counter.encode([chunk[:i] for i in range(len(chunk) + 1)])
+    rng = random.Random(8)
+    for _ in range(60):
+        chunk = rng.choice(["", " ", "   ", "\n\n", " \t ", "\x1c"]) + "".join(rng.choice(["a", "the", "'", "re", "'s", "é", "日", "12", "!", "..", "\x1d", "\u200b"]) for _ in range(12))
+        assert inner.table(chunk) == counter.encode([chunk[:i] for i in range(len(chunk) + 1)]), repr(chunk)
+
+
+def test_budgets_inside_long_chunks_and_special_strings():
+    """The longest prefix within a budget, against one that encodes every prefix of the chunk that passes it."""
+    counter = token_counts.PrefixCounter(registry.tokenizer_path("byte_bpe_50k.json"))
+    inner = token_counts.ChunkPrefixes(counter)
+    rng = random.Random(11)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz019!?-éß") for _ in range(10_000))
+    texts = [long, "x " + long, "one two<|endoftext|>three", "a!<|endoftext|><|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>y", " \x1c\u200b z"]
+    for text in texts:
+        ((_, chunks, counts),) = token_counts.counted(counter, [text])
+        assert "".join(chunks) == text and counts[-1] == counter.encode([text])[0]
+        for budget in (0, 1, 2, 3, 4, 5, 7, 50, 4000):
+            at = int(np.searchsorted(counts, budget, side="right"))
+            if at == len(chunks):
+                continue
+            begin = sum(map(len, chunks[:at]))
+            got = token_counts.fit_inside(counter, inner, chunks, counts, at, budget)
+            ends = range(begin, begin + len(chunks[at]))
+            if len(ends) > 1000:
+                ends = range(max(begin, got - 40), got + 40)
+            fits = [e for e, n in zip(ends, counter.encode([text[:e] for e in ends]), strict=True) if n <= budget]
+            assert got == max(fits, default=begin), (text[:30], budget)
 
 
 # 4
@@ -262,6 +289,54 @@ def test_plan_keeps_every_capacity(capacity):
         assert len(b) <= capacity.documents and sum(n * n for _, n in b) <= capacity.attention
 
 
+def brute_best_fit(lengths, capacity):
+    """Pieces one by one, longest first, each to the feasible sequence of least weighted residual norm."""
+    full = (capacity.tokens, capacity.documents, capacity.attention)
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        demand, best = (n, 1, n * n), None
+        for b in bins:
+            rest = [r - d for r, d in zip(b["rest"], demand, strict=True)]
+            if min(rest) >= 0:
+                norm = sum((r / f * w) ** 2 for r, f, w in zip(rest, full, capacity.weights, strict=True))
+                if best is None or norm < best[0] - 1e-12:
+                    best = (norm, b, rest)
+        if best is None:
+            bins.append({"rest": [f - d for f, d in zip(full, demand, strict=True)], "held": [n]})
+        else:
+            best[1]["rest"] = best[2]
+            best[1]["held"].append(n)
+    return sorted(sorted(b["held"]) for b in bins)
+
+
+@pytest.mark.parametrize("capacity", [packing.Capacity(), packing.Capacity(4096, 3), packing.Capacity(4096, 12, 9_000_000, (1.0, 2.0, 0.5))])
+def test_plan_equals_best_fit_piece_by_piece(capacity):
+    rng = random.Random(6)
+    histogram = {rng.choice([rng.randint(1, 60), rng.randint(60, 900), rng.randint(900, 3000)]): rng.randint(1, 6) for _ in range(90)}
+    bins = {}
+    steps = packing.plan(histogram, capacity)
+    for length, count in histogram.items():
+        own = sorted((s for s in steps if s.length == length), key=lambda s: s.rank)
+        for s, nxt in zip(own, [*own[1:], None], strict=True):
+            for i in range((nxt.rank if nxt else count) - s.rank):
+                bins.setdefault(s.first + i // s.each, []).append(length)
+    every = [n for n, c in histogram.items() for _ in range(c)]
+    want = brute_best_fit(every, capacity)
+    assert len(bins) == len(want) and sorted(n for b in bins.values() for n in b) == sorted(every)
+    if capacity == packing.Capacity():  # no more sequences than by tokens alone
+        assert len(want) <= len(brute_best_fit(every, packing.Capacity(4096, 1 << 40, 1 << 60, (1.0, 0.0, 0.0))))
+        assert sorted(sorted(b) for b in bins.values()) == want
+
+
+def test_packing_of_rows_without_ids(spark):
+    """Rows of a null doc_id and repeated rows have places of their own."""
+    path = registry.tokenizer_path("word_bpe_49k.json")
+    rows = [(None, "one two"), (None, "one two"), (None, "three"), (4, None), (4, None), (None, None)]
+    got = packing.pack_documents(frame(spark, rows), path).collect()
+    assert len(got) == len(rows) and len({(r.sequence_id, r.offset) for r in got}) == len(rows)
+    check_layout([(r.sequence_id, r.offset, r.length) for r in got], 4096)
+
+
 # 5
 
 
