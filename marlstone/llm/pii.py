@@ -1,18 +1,25 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers that they miss.
 
 Base spans come from regular expressions with checks (parts of addresses, checksums, digit counts); their places
-follow from the lengths of what lies between matches. They are the seeds of a bootstrap over the whole corpus: every
-base span, spaces within it included, and outside of base spans every maximal run of digits with spaces, brackets
-and the like, and every other token with a digit or an @, is an instance, and the word before it with its shape is
-its lexical pattern. Patterns are scored on the graph of patterns and instances: how surely what they precede is a
-known identifier, times the logarithm of how many different ones; instances by the best of their patterns in
-different texts. Instances that score high become known and the graph is scored again, until none is added. What is
-known at the end and lies outside every base span is added; what has the form of a base kind and fails its check
-counts against a pattern and is never added. Runs with spaces must also have as many digits as their kind. All steps
-are DataFrame operations; a pattern or an instance that a third of all rows share is summed before the shuffle.
-
-Cases: null and empty texts have no spans; repeated rows get equal results; empty tables give no rows; runs of
-digits of any length are matched without recursion; other columns are not used.
+follow from the lengths of what lies between matches. With identifiers of three more forms (bank accounts with a
+checksum, long hexadecimal keys, social security numbers) they are the seeds of a bootstrap over the whole corpus.
+
+Every seed, and outside of seeds every run of digits with spaces and brackets and every other token that looks like an
+identifier, is an instance. The word before it, the two words before it and the word after it are its lexical
+patterns. Patterns are scored on the graph of patterns and instances: the share of the pattern's occurrences in ALL
+texts that stand at a known identifier, times the logarithm of how many different ones. So a common word scores
+little, however many identifiers it precedes, and "token =" or "ssn:" much. A pattern carries over from the form of
+its seeds to others: what stands in the slot of a high-confidence pattern becomes known, as its pattern's kind where it
+can be of that kind, else as "id"; then the graph is scored again, until nothing is added.
+
+Added are, outside of base spans: what became known, where it stands in such a slot or is long enough to be known by
+itself; bank accounts, which a checksum proves; and keys and social security numbers where a high-confidence pattern
+confirms them (a hash in prose is no secret). What has the form of its pattern's kind and fails its check is never
+added. All steps are DataFrame operations; patterns and instances are summed before the shuffle.
+
+Cases: null and empty texts have no spans; repeated rows get equal results; rows of a null doc_id are treated as any
+other, by their text; empty tables give no rows; runs of digits of any length are matched without recursion; other
+columns are not used.
 """
 
 from __future__ import annotations
@@ -30,21 +37,42 @@ KINDS = {
     "card": r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Forms of further seeds. A bank account's checksum is proof enough; the others need a context that confirms them.
+FORMS = {
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+}
+SURE = (*KINDS, "iban")
+#: Kinds in the order of results; "id" is an identifier of no other kind.
+ORDER = (*KINDS, *FORMS, "id")
 #: The least precision and the least number of different known identifiers of a pattern.
-PRECISION = 0.9
+PRECISION = 0.5
 SUPPORT = 5
-#: Least score of an instance: precision times the base-2 logarithm of the pattern's known identifiers.
+#: Least score of a pattern: precision times the base-2 logarithm of its known identifiers.
 SCORE = 2.0
-
-#: A whole token in the form of an address, a card or a phone number.
-_FORMED = r"^(?:[0-9](?:[\x20-]?[0-9])++|[0-9]++(?:\.[0-9]++){3}|\+[0-9][\x20().0-9-]+[0-9])$"
+#: Letters and digits of a word that is known by itself, wherever it stands.
+OWN = 8
+#: Rows of a table of patterns that is broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+#: Whole words in the form of a kind that has a check.
+_FORMED = {
+    "ip": r"^[0-9]++(?:\.[0-9]++){3}$",
+    "card": r"^(?=(?:[^0-9]*[0-9]){13,19}[^0-9]*$)[0-9](?:[\x20-]?[0-9])++$",
+    "phone": r"^\+[0-9][\x20().0-9-]+[0-9]$",
+    "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
+    "iban": r"^[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{8,}$",
+}
 #: A run of digits with spaces and brackets, what stands glued before it included; else a whole token.
-_RUN = r"\+?+(?:\((?=[0-9]++\)))?+[0-9][0-9\x20\u00A0\u202F()./-]*[0-9](?=[^\p{L}\p{N}+@\s]*+(?!\S))"
+_RUN = r"\+?+(?:\((?=[0-9]++\)))?+[0-9][0-9\x20\x{A0}\x{202F}()./-]*[0-9](?=[^\p{L}\p{N}+@\s]*+(?!\S))"
 _GLUED = r"(?:[^\s0-9@+(]*+(?<=[:=]))?+(?:(?!\([0-9]++\))[^\p{L}\p{N}+@\s])*+"
+_LABEL = r"^(?:[^\s=:@0-9]++[=:]++(?!/))?+(?:(?!\([0-9]++\))[^A-Za-z0-9+@])*+"
 _TOKEN = rf"(?<!\S)(?:{_GLUED}{_RUN}|\S*?[0-9@]\S*+)"
-_SPACED = r"[\x20\u00A0\u202F]"
-#: Code points in which the word before an instance is sought first; where it is longer, ten times as many.
-REACH = 40
+_SPACED = r"[\x20\x{A0}\x{202F}]"
+_SPANS = "array<struct<start:int,end:int,word:string>>"
+#: Code points in which the words around an instance are sought; where they are longer, ten times as many, then all.
+REACH = 60
 
 
 def _digits(match: Column) -> Column:
@@ -64,6 +92,16 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(own, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+def _mod97(account: Column) -> Column:
+    """A bank account, its first four characters moved to the end and letters as numbers from 10, modulo 97."""
+    moved = F.concat(F.substring(account, 5, 40), F.substring(account, 1, 4))
+
+    def add(acc, x):
+        return F.when(x.rlike("[0-9]"), (acc * 10 + x.try_cast("int")) % 97).otherwise((acc * 100 + F.ascii(x) - 55) % 97)
+
+    return F.aggregate(F.filter(F.split(moved, ""), lambda x: x != ""), F.lit(0), add)
+
+
 def _valid(kind: str, match: Column) -> Column:
     digits = _digits(match)
     if kind == "ip":
@@ -73,6 +111,12 @@ def _valid(kind: str, match: Column) -> Column:
         return F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(digits).between(9, 15)
+    if kind == "iban":
+        return _mod97(F.regexp_replace(match, " ", "")) == 1
+    if kind == "secret":
+        return match.rlike("[0-9]") & match.rlike("[A-Fa-f]")
+    if kind == "ssn":
+        return match.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
     return F.lit(True)
 
 
@@ -99,14 +143,14 @@ def matches(text: str, pattern: str) -> Column:
         return F.struct(start.alias("start"), (start + F.length(x["word"])).alias("end"), x["word"].alias("word"))
 
     spans = F.transform(F.arrays_zip(starts.alias("start"), found.alias("word")), span)
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int,word:string>>"))
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(_SPANS))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text, and an array of spans (start, end, word) for each kind."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("digit", F.col("text").rlike("[0-9]"))
-    none = F.array().cast("array<struct<start:int,end:int,word:string>>")
+    none = F.array().cast(_SPANS)
     may = {"email": F.contains("text", F.lit("@")), "phone": F.col("digit") & F.contains("text", F.lit("+"))}
     for kind, pattern in KINDS.items():
         spans = F.filter(matches("text", pattern), _checks(kind))
@@ -116,91 +160,150 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 def _listed(kind: str) -> Column:
     """The spans of a kind's column as (order of the kind, kind, start, end)."""
-    order = list(KINDS).index(kind)
+    order = ORDER.index(kind)
     return F.transform(kind, lambda x: F.struct(F.lit(order).alias("order"), F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
 
-def _word_before(text: str, start: str) -> Column:
-    """The word before a place, in lower case, '' if there is none. Marks that open the instance are no word."""
+def _words_before(text: str, start: str) -> Column:
+    """The two words before a place (one if there is one only, else ''), in lower case with a space between.
+
+    Marks that open the instance are no word.
+    """
     at = F.col(start)
 
     def within(reach: int) -> Column:
         head = F.substring(F.col(text), F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach)))
         head = F.regexp_replace(head, r"(?<!\S)[^\p{L}\p{N}+@\s]++\z", "")
-        whole = F.regexp_extract(head, r"(?<!\S)(\S++)\s*+\z", 1)
-        return F.when(at <= reach, whole).otherwise(F.nullif(F.regexp_extract(head, r"\s(\S++)\s*+\z", 1), F.lit("")))
+        whole = F.regexp_extract(head, r"(?<!\S)(\S++\s++\S++|\S++)\s*+\z", 1)
+        return F.when(at <= reach, whole).otherwise(F.nullif(F.regexp_extract(head, r"\s(\S++\s++\S++)\s*+\z", 1), F.lit("")))
 
-    return F.lower(F.coalesce(*(within(reach) for reach in (REACH, REACH * 10, REACH * 100, (1 << 31) - 1))))
+    found = F.coalesce(*(within(reach) for reach in (REACH, REACH * 10, (1 << 31) - 1)))
+    return F.regexp_replace(F.lower(found), r"\s++", " ")
 
 
-def _may_be(word: Column, kind: Column) -> Column:
-    """Whether an instance outside the base spans may be one of a kind.
+def _word_after(text: str, end: str) -> Column:
+    """The word after the token that ends with an instance, in lower case; '' if there is none."""
 
-    What has the form of a base kind has failed its check. A spaced run of fewer digits than a card's is no form of
-    a card.
-    """
-    digits, spaced = _digits(word), word.rlike(_SPACED)
-    n = F.length(digits)
-    short = spaced & ~word.startswith("+") & (n < 13)
-    fits = F.when(kind == "phone", n.between(7, 15)).when(kind == "card", n.between(13, 19) & _luhn(digits)).otherwise(False)
-    return (short | ~word.rlike(_FORMED)) & (~spaced | fits)
+    def within(reach: int) -> Column:
+        tail = F.substring(F.col(text), F.col(end) + 1, F.lit(reach))
+        whole = F.regexp_extract(tail, r"^\S*+\s++(\S++)", 1)
+        return F.when(F.length(tail) < reach, whole).otherwise(F.nullif(F.regexp_extract(tail, r"^\S*+\s++(\S++)\s", 1), F.lit("")))
+
+    return F.lower(F.coalesce(*(within(reach) for reach in (REACH, REACH * 10, (1 << 31) - 1))))
+
+
+def kind_of(word: Column, said: Column) -> Column:
+    """What an instance in the slot of a pattern of kind `said` is: that kind, "id", or null if it may be neither."""
+    n, spaced, letters = F.length(_digits(word)), word.rlike(_SPACED), word.rlike(r"\p{L}")
+    mixed = letters & (n > 0)
+    fits = (
+        F.when(said == "email", F.contains(word, F.lit("@")))
+        .when(said == "ip", word.rlike("^[0-9A-Fa-f]++(?:[.:]++[0-9A-Fa-f]++){2,}$"))
+        .when(said == "card", ~letters & n.between(13, 19) & _luhn(_digits(word)))
+        .when(said == "phone", ~letters & n.between(7, 15))
+        .when(said == "iban", word.rlike("^[A-Z]{2}[0-9]{2}") & n.between(8, 34))
+        .when(said == "secret", ~spaced & (mixed & (F.length(word) >= 8) | (F.length(word) >= 16)))
+        .when(said == "ssn", ~letters & (n == 9))
+        .otherwise(False)
+    )
+    failed = F.coalesce(*(F.when(said == k, word.rlike(form)) for k, form in _FORMED.items()), F.lit(False))
+    plain = ~spaced & ((n >= 6) | mixed & (F.length(word) >= 8))
+    return F.when(failed, None).when(fits, said).when(plain, F.lit("id"))
 
 
 def _instances(based: DataFrame) -> DataFrame:
-    """doc_id, h, start, end, word, left, shape, kind of base spans (with their kind) and of candidates (kind NULL).
+    """doc_id, h, start, end, word, kind, slots of seeds (with their kind) and of candidates (kind NULL).
 
-    Candidates are runs and tokens that meet no base span.
+    Candidates are runs and tokens that meet no seed and look like identifiers: at least five digits, or eight
+    characters with letters and digits, or an @. slots: the patterns, each a side ("<", "<<" or ">") and words.
     """
-    none = F.lit(None).cast("string").alias("kind")
 
     def seeds(kind):
         return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["word"].alias("word"), F.lit(kind).alias("kind")))
 
     def candidate(t):
         run = t["word"].rlike(rf"^{_GLUED}{_RUN}$")
-        lead = F.when(run, F.regexp_extract(t["word"], rf"^{_GLUED}", 0)).otherwise(F.regexp_extract(t["word"], r"^(?:(?!\([0-9]++\))[^A-Za-z0-9+@])*+", 0))
+        lead = F.when(run, F.regexp_extract(t["word"], rf"^{_GLUED}", 0)).otherwise(F.regexp_extract(t["word"], _LABEL, 0))
         word = F.regexp_replace(F.substring(t["word"], F.length(lead) + 1, F.length(t["word"])), r"[^A-Za-z0-9]++$", "")
-        return F.struct((t["start"] + F.length(lead)).alias("start"), word.alias("word"), none)
+        return F.struct((t["start"] + F.length(lead)).alias("start"), word.alias("word"), F.lit(None).cast("string").alias("kind"))
+
+    def apart(start, end, spans):
+        return ~F.exists(spans, lambda x: (x["start"] < end) & (x["start"] + F.length(x["word"]) > start))
 
-    def free(c):
-        return (c["word"] != "") & ~F.exists("known", lambda s: (s["start"] < c["start"] + F.length(c["word"])) & (s["end"] > c["start"]))
+    def likely(c):
+        word = c["word"]
+        mixed = (F.length(word) >= 8) & word.rlike("[0-9]") & word.rlike(r"\p{L}")
+        return ((F.length(_digits(word)) >= 5) | mixed | word.rlike(r"[^@]@[^@]")) & apart(c["start"], c["start"] + F.length(word), "seeds")
 
     own = based.where(F.col("text").rlike("[0-9@]"))
-    own = own.select("doc_id", F.xxhash64("text").alias("h"), "text", F.concat(*(_listed(k) for k in KINDS)).alias("known"), F.concat(*(seeds(k) for k in KINDS)).alias("seeds"), matches("text", _TOKEN).alias("token"))
-    own = own.withColumn("candidates", F.filter(F.transform("token", candidate), free))
+    own = own.select("doc_id", F.xxhash64("text").alias("h"), "text", F.concat(*map(seeds, KINDS)).alias("seeds"))
+    for kind, form in FORMS.items():
+        found = F.filter(F.filter(matches("text", form), _checks(kind)), lambda x: apart(x["start"], x["end"], "seeds"))
+        own = own.withColumn(kind, F.when(F.col("text").rlike(form), found).otherwise(F.array().cast(_SPANS)))
+        own = own.withColumn("seeds", F.concat("seeds", seeds(kind)))
+    own = own.withColumn("candidates", F.filter(F.transform(matches("text", _TOKEN), candidate), likely))
     own = own.select("doc_id", "h", "text", F.explode(F.concat("seeds", "candidates")).alias("i")).select("doc_id", "h", "text", "i.start", "i.word", "i.kind")
-    plus = F.when(F.col("word").startswith("+"), "+").otherwise("")
-    mixed = F.when(F.col("word").rlike(r"\p{L}"), "mixed").otherwise("digits")
-    shape = F.when(F.contains("word", F.lit("@")), "@").when(F.col("word").rlike(_SPACED), "spaced").otherwise(F.concat(plus, mixed))
-    return own.select("doc_id", "h", "start", (F.col("start") + F.length("word")).alias("end"), "word", _word_before("text", "start").alias("left"), shape.alias("shape"), "kind")
+    own = own.withColumn("end", F.col("start") + F.length("word"))
+    own = own.withColumns({"before": _words_before("text", "start"), "after": _word_after("text", "end")})
+    last = F.substring_index("before", " ", -1)
+    slots = F.array(F.when(last != "", F.concat(F.lit("< "), last)), F.when(F.col("before").contains(" "), F.concat(F.lit("<< "), "before")), F.when(F.col("after") != "", F.concat(F.lit("> "), "after")))
+    return own.select("doc_id", "h", "start", "end", "word", "kind", F.array_compact(slots).alias("slots"))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its rows, which are counted, are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _occurrences(based: DataFrame, patterns: DataFrame) -> DataFrame:
+    """slot, total: how often the words of each pattern (column slot) occur in all texts."""
+    sought = written(patterns.select(F.substring_index("slot", " ", 1).alias("side"), F.expr("substring(slot, instr(slot, ' ') + 1)").alias("words"), "slot"), "sought")
+    tokens = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
+    own = based.select(tokens.alias("w")).select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("p"))
+    own = own.select(F.explode(F.array(F.col("p.a"), F.concat_ws(" ", "p.a", "p.b"))).alias("words"))
+    counted = own.join(_small(written(sought.select("words").distinct(), "words")), "words", "left_semi").groupBy("words").agg(F.count(F.lit(1)).alias("total"))
+    return sought.join(counted, "words", "left").select("slot", F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def scored_patterns(pairs: DataFrame, known: DataFrame, totals: DataFrame) -> DataFrame:
+    """slot, said, score of the patterns that score high. pairs: slot, word, n; known: word, known; totals: slot, total."""
+    graph = pairs.join(known, "word", "left")
+    hit = F.col("known").isNotNull()
+    pattern = graph.groupBy("slot").agg(F.count_if(hit).alias("hits"), F.sum(F.when(hit, F.col("n"))).alias("right"), F.sum("n").alias("held"), F.mode("known", True).alias("said"))
+    precise = F.col("right") / F.greatest("held", "total")
+    scored = pattern.where(F.col("hits") >= SUPPORT).join(totals, "slot").withColumn("precision", precise).where(F.col("precision") >= PRECISION)
+    return scored.select("slot", "said", (F.col("precision") * F.log2("hits")).alias("score")).where(F.col("score") >= SCORE)
 
 
 def bootstrap(based: DataFrame) -> DataFrame:
     """doc_id, h, kind, start, end: spans outside the base spans that contexts show to be identifiers."""
     every = written(_instances(based), "instances")
-    pairs = written(every.where("left <> ''").groupBy("left", "shape", "word").agg(F.count(F.lit(1)).alias("n")), "graph")
+    pairs = written(every.select(F.explode("slots").alias("slot"), "word").groupBy("slot", "word").agg(F.count(F.lit(1)).alias("n")), "graph")
+    frequent = pairs.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
+    totals = written(_occurrences(based, frequent), "totals")
     known = written(every.where("kind IS NOT NULL").groupBy("word").agg(F.max("kind").alias("known")), "known")
-    before, n = -1, known.count()
+    before, n, strong = -1, known.count(), None
     while n > before:  # known instances only grow in number, and so do the hits of a pattern
-        graph = pairs.join(known, "word", "left")
-        pattern = graph.groupBy("left", "shape").agg(F.count_if(F.col("known").isNotNull()).alias("hits"), F.count(F.lit(1)).alias("all"), F.mode("known", True).alias("said"))
-        precise = F.col("hits") / F.col("all")
-        strong = pattern.where((F.col("hits") >= SUPPORT) & (precise >= PRECISION)).withColumn("score", precise * F.log2("hits"))
-        named = pairs.join(strong, ["left", "shape"]).where(_may_be(F.col("word"), F.col("said")))
-        named = named.groupBy("word").agg(F.max(F.struct("score", "said")).alias("best")).where(F.col("best.score") >= SCORE)
-        grown = named.select("word", F.col("best.said").alias("found")).join(known, "word", "full")
-        known = written(grown.select("word", F.coalesce("known", "found").alias("known")), "known")
+        strong = _small(written(scored_patterns(pairs, known, totals), "patterns"))
+        named = pairs.join(strong, "slot").groupBy("word").agg(F.max(F.struct("score", "said")).alias("best"))
+        named = named.select("word", kind_of(F.col("word"), F.col("best.said")).alias("found")).where("found IS NOT NULL")
+        grown = named.join(known, "word", "full").select("word", F.coalesce("known", "found").alias("known"))
+        known = written(grown, "known")
         before, n = n, known.count()
-    found = every.where("kind IS NULL").join(known, "word").where(_may_be(F.col("word"), F.col("known")))
-    return found.select("doc_id", "h", F.col("known").alias("kind"), "start", "end")
+    open_ = every.where(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)))
+    place = ["doc_id", "h", "word", "kind", "start", "end"]
+    held = open_.select(*place, F.explode_outer("slots").alias("slot")).join(strong, "slot", "left")
+    held = held.groupBy(*place).agg(F.max("score").isNotNull().alias("held")).join(known, "word")
+    by_itself = F.col("kind").isNull() & (F.length(F.regexp_replace("word", r"[^\p{L}\p{N}]", "")) >= OWN)
+    added = held.where(F.coalesce(F.col("kind").isin(*SURE), F.lit(False)) | F.col("held") | by_itself)
+    return added.select("doc_id", "h", F.coalesce("kind", "known").alias("kind"), "start", "end")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """One row per document row: doc_id, base and spans: arrays of (order of the kind, kind, start, end), sorted."""
     based = base_spans(docs)
     added = bootstrap(based)
-    order = {k: i for i, k in enumerate(KINDS)}
-    kind_order = F.coalesce(*(F.when(F.col("kind") == k, i) for k, i in order.items()))
+    kind_order = F.coalesce(*(F.when(F.col("kind") == k, i) for i, k in enumerate(ORDER)))
     extra = added.groupBy("doc_id", "h").agg(F.collect_set(F.struct(kind_order.alias("order"), "kind", "start", "end")).alias("extra"))
 
     own = based.select("doc_id", F.xxhash64("text").alias("h"), F.concat(*(_listed(k) for k in KINDS)).alias("base"))

@@ -100,7 +100,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in documents."""
     found = pii.find_personal_data(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", *(pii.count_of(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id",
+        *(pii.count_of(k).alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"),
+        pii.digest(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+    )
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
