@@ -427,8 +427,13 @@ def test_toxicity(spark):
 # 8
 
 
+def license_text(label, at=-1):
+    """The longest template of a label, or the one at a place."""
+    return sorted((t.text for t in license_scan.TEMPLATES if t.label == label), key=len)[at]
+
+
 def test_license_scan(spark, odd, real):
-    mit = license_scan.TEMPLATES[5].text
+    mit = license_text("mit")
     broken = mit.replace("free of charge", "entirely free of any charge")
     rows = [*odd, *real[:60], (7001, "CC BY cc-by! General  Public license all rights reserved cc by cc by"), (7002, mit.upper()), (7003, "x " * 9 + broken), (7004, "all rights all rights reserved"), (7005, " ".join(mit.split()[:6]))]
     got = {r.doc_id: r for r in license_scan.scan(frame(spark, rows)).collect()}
@@ -448,6 +453,78 @@ def test_license_scan(spark, odd, real):
     assert license_scan.scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_license_texts_and_adversaries(spark):
+    """Each template by itself gives its label alone; repeats of its words, a sister license and cuts do not hide it."""
+    rows = list(enumerate(t.text for t in license_scan.TEMPLATES))
+    apache, lgpl, bsd = license_text("apache"), license_text("lgpl"), license_text("bsd")
+    more = {
+        100: (apache + " the license" * 60, "apache"),
+        101: ("the license " * 60 + apache, "apache"),
+        102: (apache + " of the License at" * 40 + " you may not use this file" * 40, "apache"),
+        103: (lgpl + "\n" + bsd, "bsd,lgpl"),
+        104: (" ".join(w for i, w in enumerate(bsd.split()) if i % 23), "bsd"),
+        105: ("under the terms of the " * 80, ""),
+        106: ("Licensed under the Apache License " * 3, ""),
+        107: (apache + " filler " + apache, "apache"),
+    }
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, rows + [(i, t) for i, (t, _) in more.items()]), [], None).collect()}
+    assert {i: got[i].labels for i, _ in rows} == {i: t.label for i, t in enumerate(license_scan.TEMPLATES)}
+    assert {i: got[i].labels for i in more} == {i: want for i, (_, want) in more.items()}
+
+
+def brute_copies(text, templates):
+    """Labels, words and shares of copies by the definition: every diagonal with its neighbours."""
+    k, w, out = license_scan.GRAM, words9(text), []
+    for t in templates:
+        q = words9(t.text)
+        n = len(q) - k + 1
+        near = max([3] + [3 * 2**j for j in range(11) if j and n >= 3 * 2**j * 20])
+        votes = {}
+        for i in range(len(w) - k + 1):
+            for j in range(n):
+                if w[i : i + k] == q[j : j + k]:
+                    votes.setdefault(i - j, set()).add(j)
+        sound = []
+        for d in sorted(votes):
+            close = [e for e in votes if abs(e - d) <= near]
+            covered = set().union(*(votes[e] for e in close))
+            if len(covered) >= 0.6 * n:
+                span = (min(e + min(votes[e]) for e in close), max(e + max(votes[e]) + k - 1 for e in close))
+                sound.append((d, len(covered), len(covered) / n, *span))
+        while sound:
+            run = [sound.pop(0)]
+            while sound and sound[0][0] - run[-1][0] <= near:
+                run.append(sound.pop(0))
+            d, covered, share, first, last = max(run, key=lambda x: (x[1], -x[0]))
+            out.append((t.label, first, last, round(share, 9), covered))
+    return sorted(
+        x[:4] for x in out if not any(y[0] != x[0] and y[1] <= x[2] and x[1] <= y[2] and y[4] >= x[4] and y[3] > x[3] for y in out)
+    )
+
+
+def test_license_diagonals_equal_brute_force(spark):
+    rng = random.Random(31)
+    templates = [license_scan.Template(f"t{i % 6}", " ".join(rng.choice("abcdefghij") + str(rng.randrange(12)) for _ in range(n))) for i, n in enumerate([4, 5, 9, 20, 70, 70, 130, 260])]
+    templates.append(license_scan.Template("sister", " ".join(w if i % 15 else "other" for i, w in enumerate(templates[6].text.split()))))
+    rows = []
+    for i in range(60):
+        w = []
+        for _ in range(rng.randint(1, 3)):
+            own = rng.choice(templates).text.split()
+            for _ in range(rng.choice([0, 0, 2, 6, 20])):
+                at = rng.randrange(len(own))
+                own[at : at + rng.choice([0, 1, 1, 4])] = [rng.choice(own)] * rng.choice([0, 1, 3])
+                own = own or ["x"]
+            w += own[rng.choice([0, 0, len(own) // 3]) :] + [rng.choice(["x", "a1", "b2"])] * rng.randint(0, 9)
+        rows.append((i, " ".join(w)))
+    rows.append((60, " ".join(templates[5].text.split()[:8] * 50)))
+    got = {i: [] for i, _ in rows}
+    for r in license_scan.license_spans(frame(spark, rows), templates).collect():
+        got[r.doc_id].append((r.label, r.first, r.last, round(r.score, 9)))
+    assert {i: sorted(x) for i, x in got.items()} == {i: brute_copies(t, templates) for i, t in rows}
+    assert sum(map(bool, got.values())) > 20
+
+
 # 9
 
 
