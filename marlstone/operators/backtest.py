@@ -1,12 +1,16 @@
 """Backtests: evaluation of given weights, walk-forward fitting, scenario grids and selection.
 
 A scenario is a partition key: all scenarios run in one job. Fitting is a Python callable on the rows before a
-rebalance date, so it runs in grouped Arrow stages; realising, costs, caps and metrics are column expressions.
+rebalance date. A window gathers these rows into an array of the date's own row, so fits of different dates know
+nothing of each other and spread over tasks, however few scenarios there are. What one rebalance hands to the next
+(trade filters, costs of moving) is a walk over one small row for each date. Realising, costs, caps and metrics are
+column expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 from itertools import product
 
@@ -140,13 +144,22 @@ def elastic_net(alpha: float, l1_ratio: float, steps: int = 1000) -> Fit:
     def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         n, d = x.shape
         gram, xy = x.T @ x / n, x.T @ y / n
-        w = np.zeros(d)
+        # without the absolute penalty this is the optimum; with it, a start close to it
+        w = np.linalg.solve(gram + (alpha * (1 - l1_ratio) + 1e-15) * np.eye(d), xy)
+        if alpha * l1_ratio == 0:
+            return w
+        rest, diagonal = xy - gram @ w, np.diag(gram).tolist()
         for _ in range(steps):
-            before = w.copy()
+            most = 0.0
             for j in range(d):
-                r = xy[j] - gram[j] @ w + gram[j, j] * w[j]
-                w[j] = np.sign(r) * max(abs(r) - alpha * l1_ratio, 0) / (gram[j, j] + alpha * (1 - l1_ratio) + 1e-15)
-            if np.abs(w - before).max() < 1e-10:
+                old = float(w[j])
+                r = float(rest[j]) + diagonal[j] * old
+                new = math.copysign(max(abs(r) - alpha * l1_ratio, 0.0), r) / (diagonal[j] + alpha * (1 - l1_ratio) + 1e-15)
+                if new != old:
+                    w[j] = new
+                    rest -= gram[j] * (new - old)
+                    most = max(most, abs(new - old))
+            if most < 1e-10:
                 break
         return w
 
@@ -191,16 +204,26 @@ def clipped(x: np.ndarray, y: np.ndarray, q: tuple[float, float] | None) -> tupl
     return np.clip(x, *np.quantile(x, q, axis=0)), np.clip(y, *np.quantile(y, q))
 
 
-def apply_caps(w: np.ndarray, x: np.ndarray, config: Config) -> np.ndarray:
-    """Gross exposure brought to its cap, then the Gaussian value at risk over the last rows."""
+def recent_covariance(x: np.ndarray, config: Config) -> np.ndarray:
+    """Sample covariance of the last var_rows rows; zero for a single one."""
+    recent = x[-config.var_rows :]
+    return np.atleast_2d(np.cov(recent.T)) if len(recent) > 1 else np.zeros((x.shape[1], x.shape[1]))
+
+
+def capped_by(w: np.ndarray, cov: np.ndarray, config: Config) -> np.ndarray:
+    """Gross exposure brought to its cap, then the Gaussian value at risk under a covariance."""
     gross = np.abs(w).sum()
     if gross > config.max_exposure:
         w = w * config.max_exposure / gross
-    recent = x[-config.var_rows :] @ w
-    var = -E.normal_quantile(config.confidence) * recent.std(ddof=1) * config.horizon**0.5 if len(recent) > 1 else 0.0
+    var = -E.normal_quantile(config.confidence) * math.sqrt(max(float(w @ cov @ w), 0.0) * config.horizon)
     return w * config.max_var / var if var > config.max_var else w
 
 
+def apply_caps(w: np.ndarray, x: np.ndarray, config: Config) -> np.ndarray:
+    """Gross exposure brought to its cap, then the Gaussian value at risk over the last rows."""
+    return capped_by(w, recent_covariance(x, config), config)
+
+
 def iterative_var_scale(w: np.ndarray, x: np.ndarray, max_var: float, step: float = 0.05, least: float = 0.1, confidence: float = risk.CONFIDENCE, horizon: int = risk.HORIZON) -> tuple[float, float]:
     """Largest scaling on a grid from 1 down whose historical value at risk passes the cap, else the least; and its risk.
 
@@ -216,33 +239,78 @@ def iterative_var_scale(w: np.ndarray, x: np.ndarray, max_var: float, step: floa
         scale -= step
 
 
-def walk_forward(rows: DataFrame, names: list[str], fit: Fit, config: Config, by: str = "scenario", target: str = "y") -> DataFrame:
-    """by, date, w_<name>: the weights of each rebalance date, fitted on the window of rows before it only.
+def training_windows(rows: DataFrame, names: list[str], config: Config, by: str = "scenario", target: str = "y") -> DataFrame:
+    """by, date, past: each rebalance date with the `window` rows before it, as arrays of the returns and the target.
 
-    Rows from position `window` on are evaluated; every rebalance_every-th of them rebalances. A scenario is one
-    group, since its trade filters make each rebalance depend on the one before; scenarios run side by side.
+    Rows from position `window` on are evaluated; every rebalance_every-th of them rebalances.
     """
+    along = Window.partitionBy(by).orderBy("date")
+    at = F.row_number().over(along) - 1 - config.window
+    past = F.collect_list(F.array(*(F.col(c).cast("double") for c in [*names, target]))).over(along.rowsBetween(-config.window, -1))
+    dated = rows.select(by, F.col("date"), at.alias("at"), past.alias("past")).where((F.col("at") >= 0) & (F.col("at") % config.rebalance_every == 0))
+    return dated.select(by, "date", "past").repartition(by, "date")
+
+
+Pass = Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]
+
+
+def fitted_by_date(windows: DataFrame, fit: Pass, columns: list[str], by: str = "scenario") -> DataFrame:
+    """by, date and array columns: what `fit` makes of each date's rows, every date by itself."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own in batches:
+            made = []
+            for past in own["past"]:
+                z = np.array([np.asarray(r, dtype=float) for r in past])
+                made.append(fit(z[:, :-1], z[:, -1]))
+            yield pd.DataFrame({by: own[by], "date": own["date"]} | {c: [np.ravel(m[c]).tolist() for m in made] for c in columns})
+
+    return windows.mapInPandas(run, f"{by} string, date date, " + ", ".join(f"{c} array<double>" for c in columns))
+
+
+Walk = Callable[[np.ndarray, pd.Series], np.ndarray]
+
+
+def walked(fits: DataFrame, walk: Walk, names: list[str], by: str = "scenario") -> DataFrame:
+    """by, date, w_<name>: weights in the order of dates, each from the weights before it and the date's own fit."""
     w = [f"w_{n}" for n in names]
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("date")
-        x, y = own[names].to_numpy(float), own[target].to_numpy(float)
         out, current = [], np.zeros(len(names))
-        for t in range(config.window, len(own), config.rebalance_every):
-            past = slice(t - config.window, t)
-            new = standardised(fit, config.scaling)(*clipped(x[past], y[past], config.clip))
-            new = apply_caps(new, x[past], config)
-            change = new - current
-            if config.threshold_l1 and np.abs(change).sum() < config.threshold_l1:
-                new = current
-            elif config.min_trade:
-                new = np.where(np.abs(change) < config.min_trade, current, new)
-            current = apply_caps(new, x[past], config)
-            out.append((own[by].iloc[0], own["date"].iloc[t], *current))
+        for row in own.sort_values("date").itertuples(index=False):
+            current = walk(current, row)
+            out.append((getattr(row, by), row.date, *current))
         return pd.DataFrame(out, columns=[by, "date", *w])
 
-    schema = f"{by} string, date date, " + ", ".join(f"{c} double" for c in w)
-    return rows.groupBy(by).applyInPandas(run, schema)
+    return fits.groupBy(by).applyInPandas(run, f"{by} string, date date, " + ", ".join(f"{c} double" for c in w))
+
+
+def walk_forward(rows: DataFrame, names: list[str], fit: Fit, config: Config, by: str = "scenario", target: str = "y") -> DataFrame:
+    """by, date, w_<name>: the weights of each rebalance date, fitted on the window of rows before it only.
+
+    Dates are fitted side by side. Only trade filters make a rebalance depend on the one before; with them, a walk
+    over the dates' weights and covariances follows.
+    """
+
+    def one(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        cov = recent_covariance(x, config)
+        new = standardised(fit, config.scaling)(*clipped(x, y, config.clip))
+        return {"w": capped_by(capped_by(new, cov, config), cov, config), "cov": cov}
+
+    fits = fitted_by_date(training_windows(rows, names, config, by, target), one, ["w", "cov"], by)
+    if not (config.threshold_l1 or config.min_trade):
+        return fits.select(by, "date", *(F.col("w")[i].alias(f"w_{n}") for i, n in enumerate(names)))
+
+    def filtered(current: np.ndarray, row) -> np.ndarray:
+        new = np.asarray(row.w, dtype=float)
+        change = new - current
+        if config.threshold_l1 and np.abs(change).sum() < config.threshold_l1:
+            new = current
+        elif config.min_trade:
+            new = np.where(np.abs(change) < config.min_trade, current, new)
+        return capped_by(new, np.asarray(row.cov, dtype=float).reshape(len(names), -1), config)
+
+    return walked(fits, filtered, names, by)
 
 
 def scenario_grid(spark: SparkSession, **axes: list) -> DataFrame:
@@ -357,29 +425,47 @@ def _limited(w: np.ndarray, max_exposure: float, cap: float, long_only: bool) ->
     return np.sign(w) * np.clip(size, 0, cap)
 
 
-def predict_then_optimise(rows: DataFrame, names: list[str], fit: Fit, config: Config, top_k: int = 5, risk_aversion: float = 2.0, cap: float = 0.5, by: str = "scenario", target: str = "y") -> DataFrame:
-    """Rebalance weights from a fit on the columns most correlated with the target, then a cost-aware optimisation."""
-    w = [f"w_{n}" for n in names]
+@dataclass(frozen=True)
+class OptimiserConfig:
+    """Settings of predict_then_optimise beside the backtest's own; what is out of range raises."""
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("date")
-        x, y = own[names].to_numpy(float), own[target].to_numpy(float)
-        out, current = [], np.zeros(len(names))
-        for t in range(config.window, len(own), config.rebalance_every):
-            past = slice(t - config.window, t)
-            close = np.array([abs(np.corrcoef(x[past, j], y[past])[0, 1]) if x[past, j].std() else 0.0 for j in range(len(names))])
-            active = np.sort(np.argsort(-close, kind="stable")[:top_k])
-            alpha = fit(x[past][:, active], y[past])
-            cov = shrunk_covariance(x[past][:, active]) * risk.ANNUAL
-            # with slack limits and no cost the optimum is the fit itself
-            part = optimise(risk_aversion * cov @ alpha, cov, current[active], risk_aversion, config.cost_bps / 1e4, config.max_exposure, cap)
-            current = np.zeros(len(names))
-            current[active] = part
-            out.append((own[by].iloc[0], own["date"].iloc[t], *current))
-        return pd.DataFrame(out, columns=[by, "date", *w])
+    top_k: int = 5
+    risk_aversion: float = 2.0
+    cap: float = 0.5
+    long_only: bool = False
+    ledoit_wolf: bool = True
 
-    schema = f"{by} string, date date, " + ", ".join(f"{c} double" for c in w)
-    return rows.groupBy(by).applyInPandas(run, schema)
+    def __post_init__(self) -> None:
+        if self.top_k < 1 or self.risk_aversion <= 0 or self.cap <= 0:
+            raise ValueError("top_k, risk_aversion and cap must be above 0")
+
+
+def predict_then_optimise(rows: DataFrame, names: list[str], fit: Fit, config: Config, optimiser: OptimiserConfig = OptimiserConfig(), by: str = "scenario", target: str = "y") -> DataFrame:
+    """Rebalance weights from a fit on the columns most correlated with the target, then a cost-aware optimisation.
+
+    Choice of columns, fit and shrunk covariance are each date's own and run side by side; the optimum depends on the
+    weights before it, so it follows in a walk.
+    """
+    d = len(names)
+
+    def one(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        close = np.array([abs(np.corrcoef(x[:, j], y)[0, 1]) if x[:, j].std() else 0.0 for j in range(d)])
+        active = np.sort(np.argsort(-close, kind="stable")[: optimiser.top_k])
+        cov = shrunk_covariance(x[:, active], optimiser.ledoit_wolf) * risk.ANNUAL
+        return {"active": active.astype(float), "alpha": fit(x[:, active], y), "cov": cov}
+
+    def best(current: np.ndarray, row) -> np.ndarray:
+        active = np.asarray(row.active, dtype=int)
+        cov, alpha = np.asarray(row.cov, dtype=float).reshape(len(active), -1), np.asarray(row.alpha, dtype=float)
+        # with slack limits and no cost the optimum is the fit itself
+        wanted = optimiser.risk_aversion * cov @ alpha
+        part = optimise(wanted, cov, current[active], optimiser.risk_aversion, config.cost_bps / 1e4, config.max_exposure, optimiser.cap, optimiser.long_only)
+        new = np.zeros(d)
+        new[active] = part
+        return new
+
+    fits = fitted_by_date(training_windows(rows, names, config, by, target), one, ["active", "alpha", "cov"], by)
+    return walked(fits, best, names, by)
 
 
 def config_map(config: Config) -> Column:

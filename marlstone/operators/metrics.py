@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import expr as E
+from marlstone.operators.panel import value_range
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -52,12 +53,26 @@ def report(df: DataFrame, label: str, predicted: str) -> DataFrame:
 def score_groups(df: DataFrame, label: str, score: str, *by: str) -> DataFrame:
     """by, score, pos, neg and their counts at higher scores and in all: one row per distinct score.
 
-    Equal scores are summed before the ordered window, which then sees distinct scores only.
+    Equal scores are summed before the ordered window, which then sees distinct scores only. Without a group the
+    order is laid over ranges of scores, each of which is ordered by itself.
     """
     each = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    above = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return each.withColumns({"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above), "n_pos": F.sum("pos").over(whole), "n_neg": F.sum("neg").over(whole)})
+    if by:
+        above = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy(*by)
+        return each.withColumns({"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above), "n_pos": F.sum("pos").over(whole), "n_neg": F.sum("neg").over(whole)})
+    ranged = each.withColumn("range", value_range(each, "score"))
+    beyond = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    offsets = sums.select(  # a row for each range
+        "range",
+        *(F.coalesce(F.sum(c).over(beyond), F.lit(0)).alias(f"{c}_beyond") for c in "pq"),
+        F.sum("p").over(Window.partitionBy()).alias("n_pos"),
+        F.sum("q").over(Window.partitionBy()).alias("n_neg"),
+    )
+    above = Window.partitionBy("range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    own = ranged.join(F.broadcast(offsets), "range").withColumns({"tp": F.sum("pos").over(above) + F.col("p_beyond"), "fp": F.sum("neg").over(above) + F.col("q_beyond")})
+    return own.drop("range", "p_beyond", "q_beyond")
 
 
 def roc_auc(df: DataFrame, label: str, score: str, *by: str) -> DataFrame:

@@ -143,3 +143,17 @@ def forward_rows(df: DataFrame, by: str, value: str, k: int) -> DataFrame:
     """Adds `ahead`, the values of the row and the k - 1 after it; rows without that many are dropped."""
     roll = Roll(by)
     return df.withColumn("ahead", F.collect_list(value).over(roll.ahead(k))).where(F.size("ahead") == k)
+
+
+#: Ranges over which a global order is laid.
+RANGES = 64
+
+
+def value_range(df: DataFrame, c: str, ranges: int = RANGES) -> Column:
+    """Range of a column's value, from 0, by cuts at about equal counts; equal values are in one range.
+
+    Ranges take a global order apart: each is ordered by itself, and the counts of those before it are added.
+    """
+    cuts = df.agg(F.percentile_approx(c, [i / ranges for i in range(1, ranges)], 100 * ranges).alias("cuts")).first().cuts or []
+    held = F.array(*(F.lit(x) for x in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    return F.size(F.filter(held, lambda x: x < F.col(c)))

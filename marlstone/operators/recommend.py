@@ -49,22 +49,35 @@ def held_out(user: str, item: str, percent: int = 20) -> Column:
     return F.pmod(F.crc32(F.concat_ws(":", user, item)), F.lit(100)) < percent
 
 
-def low_rank(scored: DataFrame, user: str, item: str, items: list, rank: int) -> DataFrame:
-    """user, item, score of the best approximation of a rank.
-
-    Items are few: their Gram matrix comes from one aggregation, its eigenvectors from the driver, and the scores
-    from array products on the executors. The spectrum is that of the full matrix.
-    """
+def _cells(scored: DataFrame, user: str, item: str, items: list) -> tuple[DataFrame, np.ndarray]:
+    """user, v (its scores by item, 0 where there is none), and the eigenvectors of v'v, greatest first."""
     cells = F.array(*(F.coalesce(F.max(F.when(F.col(item) == i, F.col("score"))), F.lit(0.0)) for i in items))
     rows = scored.groupBy(user).agg(cells.alias("v"))
     d = len(items)
     sums = rows.agg(*(F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d))).first()
     gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
     values, vectors = np.linalg.eigh(gram)
-    top = vectors[:, np.argsort(-values)[: min(rank, d)]]
-    onto = top @ top.T
-    fitted = [F.struct(F.lit(i).alias(item), E.dot(F.col("v"), F.array(*(F.lit(float(x)) for x in onto[:, n]))).alias("score")) for n, i in enumerate(items)]
-    return rows.select(user, F.explode(F.array(*fitted)).alias("x")).select(user, f"x.{item}", "x.score")
+    return rows, vectors[:, np.argsort(-values)]
+
+
+def low_rank(scored: DataFrame, user: str, item: str, items: list, rank: int) -> DataFrame:
+    """user, item, score of the best approximation of a rank.
+
+    Items are few: their Gram matrix comes from one aggregation, its eigenvectors from the driver, and the scores
+    from array products on the executors. The spectrum is that of the full matrix.
+    """
+    return low_ranks(scored, user, item, items, [rank]).drop("rank")
+
+
+def low_ranks(scored: DataFrame, user: str, item: str, items: list, ranks: list[int]) -> DataFrame:
+    """rank, user, item, score of the best approximations of several ranks, from one Gram matrix."""
+    rows, vectors = _cells(scored, user, item, items)
+    fitted = []
+    for rank in ranks:
+        top = vectors[:, : min(rank, len(items))]
+        onto = top @ top.T
+        fitted += [F.struct(F.lit(rank).alias("rank"), F.lit(i).alias(item), E.dot(F.col("v"), F.array(*(F.lit(float(x)) for x in onto[:, n]))).alias("score")) for n, i in enumerate(items)]
+    return rows.select(user, F.explode(F.array(*fitted)).alias("x")).select("x.rank", user, f"x.{item}", "x.score")
 
 
 def recommendations_for(ranked: DataFrame, products: DataFrame, user: str, value, n: int = 3) -> DataFrame:

@@ -66,17 +66,18 @@ def silhouette(pairs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return one.agg(F.avg(value).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
-def k_medoids(rows: DataFrame, key: str, numbers: list[str], codes: list[str], k: int, sample: int = 400, steps: int = 20) -> DataFrame:
-    """key, label: clusters around medoids under Gower distance.
-
-    Medoids are chosen on at most `sample` rows picked by a hash, then every row goes to its nearest.
-    """
+def _sampled(rows: DataFrame, key: str, numbers: list[str], codes: list[str], sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of at most `sample` rows, picked by a hash, and their distances."""
     picked = rows.orderBy(F.xxhash64(key)).limit(sample)
     pdf = gower(picked, picked, key, numbers, codes).toPandas()
     ids = np.sort(pdf[key].unique())
-    d = pdf.pivot(index="q", columns=key, values="distance").loc[ids, ids].to_numpy()
+    return ids, pdf.pivot(index="q", columns=key, values="distance").loc[ids, ids].to_numpy()
+
+
+def _medoids(d: np.ndarray, k: int, steps: int) -> list[int]:
+    """Places of medoids: built one by one, then moved to the middle of their clusters until none moves."""
     medoids = [int(d.sum(axis=1).argmin())]
-    while len(medoids) < min(k, len(ids)):
+    while len(medoids) < min(k, len(d)):
         near = d[:, medoids].min(axis=1)
         medoids.append(int(np.maximum(near[None, :] - d, 0).sum(axis=1).argmax()))
     for _ in range(steps):
@@ -85,12 +86,39 @@ def k_medoids(rows: DataFrame, key: str, numbers: list[str], codes: list[str], k
         if new == medoids:
             break
         medoids = new
-    chosen = {int(ids[m]): i for i, m in enumerate(medoids)}
+    return medoids
+
+
+def k_medoids(rows: DataFrame, key: str, numbers: list[str], codes: list[str], k: int, sample: int = 400, steps: int = 20) -> DataFrame:
+    """key, label: clusters around medoids under Gower distance.
+
+    Medoids are fitted on at most `sample` rows picked by a hash; then every row goes to its nearest.
+    """
+    ids, d = _sampled(rows, key, numbers, codes, sample)
+    chosen = {int(ids[m]): i for i, m in enumerate(_medoids(d, k, steps))}
     dist = gower(rows.where(F.col(key).isin(list(chosen))), rows, key, numbers, codes)
     label = E.mapped("q", {q: i for q, i in chosen.items()}).cast("int")
     return dist.groupBy(key).agg(F.min_by(label, F.struct("distance", label)).alias("label"))
 
 
+def medoid_counts(rows: DataFrame, key: str, numbers: list[str], codes: list[str], ks: list[int], sample: int = 400, steps: int = 20) -> DataFrame:
+    """k, silhouette, best: the mean silhouette of each number of medoids on the fitting sample; best marks the greatest."""
+    _, d = _sampled(rows, key, numbers, codes, sample)
+    found = []
+    for k in ks:
+        medoids = _medoids(d, k, steps)
+        label = d[:, medoids].argmin(axis=1)
+        member = label[:, None] == np.arange(len(medoids))
+        size = member.sum(axis=0)
+        total = d @ member
+        own = total[np.arange(len(d)), label] / np.maximum(size[label] - 1, 1)
+        other = np.where(member | (size == 0), np.inf, total / np.maximum(size, 1)).min(axis=1)
+        value = np.where((size[label] < 2) | ~np.isfinite(other), 0.0, (other - own) / np.maximum(np.maximum(own, other), 1e-300))
+        found.append((k, float(value.mean())))
+    best = max(found, key=lambda x: (x[1], -x[0]))[0] if found else None
+    return rows.sparkSession.createDataFrame([(k, v, k == best) for k, v in found], "k int, silhouette double, best boolean")
+
+
 def mixture(df: DataFrame, columns: list[str], k: int, least_weight: float = 0.05, seed: int = 42) -> DataFrame:
     """Adds cluster and confidence: a Gaussian mixture whose components below a weight are dropped, renumbered from 0."""
     rows = VectorAssembler(inputCols=columns, outputCol="features").transform(df)

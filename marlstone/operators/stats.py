@@ -96,10 +96,7 @@ def crosstab(df: DataFrame, a: str, b: str, values: list) -> DataFrame:
 
 
 def chi_square(df: DataFrame, a: str, b: str, yates: bool | None = None) -> DataFrame:
-    """statistic, dof and p of independence; two by two tables are corrected unless told otherwise.
-
-    p is exact for one degree of freedom and for even ones, NULL for others.
-    """
+    """statistic, dof and p of independence; two by two tables are corrected unless told otherwise."""
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
     rows = cells.groupBy(a).agg(F.sum("o").alias("ra"))
     cols = cells.groupBy(b).agg(F.sum("o").alias("cb"))
@@ -117,12 +114,26 @@ def chi_square(df: DataFrame, a: str, b: str, yates: bool | None = None) -> Data
 
 
 def chi_square_tail(x: str, dof: str) -> Column:
-    """Upper tail of the chi-square distribution for 1 or an even number of degrees of freedom up to 20."""
-    half = F.col(x) / 2
-    out = F.when(F.col(dof) == 1, erfc(F.sqrt(half)))
-    for d in range(2, 21, 2):
-        out = out.when(F.col(dof) == d, F.exp(-half) * E.total(F.pow(half, i) / math.factorial(i) for i in range(d // 2)))
-    return out
+    """Upper tail of the chi-square distribution for any whole number of degrees of freedom.
+
+    A finite sum: of powers of x / 2 over factorials for even ones, of odd powers of its root over double factorials
+    for odd ones, each term from the one before it.
+    """
+    half, n = F.col(x) / 2, F.col(dof)
+
+    def series(first: Column, count: Column, ratio) -> Column:
+        zero = F.struct(first.alias("term"), first.alias("sum"))
+
+        def step(acc, i):
+            term = acc["term"] * ratio(i)
+            return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+        more = F.when(count > 1, F.sequence(F.lit(1), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.when(count >= 1, F.aggregate(more, zero, step, lambda acc: acc["sum"])).otherwise(0.0)
+
+    even = series(F.exp(-half), n / 2, lambda i: half / i)
+    odd = erfc(F.sqrt(half)) + series(2 * F.exp(-half) * F.sqrt(half / math.pi), (n - 1) / 2, lambda i: 2 * half / (2 * i + 1))
+    return F.when(n < 1, None).when(n % 2 == 0, even).otherwise(odd)
 
 
 def erfc(x: Column) -> Column:
@@ -144,11 +155,13 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 
 def power_search(df: DataFrame, column: str, steps: int = 200, least: float = 0.01, most: float = 1.0) -> DataFrame:
-    """power, skew for powers of a column that is not negative: one job for the whole curve."""
-    powers = [least + (most - least) * i / (steps - 1) for i in range(steps)]
-    one = df.where(F.col(column) >= 0).agg(*(F.skewness(F.pow(F.col(column), p)).alias(f"p{i}") for i, p in enumerate(powers)))
-    parts = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(p).alias("power"), F.col(f"p{i}").alias("skew")) for i, p in enumerate(powers)))
-    return one.select(F.explode(parts).alias("x")).select("x.*")
+    """step, power, skew for powers of a column that is not negative: one job for the whole curve.
+
+    Every value is given once for each power, and sums combine before the shuffle of one row for each power.
+    """
+    power = least + (most - least) * F.col("step") / (steps - 1)
+    every = df.where(F.col(column) >= 0).select(F.col(column).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    return every.groupBy("step").agg(F.skewness(F.pow("v", power)).alias("skew")).select("step", power.alias("power"), "skew")
 
 
 def qq_points(df: DataFrame, column: str, *by: str) -> DataFrame:

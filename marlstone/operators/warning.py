@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import expr as E
-from marlstone.operators.panel import Roll
+from marlstone.operators.panel import Roll, value_range
 
 #: Frame lengths of volatility, momentum and drawdown, and of rate and level changes: fixed values.
 VOL, MOMENTUM, DRAWDOWN, CORR = (4, 12, 26), (4, 12, 26), (26, 52), (12, 26)
@@ -58,16 +58,37 @@ def warning_features(wide: DataFrame, prices: list[str], rates: list[str], level
 
 
 def tail_scores(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
-    """Adds tail: the mean over columns of minus the log of the smaller tail probability of the empirical distribution."""
-    whole = [by] if by else []
+    """Adds tail: the mean over columns of minus the log of the smaller tail probability of the empirical distribution.
+
+    Without a key the order of a column is laid over ranges of its values, so that no task sorts all rows.
+    """
     out = df
-    for c in columns:
-        up = F.cume_dist().over(Window.partitionBy(*whole).orderBy(c))
-        down = F.cume_dist().over(Window.partitionBy(*whole).orderBy(F.desc(c)))
-        out = out.withColumn(f"{c}_tail", -F.ln(F.least(up, down)))
+    if by:
+        for c in columns:
+            up = F.cume_dist().over(Window.partitionBy(by).orderBy(c))
+            down = F.cume_dist().over(Window.partitionBy(by).orderBy(F.desc(c)))
+            out = out.withColumn(f"{c}_tail", -F.ln(F.least(up, down)))
+    else:
+        for c in columns:
+            out = in_ranges(out, c).withColumn(f"{c}_tail", -F.ln(F.least("up", "down"))).drop("up", "down")
     return out.withColumn("tail", E.total(F.col(f"{c}_tail") for c in columns) / len(columns))
 
 
+def in_ranges(df: DataFrame, c: str) -> DataFrame:
+    """Adds up and down: the shares of rows with a value of c at most, and at least, as large; NULL where c is."""
+    cut = df.withColumn("_range", value_range(df, c))
+    sizes = cut.where(F.col(c).isNotNull()).groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_range", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))  # a row for each range
+    held = cut.join(F.broadcast(sizes), "_range", "left")
+    low = F.cume_dist().over(Window.partitionBy("_range").orderBy(c)) * F.col("_n")
+    high = F.cume_dist().over(Window.partitionBy("_range").orderBy(F.desc(c))) * F.col("_n")
+    known = F.col(c).isNotNull()
+    up = F.when(known, (F.col("_before") + F.round(low)) / F.col("_all"))
+    down = F.when(known, (F.col("_all") - F.col("_before") - F.col("_n") + F.round(high)) / F.col("_all"))
+    return held.withColumns({"up": up, "down": down}).drop("_range", "_n", "_before", "_all")
+
+
 def _grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> list:
     if depth == 0 or len(x) <= 1 or (np.ptp(x, axis=0) == 0).all():
         return [len(x)]
@@ -91,15 +112,24 @@ def _paths(tree: list, x: np.ndarray, depth: int = 0) -> np.ndarray:
     return out
 
 
+def _picked(train: DataFrame, columns: list[str], n: int, seed: int) -> np.ndarray:
+    """At most n rows, picked by a hash, whatever the size of the frame."""
+    return train.na.drop(subset=columns).orderBy(F.xxhash64(F.lit(seed), *columns)).limit(n).select(*columns).toPandas().to_numpy(float)
+
+
+def _grown(picked: np.ndarray, trees: int, sample: int, seed: int) -> list:
+    """Trees, each on its own sample of the rows."""
+    rng = np.random.default_rng(seed)
+    limit = math.ceil(math.log2(max(sample, 2)))
+    return [_grow(picked[rng.choice(len(picked), min(sample, len(picked)), replace=False)], rng, limit) for _ in range(trees)] if len(picked) else []
+
+
 def isolation_forest(train: DataFrame, columns: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> list:
     """Trees, each grown on its own sample of `sample` rows of the training frame.
 
     The driver gets trees x sample rows at most, picked by a hash, whatever the size of the frame.
     """
-    picked = train.na.drop(subset=columns).orderBy(F.xxhash64(F.lit(seed), *columns)).limit(trees * sample).select(*columns).toPandas().to_numpy(float)
-    rng = np.random.default_rng(seed)
-    limit = math.ceil(math.log2(max(sample, 2)))
-    return [_grow(picked[rng.choice(len(picked), min(sample, len(picked)), replace=False)], rng, limit) for _ in range(trees)] if len(picked) else []
+    return _grown(_picked(train, columns, trees * sample, seed), trees, sample, seed)
 
 
 def forest_scores(df: DataFrame, columns: list[str], forest: list, sample: int = 256) -> DataFrame:
@@ -116,22 +146,79 @@ def forest_scores(df: DataFrame, columns: list[str], forest: list, sample: int =
     return df.withColumn("anomaly", score(*columns))
 
 
-def dealt_anew(df: DataFrame, column: str, k: int, columns: list[str], buckets: int = 200) -> DataFrame:
-    """The frame with a column's values moved to other rows, within buckets of rows that a hash deals out."""
-    at = Window.partitionBy(F.pmod(F.xxhash64(F.lit(k), *columns), F.lit(buckets)))
-    along = at.orderBy(F.xxhash64(F.lit(k + 1), *columns))
-    return df.withColumn(column, F.coalesce(F.lead(column).over(along), F.first(column).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+def permutation_importance(df: DataFrame, columns: list[str], forest: list, label: str, repeats: int = 5, buckets: int = 8) -> DataFrame:
+    """name, mean, std: the fall of AUC when a column's values are dealt anew, over repeats; one job for all.
 
+    A row is given once for each column and repeat, and once as it is; the one value that changes goes to another row
+    of a bucket, which a hash deals out.
+    """
+    from marlstone.operators.metrics import roc_auc
 
-def permutation_importance(df: DataFrame, columns: list[str], forest: list, label: str, repeats: int = 5) -> DataFrame:
-    """name, mean, std: the fall of AUC when a column's values are dealt anew, over repeats; one job for all."""
+    runs = [("", 0), *((c, k) for c in columns for k in range(repeats))]
+    grid = F.array(*(F.struct(F.lit(c).alias("name"), F.lit(k).alias("k")) for c, k in runs))
+    every = df.select(label, *columns, F.explode(grid).alias("g")).select("g.name", "g.k", label, *columns)
+    at = Window.partitionBy("name", "k", F.pmod(F.xxhash64("k", *columns), F.lit(buckets)))
+    along = at.orderBy(F.xxhash64(F.col("k") + 1, *columns))
+    own = every.withColumn("own", F.coalesce(*(F.when(F.col("name") == c, F.col(c)) for c in columns)))
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dealt = own.withColumn("dealt", F.coalesce(F.lead("own").over(along), F.first("own").over(whole)))
+    dealt = dealt.select("name", "k", label, *(F.when(F.col("name") == c, F.col("dealt")).otherwise(F.col(c)).alias(c) for c in columns))
+    auc = roc_auc(forest_scores(dealt, columns, forest), label, "anomaly", "name", "k")
+    base = auc.where("name = ''").select(F.coalesce("auc", F.lit(0.0)).alias("base"))
+    falls = auc.where("name <> ''").crossJoin(F.broadcast(base))  # one row
+    return falls.groupBy("name").agg(F.avg(F.col("base") - F.col("auc")).alias("mean"), F.stddev_pop(F.col("base") - F.col("auc")).alias("std"))
+
+
+def forest_grid(df: DataFrame, columns: list[str], label: str, trees: list[int], samples: list[int], shares: list[float], percents: list[int], part: str = "part") -> DataFrame:
+    """trees, sample, share, percent, precision, recall, f2: forests over a grid of settings and thresholds.
+
+    A forest is fitted on the normal rows of part 'train' with that share of the columns; thresholds are percentiles
+    of its scores there, and are judged on part 'valid'. All forests score a row in one pass, and rows are counted by
+    the thresholds that they pass before anything is summed up.
+    """
+    settings = [(t, n, q) for t in trees for n in samples for q in shares]
+    picked = _picked(df.where((F.col(part) == "train") & (F.col(label) == 0)), columns, max(trees) * max(samples), 42)
+    held = []
+    for t, n, q in settings:
+        width = max(1, round(q * len(columns)))
+        held.append((_grown(picked[:, :width], t, n, 42), width, n))
+    forests = df.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("array<double>")
+    def score(*values: pd.Series) -> pd.Series:
+        x = np.column_stack([v.to_numpy(float) for v in values])
+        every = []
+        for forest, width, n in forests.value:
+            mean = np.mean([_paths(tree, x[:, :width]) for tree in forest], axis=0) if forest else np.zeros(len(x))
+            every.append(2.0 ** (-mean / max(_expected(n), 1e-12)))
+        return pd.Series(list(np.array(every).T))
+
+    scored = df.where(F.col(part).isin("train", "valid")).select(part, label, score(*columns).alias("s")).select(part, label, F.posexplode("s").alias("setting", "score"))
+    cuts = scored.where(f"{part} = 'train'").groupBy("setting").agg(F.percentile("score", [p / 100 for p in percents]).alias("cuts"))
+    passed = F.size(F.filter("cuts", lambda c: c < F.col("score")))
+    judged = scored.where(f"{part} = 'valid'").join(F.broadcast(cuts), "setting")  # one row for each setting
+    counts = judged.groupBy("setting", passed.alias("passed")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count(F.lit(1)).alias("n"))
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p).alias("percent")) for i, p in enumerate(percents)))
+    every = counts.select("*", F.explode(steps).alias("x")).groupBy("setting", "x.percent").agg(
+        F.sum(F.when(F.col("passed") > F.col("x.i"), F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("passed") > F.col("x.i"), F.col("n")).otherwise(0)).alias("said"), F.sum("pos").alias("all")
+    )
+    names = F.array(*(F.struct(F.lit(t).alias("trees"), F.lit(n).alias("sample"), F.lit(float(q)).alias("share")) for t, n, q in settings))
+    p, r = F.coalesce(E.ratio("tp", "said"), F.lit(0.0)), F.coalesce(E.ratio("tp", "all"), F.lit(0.0))
+    own = every.select(names[F.col("setting")].alias("s"), "percent", p.alias("precision"), r.alias("recall"))
+    f2 = F.coalesce(E.ratio(5 * F.col("precision") * F.col("recall"), 4 * F.col("precision") + F.col("recall")), F.lit(0.0))
+    return own.select("s.*", "percent", "precision", "recall", f2.alias("f2"))
+
+
+def refit_on_top(df: DataFrame, columns: list[str], label: str, importance: DataFrame, ks: list[int], trees: int = 50, part: str = "part") -> DataFrame:
+    """k, name of each feature kept, and auc by part of forests refitted on the k most important features."""
     from marlstone.operators.metrics import roc_auc
 
-    base = roc_auc(forest_scores(df, columns, forest), label, "anomaly").first().auc or 0.0
-    runs = None
-    for c in columns:
-        for k in range(repeats):
-            run = dealt_anew(df, c, k, columns, 8).select(F.lit(c).alias("name"), F.lit(k).alias("k"), label, *columns)
-            runs = run if runs is None else runs.unionByName(run)
-    falls = roc_auc(forest_scores(runs, columns, forest), label, "anomaly", "name", "k")
-    return falls.groupBy("name").agg(F.avg(base - F.col("auc")).alias("mean"), F.stddev_pop(base - F.col("auc")).alias("std"))
+    ranked = [r.name for r in importance.orderBy(F.desc("mean"), "name").collect()]  # one row for each feature
+    train = df.where((F.col(part) == "train") & (F.col(label) == 0))
+    out = None
+    for k in ks:
+        kept = ranked[:k]
+        scored = forest_scores(df, kept, isolation_forest(train, kept, trees)).select(label, part, "anomaly")
+        one = roc_auc(scored, label, "anomaly", part).select(F.lit(k).alias("k"), F.lit(",".join(kept)).alias("features"), part, "auc")
+        out = one if out is None else out.unionByName(one)
+    return out

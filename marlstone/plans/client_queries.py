@@ -132,6 +132,12 @@ def segment_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.k_medoids(frames.clients(spark, sf_dir), "id", ["age", "wealth", "risk"], ["gender", "segment"], 5, sample=200)
 
 
+@query()
+def segment_medoid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean silhouette of 3 to 14 medoids, and which number is best."""
+    return segment.medoid_counts(frames.clients(spark, sf_dir), "id", ["age", "wealth", "risk"], ["gender", "segment"], list(range(3, 15)), sample=200)
+
+
 @query()
 def segment_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personas from a Gaussian mixture without light components, profiled."""
@@ -213,3 +219,14 @@ def reco_low_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = recommend.low_rank(cells.withColumn("score", F.when(F.col("out"), 0.0).otherwise(F.col("score"))), "id", "product", frames.ASSETS, 6)
     truth = cells.where("out").select("id", "product", F.col("score").alias("rel"))
     return truth.join(fitted, ["id", "product"]).agg(F.sqrt(F.avg(F.pow(F.col("rel") - F.col("score"), 2))).alias("rmse"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def reco_rank_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RMSE on held-out cells by the rank of the approximation, 2 to 10."""
+    _, scored, _ = _scored(spark, sf_dir)
+    cells = scored.select("id", "product", "score").withColumn("out", recommend.held_out("id", "product"))
+    seen = cells.withColumn("score", F.when(F.col("out"), 0.0).otherwise(F.col("score")))
+    fitted = recommend.low_ranks(seen, "id", "product", frames.ASSETS, list(range(2, 11)))
+    truth = cells.where("out").select("id", "product", F.col("score").alias("rel"))
+    return truth.join(fitted, ["id", "product"]).groupBy("rank").agg(F.sqrt(F.avg(F.pow(F.col("rel") - F.col("score"), 2))).alias("rmse"), F.count(F.lit(1)).alias("n"))

@@ -83,12 +83,14 @@ clients AS (SELECT c_custkey AS id, CAST(c_custkey % 61 + 20 AS DOUBLE) AS age,
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """product, kind (1 accumulation, 0 income), prisk: eleven products."""
-    part = table(spark, sf_dir, "part").where("p_partkey < 11")
-    return part.select(F.col("p_partkey").alias("product"), (F.col("p_partkey") % 2).cast("int").alias("kind"), ((F.col("p_size") - 1) / 49.0).alias("prisk"))
+    """product, kind (1 accumulation, 0 income), prisk: eleven products, each a range of sizes of all parts."""
+    size = F.col("p_size") - 1
+    part = table(spark, sf_dir, "part").withColumn("product", F.floor(size * 11 / 50).cast("long"))
+    return part.groupBy("product").agg(F.max(F.col("product") % 2).cast("int").alias("kind"), (F.sum(size.cast("long")) / F.count(F.lit(1)) / 49.0).alias("prisk"))
 
 
-PRODUCTS = "products AS (SELECT p_partkey AS product, CAST(p_partkey % 2 AS INTEGER) AS kind, (p_size - 1) / 49.0::DOUBLE AS prisk FROM part WHERE p_partkey < 11)"
+PRODUCTS = """products AS (SELECT (p_size - 1) * 11 // 50 AS product, CAST((p_size - 1) * 11 // 50 % 2 AS INTEGER) AS kind,
+ sum(p_size - 1) / count(*) / 49.0::DOUBLE AS prisk FROM part GROUP BY 1)"""
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,13 +16,20 @@ _R = E.rounded
 N = frames.NAMES
 
 
-@query(f"WITH {frames.PRICES} SELECT date, round(ln(price), 6) AS log_price FROM prices WHERE asset = 0")
+_LOGS = ", ".join(f"round(ln(max(price) FILTER (WHERE asset = {a})), 6) AS log{a}" for a in frames.ASSETS)
+
+
+@query(f"WITH {frames.PRICES} SELECT date, {_LOGS} FROM prices GROUP BY date")
 def source_header_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A panel under a preamble and a header row, found and coerced."""
-    own = frames.prices(spark, sf_dir).where("asset = 0")
-    body = own.select((panel.Roll("asset").position() + 2).alias("pos"), F.col("date").cast("string").alias("c0"), F.col("price").cast("string").alias("c1"))
-    top = spark.createDataFrame([(0, "exported", None), (1, "Ticker ", "A"), (10**6, "not a date", "1")], "pos int, c0 string, c1 string")
-    return tables.below_header(body.unionByName(top), "Ticker", ["date", "price"]).select("date", _R(F.ln("price")).alias("log_price"))
+    """A panel of all instruments under a preamble and a header row, found and coerced."""
+    own = panel.wide(frames.prices(spark, sf_dir), "asset", frames.ASSETS, "price", "c")
+    cells = [F.col(f"c{a}").cast("string").alias(f"c{i}") for i, a in enumerate(frames.ASSETS, 1)]
+    body = own.select((F.datediff("date", F.lit("1900-01-01").cast("date")) + 2).alias("pos"), F.col("date").cast("string").alias("c0"), *cells)
+    blank = [None] * len(frames.ASSETS)
+    rows = [(0, "exported", *blank), (1, "Ticker ", *(f"A{a}" for a in frames.ASSETS)), (10**6, "not a date", *("1" for _ in blank))]
+    top = spark.createDataFrame(rows, "pos int, c0 string, " + ", ".join(f"c{i} string" for i, _ in enumerate(blank, 1)))
+    names = ["date", *(f"p{a}" for a in frames.ASSETS)]
+    return tables.below_header(body.unionByName(top), "Ticker", names).select("date", *(_R(F.ln(f"p{a}")).alias(f"log{a}") for a in frames.ASSETS))
 
 
 @query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 11")
@@ -40,6 +45,13 @@ def source_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.fingerprint(frames.table(spark, sf_dir, "lineitem"))
 
 
+@query("SELECT p_partkey, p_brand, p_size, p_retailprice FROM part")
+def source_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as Parquet by brand and read back."""
+    own = frames.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    return tables.overwrite(own, tables.scratch(spark, "part"), "p_brand").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+
+
 @query("SELECT o_custkey, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS first, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS last FROM orders GROUP BY o_custkey".replace("min_by(o_orderkey, (o_orderdate, o_orderkey))", "arg_min(o_orderkey, (o_orderdate, o_orderkey))").replace("max_by(o_orderkey, (o_orderdate, o_orderkey))", "arg_max(o_orderkey, (o_orderdate, o_orderkey))"))
 def panel_first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last order of each customer."""
@@ -84,22 +96,27 @@ def risk_var_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(_R("var", 5).alias("var"), _R(risk.var_scale(F.col("var"), 0.08)).alias("scale"))
 
 
-@query(f"""WITH {frames.REPLICATION}, f AS (SELECT date, {", ".join(f"{n} AS x{i}" for i, n in enumerate(N[:3]))}, row_number() OVER (ORDER BY date) - 1 AS k FROM rep),
- g AS (SELECT date, {", ".join(f"coalesce(product(1 + x{i}) OVER (PARTITION BY k // 4 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) / 3 AS v{i}" for i in range(3))} FROM f)
- SELECT date, round(v0 / greatest(v0 + v1 + v2, 0.001), 6) AS w0, round(v1 / greatest(v0 + v1 + v2, 0.001), 6) AS w1 FROM g""")
+_K = len(N)
+_DRIFT = "OVER (PARTITION BY k // 4 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(f"""WITH {frames.REPLICATION}, f AS (SELECT date, {", ".join(N)}, row_number() OVER (ORDER BY date) - 1 AS k FROM rep),
+ g AS (SELECT date, {", ".join(f"coalesce(product(1 + {n}) {_DRIFT}, 1) / {_K} AS v{i}" for i, n in enumerate(N))} FROM f),
+ h AS (SELECT *, greatest({" + ".join(f"v{i}" for i in range(_K))}, 0.001) AS whole FROM g)
+ SELECT date, {", ".join(f"round(v{i} / whole, 6) AS w{i}" for i in range(_K))} FROM h""")
 def risk_weight_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights that drift with returns inside blocks of four rows and are brought back to one."""
     own = frames.replication(spark, sf_dir).withColumn("block", F.floor(panel.Roll("scenario").position() / 4))
     before = Window.partitionBy("scenario", "block").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    own = own.withColumns({f"v{i}": F.coalesce(F.product(1 + F.col(n)).over(before), F.lit(1.0)) / 3 for i, n in enumerate(N[:3])})
-    whole = F.greatest(F.col("v0") + F.col("v1") + F.col("v2"), F.lit(1e-3))
-    return own.select("date", _R(F.col("v0") / whole).alias("w0"), _R(F.col("v1") / whole).alias("w1"))
+    own = own.withColumns({f"v{i}": F.coalesce(F.product(1 + F.col(n)).over(before), F.lit(1.0)) / _K for i, n in enumerate(N)})
+    whole = F.greatest(E.total(F.col(f"v{i}") for i in range(_K)), F.lit(1e-3))
+    return own.select("date", *(_R(F.col(f"v{i}") / whole).alias(f"w{i}") for i in range(_K)))
 
 
 def _network_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     own = frames.replication(spark, sf_dir)
     roll = panel.Roll("scenario")
-    made = {f"{n}_ret{k}": roll.compound(n, k) for n in N[:4] for k in (4, 12)} | {f"{n}_vol12": roll.std(n, 12) for n in N[:4]}
+    made = {f"{n}_ret{k}": roll.compound(n, k) for n in N for k in (4, 12)} | {f"{n}_vol12": roll.std(n, 12) for n in N}
     rows = own.withColumns(made)
     lagged = {c: F.lag(c).over(roll.base) for c in made}
     return rows.select("scenario", "date", *N, "y", *(e.alias(c) for c, e in lagged.items())).na.drop(), list(made)
@@ -108,19 +125,26 @@ def _network_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list
 _NF = "OVER (ORDER BY date ROWS BETWEEN {} PRECEDING AND 1 PRECEDING)"
 
 
-@query(f"""WITH {frames.REPLICATION}, f AS (SELECT date, CASE WHEN count(r0) {_NF.format(4)} = 4 THEN product(1 + r0) {_NF.format(4)} - 1 END AS a, CASE WHEN count(r0) {_NF.format(12)} = 12 THEN product(1 + r0) {_NF.format(12)} - 1 END AS b,
- CASE WHEN count(r0) {_NF.format(12)} = 12 THEN stddev_samp(r0) {_NF.format(12)} END AS c FROM rep) SELECT date, round(a, 6) AS ret4, round(b, 6) AS ret12, round(c, 6) AS vol12 FROM f WHERE b IS NOT NULL""")
+def _lagged(n: str) -> str:
+    """The features of an instrument in SQL."""
+    four, twelve = _NF.format(4), _NF.format(12)
+    return f"""CASE WHEN count({n}) {four} = 4 THEN round(product(1 + {n}) {four} - 1, 6) END AS {n}_ret4,
+ CASE WHEN count({n}) {twelve} = 12 THEN round(product(1 + {n}) {twelve} - 1, 6) END AS {n}_ret12,
+ CASE WHEN count({n}) {twelve} = 12 THEN round(stddev_samp({n}) {twelve}, 6) END AS {n}_vol12"""
+
+
+@query(f"WITH {frames.REPLICATION}, f AS (SELECT date, {', '.join(map(_lagged, N))} FROM rep) SELECT * FROM f WHERE r0_ret12 IS NOT NULL")
 def backtest_network_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lagged compounded returns and spreads: what a network may know before its row."""
-    own, _ = _network_features(spark, sf_dir)
-    return own.select("date", _R("r0_ret4").alias("ret4"), _R("r0_ret12").alias("ret12"), _R("r0_vol12").alias("vol12"))
+    """Lagged compounded returns and spreads of every instrument: what a network may know before its row."""
+    own, made = _network_features(spark, sf_dir)
+    return own.select("date", *(_R(c).alias(c) for c in made))
 
 
 @query()
 def backtest_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric row of an ensemble of small networks, fitted walk-forward."""
     own, features = _network_features(spark, sf_dir)
-    weights = learn.network_backtest(own, features, N, window=104, every=8)
+    weights = learn.network_backtest(own, features, N, window=104, every=4)
     return risk.network_metrics(backtest.evaluate_weights(own, weights, N))
 
 
@@ -172,10 +196,8 @@ def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling event windows, computed by a stream over the table."""
     table = frames.table(spark, sf_dir, "events")
     stream = streams.event_stream(spark, f"{sf_dir}/event[s].parquet", table.schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"windows_{uuid.uuid4().hex}"
-    run = streams.windowed_counts(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", _R("value").alias("value"))
+    own = streams.latest_windows(streams.windowed_counts(stream), tables.scratch(spark, "windows"), ["start", "event_type"])
+    return own.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", _R("value").alias("value"))
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")

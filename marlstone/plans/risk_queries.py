@@ -184,3 +184,69 @@ def backtest_rolling_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
     past = Window.partitionBy("scenario").orderBy("date").rowsBetween(-104, -1)
     slope = E.ratio(F.covar_samp("r0", "y").over(past), F.var_samp("r0").over(past))
     return frames.replication(spark, sf_dir).select("date", _R(F.when(F.count(F.lit(1)).over(past) == 104, slope), 5).alias("slope"))
+
+
+_PAST = "OVER (ORDER BY date ROWS BETWEEN 104 PRECEDING AND 1 PRECEDING)"
+_RECENT = "OVER (ORDER BY date ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    f"""WITH {frames.REPLICATION}, m AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k, sum(r0 * r0) {_PAST} + 0.01::DOUBLE AS a, sum(r0 * r1) {_PAST} AS b,
+ sum(r1 * r1) {_PAST} + 0.01::DOUBLE AS c, sum(r0 * y) {_PAST} AS u, sum(r1 * y) {_PAST} AS v, var_samp(r0) {_RECENT} AS s0, covar_samp(r0, r1) {_RECENT} AS s01, var_samp(r1) {_RECENT} AS s1 FROM rep),
+ f AS (SELECT *, (c * u - b * v) / (a * c - b * b) AS x0, (a * v - b * u) / (a * c - b * b) AS x1 FROM m WHERE k >= 104 AND (k - 104) % 4 = 0),
+ g AS (SELECT *, 2 / greatest(abs(x0) + abs(x1), 2) AS cap FROM f),
+ h AS (SELECT *, 2.3263478740408408::DOUBLE * sqrt(4 * (x0 * x0 * s0 + 2 * x0 * x1 * s01 + x1 * x1 * s1)) * cap AS var FROM g)
+ SELECT date, round(x0 * cap * least(1, 0.08::DOUBLE / var), 6) AS w0, round(x1 * cap * least(1, 0.08::DOUBLE / var), 6) AS w1 FROM h"""
+)
+def backtest_ridge_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of a walk-forward ridge on two instruments with both caps, which closed forms can check."""
+    config = backtest.Config(window=104, max_exposure=2.0, max_var=0.08)
+    weights = backtest.walk_forward(frames.replication(spark, sf_dir), N[:2], backtest.ridge(0.01), config)
+    return weights.select("date", _R("w_r0").alias("w0"), _R("w_r1").alias("w1"))
+
+
+_BY_ASSET = f"""{frames.RETURNS}, {frames.TARGETS}, j AS (SELECT asset, r, y FROM returns JOIN target USING (date) WHERE r IS NOT NULL),
+ m AS (SELECT 'A' || lpad(CAST(asset AS VARCHAR), 2, '0') AS scenario, avg(r) * 52 AS ir, avg(r) * 52 - 0.001::DOUBLE * asset AS net_ir, corr(r, y) AS rho, stddev_samp(r - y) AS te,
+ avg(abs(r)) AS turnover, max(-r) AS mdd FROM j GROUP BY asset)"""
+
+
+def _by_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of each instrument taken as a scenario of its own."""
+    own = frames.returns(spark, sf_dir).where("r IS NOT NULL").join(frames.target(spark, sf_dir), "date")
+    gap = F.col("r") - F.col("y")
+    return own.groupBy("asset").agg(
+        F.concat(F.lit("A"), F.lpad(F.first("asset").cast("string"), 2, "0")).alias("scenario"),
+        (F.avg("r") * 52).alias("ir"),
+        (F.avg("r") * 52 - F.first("asset") * 0.001).alias("net_ir"),
+        F.corr("r", "y").alias("rho"),
+        F.stddev_samp(gap).alias("te"),
+        F.avg(F.abs("r")).alias("turnover"),
+        F.max(-F.col("r")).alias("mdd"),
+    )
+
+
+_Z = " + ".join(f"{s} * ({c} - avg({c}) OVER ()) / (stddev_samp({c}) OVER () + 1e-12)" for c, s in {"ir": 1, "net_ir": 1, "rho": 1, "te": -1, "turnover": -1, "mdd": -1}.items())
+
+
+@query(f"WITH {_BY_ASSET}, z AS (SELECT scenario, ({_Z}) / 6 AS composite FROM m) SELECT scenario, round(composite, 6) AS composite, CAST(row_number() OVER (ORDER BY composite DESC, scenario) AS INTEGER) AS rank FROM z")
+def risk_select_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composite z-score over six metrics and its rank."""
+    return backtest.select_scenarios(_by_asset(spark, sf_dir)).select("scenario", _R("composite").alias("composite"), "rank")
+
+
+_BEST = " UNION ALL ".join(
+    f"SELECT '{c}' AS metric, arg_{f}(scenario, {c}) AS scenario, round({f}({c}), 6) AS value FROM m" for c, f in {"ir": "max", "net_ir": "max", "rho": "max", "te": "min", "turnover": "min", "mdd": "min"}.items()
+)
+
+
+@query(f"WITH {_BY_ASSET} {_BEST}")
+def risk_scenario_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best scenario by each metric."""
+    return backtest.winners(_by_asset(spark, sf_dir)).select("metric", "scenario", _R("value").alias("value"))
+
+
+@query(f"WITH {_BY_ASSET} SELECT scenario, round(rho - 2 * te - 0.5::DOUBLE * turnover - 0.1::DOUBLE * mdd, 6) AS score FROM m")
+def risk_replication_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replication score of each scenario."""
+    score = risk.replication_score(*(F.col(c) for c in ("rho", "te", "turnover", "mdd")))
+    return _by_asset(spark, sf_dir).select("scenario", _R(score).alias("score"))

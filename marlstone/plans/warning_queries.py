@@ -9,6 +9,7 @@ from marlstone.functions import expr as E
 from marlstone.operators import metrics, panel, segment, warning
 from marlstone.plans import frames
 from marlstone.plans.registry import query
+from marlstone.sources import tables
 
 _R = E.rounded
 
@@ -63,14 +64,21 @@ def eval_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.average_precision(_labelled(spark, sf_dir), "label", "score").select(_R("ap").alias("ap"))
 
 
-@query(f"""WITH {_L}, e AS (SELECT min(score) AS a, max(score) AS b FROM lab), g AS (SELECT i AS step, a + (b - a) * i / 199 AS t FROM e, range(200) r(i)),
- c AS (SELECT step, t, count(*) FILTER (WHERE label = 1 AND score > t) AS tp, count(*) FILTER (WHERE score > t) AS said, count(*) FILTER (WHERE label = 1) AS pos FROM g, lab GROUP BY step, t),
- p AS (SELECT step, CASE WHEN said = 0 THEN 0 ELSE tp / said END AS p, tp / pos AS r FROM c) SELECT CAST(step AS INTEGER) AS step, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN 4 * p + r = 0 THEN 0 ELSE 5 * p * r / (4 * p + r) END, 6) AS f2 FROM p
- WHERE step % 2 = 1""")
+# 199 times the score in hundredths: a whole number, and so is every threshold between the least and the greatest
+_STEPS = f"""{_L}, whole AS (SELECT label, 199 * round(score * 100) AS s FROM lab), e AS (SELECT min(s) AS a, max(s) AS b FROM whole),
+ g AS (SELECT i AS step, a + (b - a) * i / 199 AS t FROM e, range(200) r(i)),
+ c AS (SELECT step, t, count(*) FILTER (WHERE label = 1 AND s > t) AS tp, count(*) FILTER (WHERE s > t) AS said,
+ count(*) FILTER (WHERE label = 1) AS pos FROM g, whole GROUP BY step, t),
+ p AS (SELECT step, CASE WHEN said = 0 THEN 0 ELSE tp / said END AS p, tp / pos AS r FROM c)"""
+
+
+@query(f"""WITH {_STEPS} SELECT CAST(step AS INTEGER) AS step, round(p, 6) AS precision, round(r, 6) AS recall,
+ round(CASE WHEN 4 * p + r = 0 THEN 0 ELSE 5 * p * r / (4 * p + r) END, 6) AS f2 FROM p""")
 def eval_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Precision, recall and F2 at the odd ones of 200 thresholds (even ones can meet a score exactly)."""
-    own = metrics.sweep(_labelled(spark, sf_dir), "label", "score").where("step % 2 = 1")
-    return own.select("step", _R("precision").alias("precision"), _R("recall").alias("recall"), _R("fbeta").alias("f2"))
+    """Precision, recall and F2 at 200 thresholds, exact where a threshold meets a score."""
+    own = _labelled(spark, sf_dir).withColumn("score", 199 * F.round(F.col("score") * 100))
+    swept = metrics.sweep(own, "label", "score")
+    return swept.select("step", _R("precision").alias("precision"), _R("recall").alias("recall"), _R("fbeta").alias("f2"))
 
 
 @query(f"""WITH {_L}, q AS (SELECT quantile_cont(score, 0.85) AS red, quantile_cont(score, 0.6) AS amber FROM lab), r AS (SELECT label, CASE WHEN score > red THEN 'red' WHEN score > amber THEN 'amber' ELSE 'green' END AS light FROM lab, q)
@@ -96,17 +104,50 @@ def eval_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.table(spark, sf_dir, "labels").groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Columns of the panel, one for each event type in alphabetical order, and what kind of series each stands for.
+PANEL = ["p0", "p1", "p2", "p3", "p4"]
+PRICES, RATES, LEVELS = PANEL[:3], PANEL[3:4], PANEL[4:]
+
+
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """panel, hour and the mean value of three event types by hour, above 0."""
+    """panel, hour and the mean value of every event type by hour, above 0."""
     own = frames.hourly(spark, sf_dir).withColumn("value", F.col("value") + 1.0)
-    types = [r.event_type for r in own.select("event_type").distinct().orderBy("event_type").limit(3).collect()]  # five event types
-    wide = own.groupBy("hour").agg(*(F.max(F.when(F.col("event_type") == t, F.col("value"))).alias(f"p{i}") for i, t in enumerate(types)))
-    return wide.select(F.lit("all").alias("panel"), "hour", "p0", "p1", "p2")
+    coded = own.join(F.broadcast(segment.label_codes(own, "event_type")), "event_type")  # five event types
+    wide = coded.groupBy("hour").agg(*(F.max(F.when(F.col("code") == i, F.col("value"))).alias(c) for i, c in enumerate(PANEL)))
+    return wide.select(F.lit("all").alias("panel"), "hour", *PANEL)
 
 
 _W = f"""{frames.HOURLY}, ty AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS i FROM (SELECT DISTINCT event_type FROM hourly)),
- wd AS (SELECT hour, max(value + 1) FILTER (WHERE i = 0) AS p0, max(value + 1) FILTER (WHERE i = 1) AS p1, max(value + 1) FILTER (WHERE i = 2) AS p2 FROM hourly JOIN ty USING (event_type) GROUP BY hour),
- wr AS (SELECT *, ln(p0 / lag(p0) OVER (ORDER BY hour)) AS r0, ln(p1 / lag(p1) OVER (ORDER BY hour)) AS r1 FROM wd)"""
+ wd AS (SELECT hour, {", ".join(f"max(value + 1) FILTER (WHERE i = {i}) AS {c}" for i, c in enumerate(PANEL))} FROM hourly JOIN ty USING (event_type) GROUP BY hour),
+ wr AS (SELECT *, {", ".join(f"ln({c} / lag({c}) OVER (ORDER BY hour)) AS {c}_r" for c in PRICES)} FROM wd)"""
+
+
+def _features() -> dict[str, str]:
+    """The features in SQL by name."""
+
+    def over(value: str, k: int, known: str) -> str:
+        frame = f"OVER (ORDER BY hour ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+        return f"CASE WHEN count({known}) {frame} = {k} THEN round({value.replace('$', frame)}, 6) END"
+
+    made = {}
+    for p in PRICES:
+        r = f"{p}_r"
+        made |= {f"{p}_vol{k}": over(f"stddev_samp({r}) $", k, r) for k in (4, 12, 26)}
+        made |= {f"{p}_mom{k}": over(f"sum({r}) $", k, r) for k in (4, 12, 26)}
+        made |= {f"{p}_dd{k}": over(f"{p} / max({p}) $ - 1", k, p) for k in (26, 52)}
+    for c in RATES + LEVELS:
+        steps = (4, 12) if c in RATES else (1, 4, 12)
+        made |= {f"{c}_d{k}": f"round({c} - lag({c}, {k}) OVER (ORDER BY hour), 6)" for k in steps}
+    for c in LEVELS:
+        made |= {f"{c}_vol{k}": over(f"stddev_samp({c}) $", k, c) for k in (12, 26)}
+    first = f"{PRICES[0]}_r"
+    for p in PRICES[1:]:
+        both = f"CASE WHEN {first} IS NOT NULL THEN {p}_r END"
+        made |= {f"{p}_r_corr{k}": over(f"corr({p}_r, {first}) $", k, both) for k in (12, 26)}
+    return made
+
+
+FEATURES = _features()
 
 
 @query(f"SELECT event_type, hour, n, round(value, 6) AS value FROM (WITH {frames.HOURLY} SELECT * FROM hourly)")
@@ -115,13 +156,11 @@ def warning_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.hourly(spark, sf_dir).select("event_type", "hour", "n", _R("value").alias("value"))
 
 
-@query(f"""WITH {_W} SELECT hour, CASE WHEN count(r0) OVER a = 12 THEN round(stddev_samp(r0) OVER a, 6) END AS vol12, CASE WHEN count(r0) OVER b = 26 THEN round(sum(r0) OVER b, 6) END AS mom26, CASE WHEN count(p0) OVER b = 26 THEN round(p0 / max(p0) OVER b - 1, 6) END AS dd26,
- round(p2 - lag(p2, 4) OVER (ORDER BY hour), 6) AS d4, CASE WHEN count(CASE WHEN r0 IS NOT NULL THEN r1 END) OVER b = 26 THEN round(corr(r1, r0) OVER b, 6) END AS corr26 FROM wr
- WINDOW a AS (ORDER BY hour ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), b AS (ORDER BY hour ROWS BETWEEN 25 PRECEDING AND CURRENT ROW)""")
+@query(f"WITH {_W} SELECT hour, {', '.join(f'{e} AS {n}' for n, e in FEATURES.items())} FROM wr")
 def warning_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A few of the features: volatility, momentum, drawdown, change, correlation."""
-    own = warning.warning_features(_wide(spark, sf_dir), ["p0", "p1"], ["p2"], [], "panel", "hour")
-    return own.select("hour", _R("p0_vol12").alias("vol12"), _R("p0_mom26").alias("mom26"), _R("p0_dd26").alias("dd26"), _R("p2_d4").alias("d4"), _R("p1_r_corr26").alias("corr26"))
+    """All features of the panel: volatility, momentum, drawdown, changes, levels, correlations."""
+    own = warning.warning_features(_wide(spark, sf_dir), PRICES, RATES, LEVELS, "panel", "hour")
+    return own.select("hour", *(_R(c).alias(c) for c in FEATURES))
 
 
 @query(f"""WITH {frames.RETURNS}, f AS (SELECT asset, date, r FROM returns WHERE r IS NOT NULL) SELECT asset, date, round(-ln(least(cume_dist() OVER (PARTITION BY asset ORDER BY r), cume_dist() OVER (PARTITION BY asset ORDER BY r DESC))), 6) AS tail FROM f""")
@@ -132,12 +171,13 @@ def warning_tail_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _detector(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    wide = _wide(spark, sf_dir)
-    made = warning.warning_features(wide, ["p0", "p1"], ["p2"], [], "panel", "hour")
-    columns = ["p0_vol12", "p0_mom26", "p0_dd26", "p2_d4", "p1_r_corr26"]
-    own = made.na.drop(subset=columns)
-    calm = F.abs("p0_r") > F.percentile(F.abs("p0_r"), 0.9).over(Window.partitionBy("panel"))
-    return panel.chronological(own.withColumn("label", calm.cast("int")), ["panel"], "hour", [("train", 0.6), ("valid", 0.2), ("test", 0.2)]), columns
+    """Rows with all features, a label and their part, as a written table (fits and scores read it again), and the features."""
+    columns = list(FEATURES)
+    own = warning.warning_features(_wide(spark, sf_dir), PRICES, RATES, LEVELS, "panel", "hour")
+    own = tables.overwrite(own.select("panel", "hour", "p0_r", *columns), tables.scratch(spark, "features")).na.drop(subset=columns)
+    far = F.abs("p0_r") > F.percentile(F.abs("p0_r"), 0.9).over(Window.partitionBy("panel"))
+    dealt = panel.chronological(own.withColumn("label", far.cast("int")), ["panel"], "hour", [("train", 0.6), ("valid", 0.2), ("test", 0.2)])
+    return tables.overwrite(dealt, tables.scratch(spark, "detector")), columns
 
 
 @query()
@@ -168,3 +208,20 @@ def warning_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def portfolio_kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights from a random-walk Kalman filter."""
     return segment.kalman(frames.replication(spark, sf_dir), frames.NAMES)
+
+
+@query()
+def warning_forest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds of all percentiles for a grid of forests: the ten best by F2 on validation rows."""
+    own, columns = _detector(spark, sf_dir)
+    grid = warning.forest_grid(own, columns, "label", [20, 40, 60], [64, 128, 192, 256], [0.5, 0.75, 1.0], list(range(30, 99)))
+    return grid.orderBy(F.desc("f2"), "trees", "sample", "share", "percent").limit(10)
+
+
+@query()
+def warning_refit_on_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC by part of detectors refitted on the most important features only."""
+    own, columns = _detector(spark, sf_dir)
+    forest = warning.isolation_forest(own.where("part = 'train' AND label = 0"), columns, trees=30)
+    importance = warning.permutation_importance(own.where("part = 'valid'"), columns, forest, "label", repeats=2)
+    return warning.refit_on_top(own, columns, "label", importance, [5, 10, 20])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,3 +76,16 @@ def overwrite(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     """Writes Parquet and reads it again."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for intermediate data in the folder that spark.checkpoint.dir names.
+
+    Where that is unset, a local folder serves a local session; on a cluster it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,3 +26,21 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 def into_parquet(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Starts a query that appends finished windows and ends when all that has arrived is read."""
     return df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
+
+
+def latest_windows(windows: DataFrame, path: str, key: list[str]) -> DataFrame:
+    """Runs an aggregate stream until all that has arrived is read, and returns the last state of every key.
+
+    Every batch writes what it changed as Parquet under its number, so that a batch that is run again replaces its own
+    output; nothing is gathered on the driver. path: a folder that driver and executors share.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    run = windows.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(put).trigger(availableNow=True).start()
+    run.awaitTermination()
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields)
+    every = windows.sparkSession.read.schema(f"{columns}, batch int").parquet(f"{path}/out")
+    last = Window.partitionBy(*key).orderBy(F.desc("batch"))
+    return every.withColumn("place", F.row_number().over(last)).where("place = 1").drop("place", "batch")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import expr as E
-from marlstone.operators import backtest, metrics, panel, risk, segment, stats, warning
+from marlstone.operators import backtest, metrics, panel, recommend, risk, segment, stats, warning
 from marlstone.sources import tables
 
 R = [0.01, -0.02, 0.03, 0.0, 0.015, -0.04, 0.02, 0.01]
@@ -178,3 +178,71 @@ def test_streaming_windows(spark, tmp_path):
     events.into_parquet(events.windowed_counts(stream), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("start").collect()
     assert [(r.event_type, r.n, r.value) for r in got][:1] == [("a", 2, 2.0)]
+
+
+def test_chi_square_tail_for_any_degrees_of_freedom(spark):
+    known = [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (11.070498, 5, 0.05), (37.652484, 25, 0.05), (43.772972, 30, 0.05), (6.634897, 1, 0.01), (0.0, 3, 1.0), (2000.0, 7, 0.0)]
+    rows = spark.createDataFrame([(x, d, p) for x, d, p in known], "x double, d int, want double")
+    for r in rows.select("want", stats.chi_square_tail("x", "d").alias("p")).collect():
+        assert r.p == pytest.approx(r.want, abs=1e-6)
+
+
+def test_global_orders_over_ranges_equal_one_window(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(v > 0.5), "g", float(round(v + rng.normal(0, 0.3), 2))) for v in rng.uniform(0, 1, 500)] + [(1, "g", None)]
+    df = spark.createDataFrame(rows, "label int, g string, score double")
+    order = ["score", "pos", "neg", "tp", "fp", "n_pos", "n_neg"]
+    ranged, keyed = (sorted(map(tuple, f.select(*order).collect())) for f in (metrics.score_groups(df, "label", "score"), metrics.score_groups(df, "label", "score", "g")))
+    assert ranged == keyed
+    known = df.where("score IS NOT NULL")
+    tails = [sorted((r.score, round(r.tail, 9)) for r in f.collect()) for f in (warning.tail_scores(known, ["score"]), warning.tail_scores(known, ["score"], "g"))]
+    assert tails[0] == tails[1]
+    assert metrics.score_groups(df.limit(0), "label", "score").count() == 0
+
+
+def test_elastic_net_meets_its_optimality_conditions():
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (80, 6))
+    y = x @ np.array([1.0, -0.5, 0.0, 0.0, 0.3, 0.0]) + rng.normal(0, 0.1, 80)
+    for alpha, l1 in ((0.1, 0.5), (0.05, 1.0), (0.2, 0.0)):
+        w = backtest.elastic_net(alpha, l1)(x, y)
+        slope = x.T @ (x @ w - y) / len(y) + alpha * (1 - l1) * w
+        assert all(abs(s + alpha * l1 * np.sign(v)) < 1e-6 if v else abs(s) <= alpha * l1 + 1e-6 for s, v in zip(slope, w, strict=True))
+
+
+def test_walk_forward_by_date_equals_one_loop(spark):
+    rows, names = _panel(spark, n=70)
+    config = backtest.Config(window=40, clip=(0.01, 0.99), threshold_l1=0.02, min_trade=0.005, max_exposure=0.8, max_var=0.05)
+    got = backtest.walk_forward(rows, names, backtest.ridge(1e-4), config).orderBy("date").toPandas()
+    pdf = rows.orderBy("date").toPandas()
+    x, y, current, want = pdf[names].to_numpy(), pdf["y"].to_numpy(), np.zeros(len(names)), []
+    for t in range(40, 70, 4):
+        past = slice(t - 40, t)
+        new = backtest.apply_caps(backtest.apply_caps(backtest.ridge(1e-4)(*backtest.clipped(x[past], y[past], config.clip)), x[past], config), x[past], config)
+        change = new - current
+        new = current if np.abs(change).sum() < config.threshold_l1 else np.where(np.abs(change) < config.min_trade, current, new)
+        current = backtest.apply_caps(new, x[past], config)
+        want.append(current)
+    assert got[[f"w_{n}" for n in names]].to_numpy() == pytest.approx(np.array(want))
+    with pytest.raises(ValueError):
+        backtest.OptimiserConfig(top_k=0)
+
+
+def test_ranks_medoid_counts_and_importance(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(0, 1, (40, 2)) @ rng.normal(0, 1, (2, 5))
+    cells = spark.createDataFrame([(u, i, float(base[u, i])) for u in range(40) for i in range(5)], "u int, i int, score double")
+    fitted = recommend.low_ranks(cells, "u", "i", list(range(5)), [1, 2, 3])
+    err = {r["rank"]: r.e for r in fitted.withColumnRenamed("score", "fit").join(cells, ["u", "i"]).groupBy("rank").agg(F.max(F.abs(F.col("fit") - F.col("score"))).alias("e")).collect()}
+    assert err[1] > 0.1 and err[2] < 1e-9 and err[3] < 1e-9
+    df = spark.createDataFrame([(i, float(i % 3) * 10 + i * 0.001, "ab"[i % 2]) for i in range(90)], "id long, x double, g string")
+    best = segment.medoid_counts(df.withColumn("g", F.lit("a")), "id", ["x"], ["g"], [2, 3, 4, 5], sample=90).where("best").first()
+    assert best.k == 3 and best.silhouette > 0.9
+    rows = [(int(i >= 190), float(a), float(b) + 9 * (i >= 190)) for i, (a, b) in enumerate(rng.normal(0, 1, (200, 2)))]
+    data = spark.createDataFrame(rows, "label int, a double, b double")
+    forest = warning.isolation_forest(data.where("label = 0"), ["a", "b"], trees=30)
+    means = {r.name: r.mean for r in warning.permutation_importance(data, ["a", "b"], forest, "label", 3).collect()}
+    assert means["b"] > means["a"]
+    parted = data.withColumn("part", F.when(F.rand(1) < 0.6, "train").otherwise("valid"))
+    grid = warning.forest_grid(parted, ["a", "b"], "label", [10, 20], [32], [0.5, 1.0], [50, 90, 95]).collect()
+    assert len(grid) == 12 and max(grid, key=lambda r: r.f2).share == 1.0
