@@ -1,13 +1,17 @@
 """Document fingerprints by Order MinHash: signatures that follow edit distance, not only shared content.
 
-A text's k-mers of code points are numbered by occurrence, so that repeats count, and hashed. The hash range is cut
-into bins; in each bin the `pick` k-mers of least hash are kept, put back into their text order, and their tuple is
-hashed. Two texts agree in a bin only if they share its least k-mers and these stand in the same order. Likeness is
-the share of bins, of those that are not empty in both, in which two fingerprints agree. One pass over a text
-serves all bins.
-
-A fingerprint is a string of 4 hexadecimal digits for each bin; 0000 marks an empty bin. Texts shorter than k have
-one k-mer, the whole text; the empty text has only empty bins and is like other empty texts only.
+A text's k-mers of code points are numbered by occurrence, so that repeats count, and hashed. From BINS points that
+divide the hash range evenly, the `pick` k-mers of the next hashes on (after the greatest comes the least) are kept,
+put back into their text order, and their tuple is hashed. Two texts agree at a point only if they share these k-mers
+and they stand in the same order. Likeness is the share of points at which two fingerprints agree. One pass over a
+text serves all points, and short texts give tuples of `pick` k-mers as long ones do.
+
+A fingerprint is a string of 4 hexadecimal digits for each point. Texts shorter than k have one k-mer, the whole text;
+the empty text (or a null one) has 0000 at every point and is like other empty texts only.
+
+Cases: equal texts have equal fingerprints; a repeated doc_id is a tie that the text decides, equal rows follow each
+other; rows without a doc_id come first, in the order of their texts (all in one range of rows); the row after the
+last is the first, so a single row is next to itself; no rows give no rows; other columns are not used.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from .session import tables, texts, written
 from .textblocks import mix
 
-#: Code points in a k-mer, bins, k-mers picked in a bin.
+#: Code points in a k-mer, points, k-mers picked at a point.
 K, BINS, PICK = 6, 64, 2
 #: Bits for the place of a k-mer; the rest holds its hash. Only texts of more k-mers than that use further bits.
 PLACE_BITS = 24
@@ -33,7 +37,7 @@ RANGES = 4
 
 
 def omh(text: str, k: int = K, pick: int = PICK) -> np.ndarray:
-    """Fingerprint of a text: a number below 2**16 for each bin, 0 where it is empty."""
+    """Fingerprint of a text: a number from 1 to 2**16 - 1 for each point, 0 for the empty text."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     out = np.zeros(BINS, dtype=np.uint16)
     if not len(codes):
@@ -58,33 +62,25 @@ def omh(text: str, k: int = K, pick: int = PICK) -> np.ndarray:
         later = np.flatnonzero(number)
         packed[later] = (mix(kmer[later] + number[later].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & ~low) | (packed[later] & low)
         packed.sort()
-    ends = np.searchsorted(packed, np.arange(1, BINS, dtype=np.uint64) << np.uint64(58))
-    begin = np.concatenate(([0], ends))
-    size = np.minimum(np.diff(np.append(begin, n)), pick)
-    # the picked k-mers of each bin in text order
+    begin = np.searchsorted(packed, np.arange(BINS, dtype=np.uint64) << np.uint64(58))
+    # the k-mers picked at each point in text order
+    chosen = packed[(begin[:, None] + np.arange(min(pick, n))) % n]
+    order = np.argsort(chosen & low, axis=1, kind="stable")
+    value = np.take_along_axis(chosen & ~low, order, axis=1)
     total = np.zeros(BINS, dtype=np.uint64)
-    index = begin[:, None] + np.arange(pick)
-    valid = np.arange(pick) < size[:, None]
-    chosen = packed[np.minimum(index, n - 1)]
-    place = np.where(valid, chosen & low, low)
-    order = np.argsort(place, axis=1, kind="stable")
-    value = np.take_along_axis(np.where(valid, chosen & ~low, np.uint64(0)), order, axis=1)
-    for j in range(pick):
+    for j in range(value.shape[1]):
         total = mix(total + value[:, j] * np.uint64(2 * j + 3))
-    full = size > 0
-    out[full] = (total[full] % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
-    return out
+    return (total % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
 
 
 def as_text(fingerprint: np.ndarray) -> str:
-    """Four hexadecimal digits for each bin."""
+    """Four hexadecimal digits for each point."""
     return fingerprint.astype(">u2").tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the bins, not empty in both, in which two fingerprints agree; 1 for two of empty texts."""
-    used = (a > 0) | (b > 0)
-    return float(((a == b) & used).sum() / used.sum()) if used.any() else 1.0
+    """Share of the points at which two fingerprints agree; 1 for two of empty texts."""
+    return float((a == b).mean())
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -384,6 +384,66 @@ def test_order_minhash(spark, odd, real):
     assert order_minhash.edits_and_neighbours(frame(spark, rows).limit(0)).count() == 0
 
 
+def plain_omh(text, k=6, points=64, pick=2):
+    """Order MinHash by its definition, with whole Python numbers and no shared steps but the mixing of bits."""
+    full = (1 << 64) - 1
+
+    def spread(x):
+        return int(order_minhash.mix(np.array([x & full], dtype=np.uint64))[0])
+
+    if not text:
+        return [0] * points
+    k = min(k, len(text))
+    seen, kmers = {}, []
+    low = (1 << 24) - 1
+    for at in range(len(text) - k + 1):
+        own = text[at : at + k]
+        h = 0
+        for c in own:
+            h = (h * 0x100000001B3 + ord(c)) & full
+        first = spread(h) & ~low
+        number = seen.get(own, 0)
+        seen[own] = number + 1
+        kmers.append(((spread(first + number * 0x9E3779B97F4A7C15) if number else first) & ~low, at))
+    kmers.sort()
+    out = []
+    for p in range(points):
+        begin = next((i for i, (h, _) in enumerate(kmers) if h >= p << 58), len(kmers))
+        chosen = sorted((kmers[(begin + j) % len(kmers)] for j in range(min(pick, len(kmers)))), key=lambda x: x[1])
+        total = 0
+        for j, (h, _) in enumerate(chosen):
+            total = spread(total + h * (2 * j + 3))
+        out.append(total % 65535 + 1)
+    return out
+
+
+def test_order_minhash_equals_its_definition(real):
+    rng = random.Random(13)
+    texts = ["", "a", "abc", "abcdef", "abcdefg", "aaaaaaaaaaaa", "ab" * 40, "日本語のテキスト" * 3, *("".join(rng.choice("abc d") for _ in range(rng.randint(1, 200))) for _ in range(60))]
+    texts += [t[:3000] for _, t in real[:10] if t]
+    for t in texts:
+        assert order_minhash.omh(t).tolist() == plain_omh(t), t[:40]
+
+
+def test_order_minhash_of_short_texts_follows_order():
+    words = "one swift brown fox jumps over a lazy dog near the river bank".split()
+    a, b = " ".join(words), " ".join(words[6:] + words[:6])
+    assert order_minhash.likeness(order_minhash.omh(a), order_minhash.omh(b)) < 0.75
+    assert order_minhash.likeness(order_minhash.omh(a), order_minhash.omh(a + "s")) > 0.75
+
+
+def test_order_minhash_of_rows_without_ids(spark):
+    rows = [(None, "b"), (None, "a"), (None, None), (5, "x y z"), (5, "x y z"), (7, "")]
+    got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in order_minhash.edits_and_neighbours(frame(spark, rows)).collect()]
+    ordered = ["", "a", "b", "x y z", "x y z", ""]
+    want = []
+    for i, t in enumerate(ordered):
+        other, half = ordered[(i + 1) % 6], len(t) // 2
+        edited = t[: len(t) - half] + other[:half]
+        want.append(((None, None, None, 5, 5, 7)[i], len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_order_matters():
     rng = random.Random(2)
     sentences = ["".join(rng.choice("abcdefghij ") for _ in range(60)) for _ in range(30)]
@@ -567,6 +627,14 @@ def test_decontamination(spark, odd, block):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_keeps_all_columns(spark):
+    docs = frame(spark, [(1, "a b c d e f g h i j k"), (2, "clean text"), (None, "clean too")]).withColumns({"n_words": F.lit("n"), "hit_items": F.lit("h"), "score": F.lit("s")})
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    left = decontaminate.without_contaminated(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.n_words, r.hit_items) for r in left.collect()))) == sorted(map(str, [(2, "n", "h"), (None, "n", "h")]))
+
+
 # 10
 
 
