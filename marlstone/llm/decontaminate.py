@@ -225,5 +225,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block: in
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, block: int = WINDOW_BLOCK) -> DataFrame:
     """The document rows, all columns, that hold no window of any item."""
-    kept = find_benchmark_passages(docs, items, window, block, keep_text=True)
-    return kept.where(F.size("hit_starts") == 0).drop(*HITS)
+    held = {c: f"input_{c}" for c in HITS if c in docs.columns}  # columns of the input that are called as the places are
+    kept = find_benchmark_passages(docs.withColumnsRenamed(held), items, window, block, keep_text=True)
+    clean = kept.where(F.size("hit_starts") == 0).drop(*HITS)
+    return clean.withColumnsRenamed({v: k for k, v in held.items()}).select(*docs.columns)

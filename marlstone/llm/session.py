@@ -24,13 +24,18 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local folder serves a local session (tests); on a cluster it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="spark-marlstone-")
+        _own[app] = tempfile.mkdtemp(prefix="spark-")
     return _own[app]
 
 
