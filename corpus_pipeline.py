@@ -49,13 +49,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no ten-word window of a benchmark item."""
+    """Documents that hold no ten-word window of a benchmark item; null and empty texts hold none and stay."""
     tables(spark)
     return decontaminate.without_contaminated(docs.select(*COLUMNS), load(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' pieces in sequences of at most 4096 tokens."""
+    """Places of all documents' pieces in sequences of at most 4096 tokens, within every capacity of packing.Capacity.
+
+    A null or empty text is one piece of the end token; rows of a null or repeated doc_id have places of their own.
+    """
     tables(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
