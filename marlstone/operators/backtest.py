@@ -70,13 +70,13 @@ class Config:
             raise ValueError("out of range: " + ", ".join(wrong))
 
 
-def evaluate_weights(rows: DataFrame, weights: DataFrame, names: list[str], cost_bps: float = risk.COST_BPS, by: str = "scenario", target: str = "y", var_rows: int = 52, roll_bps: float = 0.0, roll_every: int = 13, roll_offset: int = 0) -> DataFrame:
+def evaluate_weights(rows: DataFrame, weights: DataFrame, names: list[str], cost_bps: float = risk.COST_BPS, by: str = "scenario", target: str = "y", var_rows: int = 52, roll_bps: float = 0.0, roll_every: int = 13, roll_offset: int = 0, cost: risk.CostModel | None = None) -> DataFrame:
     """Weekly results of given weights: rows hold returns under `names`, weights the weights under w_<name>.
 
     Sparse weights are held until the next; rows before the first are left out. A row on which the held weights
     change trades, the first from zero. No cap is applied. The value at risk of a row is that of the row's weights
     over the last var_rows rows: the root of w'Cw with windowed covariances C, no Python needed. With roll_bps every
-    roll_every-th row also pays for rolling the whole exposure.
+    roll_every-th row also pays for rolling the whole exposure. Another cost model takes the place of these two.
     """
     w = [f"w_{n}" for n in names]
     held = panel.as_of(rows.select(by, "date"), weights, [by], w).na.drop(subset=w)
@@ -86,7 +86,8 @@ def evaluate_weights(rows: DataFrame, weights: DataFrame, names: list[str], cost
     own = every.withColumns({"gross": E.total(F.col(n) * F.col(f"w_{n}") for n in names), "ge": E.total(F.abs(c) for c in w), "turnover": turnover})
     own = own.withColumn("rebalanced", F.col("turnover") > 1e-12).withColumn("turnover", F.when(F.col("rebalanced"), F.col("turnover")).otherwise(0.0))
     rolls = (F.row_number().over(along) - 1 - roll_offset) % roll_every == 0
-    own = own.withColumn("tc", risk.trade_cost(F.col("turnover"), cost_bps) + F.when(rolls, risk.trade_cost(F.col("ge"), roll_bps)).otherwise(0.0))
+    charged = cost or risk.proportional(cost_bps, roll_bps)
+    own = own.withColumn("tc", charged(F.col("turnover"), F.col("ge"), rolls))
     variance = E.total(F.col(f"w_{a}") * F.col(f"w_{b}") * F.col(_cov(a, b)) * (1 if a == b else 2) for i, a in enumerate(names) for b in names[i:])
     factor = -E.normal_quantile(risk.CONFIDENCE) * risk.HORIZON**0.5
     var = F.sqrt(F.when(variance < 0, 0.0).otherwise(variance)) * factor

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,6 +60,20 @@ def var_scale(var: Column, cap: float = MAX_VAR) -> Column:
     return F.when(var > cap, F.lit(cap) / var).otherwise(1.0)
 
 
+#: Cost of a row from its turnover, its gross exposure and whether it rolls.
+CostModel = Callable[[Column, Column, Column], Column]
+
+
+def proportional(bps: float, roll_bps: float = 0.0) -> CostModel:
+    """Basis points of turnover, and of the whole exposure on rows that roll."""
+    return lambda turnover, exposure, rolls: trade_cost(turnover, bps) + F.when(rolls, trade_cost(exposure, roll_bps)).otherwise(0.0)
+
+
+def with_impact(bps: float, impact: float, power: float = 1.5) -> CostModel:
+    """Basis points of turnover and an impact that grows faster than it."""
+    return lambda turnover, exposure, rolls: trade_cost(turnover, bps) + impact * F.pow(turnover, power)
+
+
 def trade_cost(traded: Column, bps: float = COST_BPS) -> Column:
     """Cost of an absolute traded amount."""
     return traded * (bps / 1e4)

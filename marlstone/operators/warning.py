@@ -74,6 +74,19 @@ def tail_scores(df: DataFrame, columns: list[str], by: str | None = None) -> Dat
     return out.withColumn("tail", E.total(F.col(f"{c}_tail") for c in columns) / len(columns))
 
 
+def held_out_tails(df: DataFrame, columns: list[str], fitted: str, by: str) -> DataFrame:
+    """Adds tail as tail_scores does, but from the distribution of the rows marked by the column `fitted` alone.
+
+    Every probability is (rows at or beyond + 1) over (rows + 1), so what lies outside all fitted rows has one too.
+    """
+    out = df.withColumn("_fit", F.col(fitted).cast("int"))
+    n = F.sum("_fit").over(Window.partitionBy(by))
+    for c in columns:
+        low, high = (F.sum("_fit").over(Window.partitionBy(by).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)) for order in (F.asc(c), F.desc(c)))
+        out = out.withColumn(f"{c}_tail", -F.ln(F.least(low + 1, high + 1) / (n + 1)))
+    return out.withColumn("tail", E.total(F.col(f"{c}_tail") for c in columns) / len(columns)).drop("_fit")
+
+
 def in_ranges(df: DataFrame, c: str) -> DataFrame:
     """Adds up and down: the shares of rows with a value of c at most, and at least, as large; NULL where c is."""
     cut = df.withColumn("_range", value_range(df, c))

@@ -152,6 +152,18 @@ def segment_principal_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("id", "pc1", "pc2")
 
 
+@query(f"""WITH {_C}, z AS (SELECT (age - avg(age) OVER ()) / stddev_pop(age) OVER () AS a, (wealth - avg(wealth) OVER ()) / stddev_pop(wealth) OVER () AS b FROM clients),
+ m AS (SELECT var_samp(a) AS a, var_samp(b) AS c, covar_samp(a, b) AS b FROM z), e AS (SELECT (a + c) / 2 AS mid, sqrt(power((a - c) / 2, 2) + b * b) AS half FROM m)
+ SELECT 1 AS axis, round(mid + half, 6) AS variance, round((mid + half) / (2 * mid), 6) AS share FROM e UNION ALL SELECT 2, round(mid - half, 6), round((mid - half) / (2 * mid), 6) FROM e""")
+def segment_axis_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance along two principal axes of two columns, and their shares, which a closed form can check."""
+    columns = ["age", "wealth"]
+    own, shares = segment.principal_axes(segment.standardised(frames.clients(spark, sf_dir), columns), columns, 2)
+    one = own.agg(F.var_samp("pc1").alias("v1"), F.var_samp("pc2").alias("v2"))
+    rows = F.array(*(F.struct(F.lit(i).alias("axis"), _R(F.col(f"v{i}")).alias("variance"), _R(F.lit(s)).alias("share")) for i, s in enumerate(shares, 1)))
+    return one.select(F.explode(rows).alias("x")).select("x.*")
+
+
 @query()
 def segment_learned_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prototypes after learning."""

@@ -170,6 +170,31 @@ def warning_stacked_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warning.tail_scores(b, ["first", "second"], by="scenario").select("date", _R("first").alias("first"), _R("second").alias("second"), _R("tail").alias("meta"))
 
 
+def _outside(c: str, fitted: str) -> str:
+    """A held-out tail score in SQL."""
+    sides = ", ".join(f"sum({fitted}) OVER (ORDER BY {c}{d}) + 1" for d in ("", " DESC"))
+    return f"-ln(least({sides}) / (sum({fitted}) OVER () + 1))"
+
+
+_GROUPS = (N[:6], N[6:])
+
+
+@query(f"""WITH {frames.REPLICATION}, k AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM rep),
+ p AS (SELECT *, CAST(i < floor(n * 0.6::DOUBLE) AS INTEGER) AS early, CAST(i >= floor(n * 0.6::DOUBLE) AND i < floor(n * 0.8::DOUBLE) AS INTEGER) AS later FROM k),
+ t AS (SELECT date, early, later, {", ".join(f"{_outside(n, 'early')} AS t{i}" for i, n in enumerate(N))} FROM p),
+ g AS (SELECT *, ({" + ".join(f"t{i}" for i in range(6))}) / 6 AS a, ({" + ".join(f"t{i}" for i in range(6, 11))}) / 5 AS b FROM t)
+ SELECT date, round(a, 6) AS first, round(b, 6) AS second, round(({_outside("round(a, 9)", "later")} + {_outside("round(b, 9)", "later")}) / 2, 6) AS master FROM g""")
+def warning_held_out_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tail scores of two groups fitted on the first 60 %, and a master fitted on their scores on the next 20 %."""
+    own = frames.replication(spark, sf_dir)
+    dealt = panel.chronological(own, ["scenario"], "date", [("early", 0.6), ("later", 0.2), ("last", 0.2)])
+    dealt = dealt.withColumns({"early": F.col("part") == "early", "later": F.col("part") == "later"})
+    for name, columns in zip(("first", "second"), _GROUPS, strict=True):
+        dealt = warning.held_out_tails(dealt, columns, "early", "scenario").withColumn(name, F.round("tail", 9)).drop("tail")
+    done = warning.held_out_tails(dealt, ["first", "second"], "later", "scenario")
+    return done.select("date", _R("first").alias("first"), _R("second").alias("second"), _R("tail").alias("master"))
+
+
 @query(f"""WITH {warning_queries._L}, q AS (SELECT i AS percent, quantile_cont(score, i / 100.0) AS t FROM lab, range(30, 99) r(i) GROUP BY i), c AS (SELECT percent, count(*) FILTER (WHERE label = 1 AND score > t + 1e-9) AS tp, count(*) FILTER (WHERE score > t + 1e-9) AS said, sum(label) AS pos FROM q, lab GROUP BY percent)
  SELECT CAST(percent AS INTEGER) AS percent, round(CASE WHEN tp = 0 THEN 0 ELSE 5 * (tp / said) * (tp / pos) / (4 * (tp / said) + tp / pos) END, 6) AS f2 FROM c""".replace("quantile_cont(score, i / 100.0)", "(SELECT quantile_cont(score, 0.5) FROM lab) * i / 50.0::DOUBLE").replace(" FROM lab, range(30, 99) r(i) GROUP BY i)", " FROM range(30, 99) r(i))"))
 def warning_percent_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,3 +238,11 @@ def risk_roll_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frames.replication(spark, sf_dir)
     weekly = backtest.evaluate_weights(rows, risk_queries.schedule(rows), N, roll_bps=2.0)
     return weekly.select("date", _R("tc", 8).alias("tc"), _R("net").alias("net"))
+
+
+@query(f"WITH {risk_queries.WEEKLY} SELECT date, round(tc + 0.001::DOUBLE * power(turnover, 1.5::DOUBLE), 8) AS tc, round(net - 0.001::DOUBLE * power(turnover, 1.5::DOUBLE), 6) AS net FROM weekly")
+def risk_impact_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs under another cost model: with an impact beside the basis points."""
+    rows = frames.replication(spark, sf_dir)
+    weekly = backtest.evaluate_weights(rows, risk_queries.schedule(rows), N, cost=risk.with_impact(risk.COST_BPS, 0.001))
+    return weekly.select("date", _R("tc", 8).alias("tc"), _R("net").alias("net"))

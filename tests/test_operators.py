@@ -246,3 +246,10 @@ def test_ranks_medoid_counts_and_importance(spark):
     parted = data.withColumn("part", F.when(F.rand(1) < 0.6, "train").otherwise("valid"))
     grid = warning.forest_grid(parted, ["a", "b"], "label", [10, 20], [32], [0.5, 1.0], [50, 90, 95]).collect()
     assert len(grid) == 12 and max(grid, key=lambda r: r.f2).share == 1.0
+
+
+def test_fingerprint_knows_no_order(spark):
+    rows = spark.range(500).select("id", F.concat(F.lit("v"), "id").alias("v"))
+    first = tables.fingerprint(rows).first()
+    assert first == tables.fingerprint(rows.orderBy(F.desc("id")).repartition(7)).first()
+    assert first != tables.fingerprint(rows.where("id <> 3")).first() and first != tables.fingerprint(rows.withColumnRenamed("v", "w")).first()
