@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import expr as E
@@ -93,9 +93,9 @@ def _gower(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {_C}, {_GOWER} SELECT q, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(distance, 9), id) AS k FROM gw WHERE q <> id) WHERE k <= 5")
 def segment_gower_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest clients of the query clients (every fiftieth) under Gower distance."""
-    _, pairs = _gower(spark, sf_dir)
-    nearest = Window.partitionBy("q").orderBy(F.round("distance", 9), "id")
-    return pairs.where("q <> id").withColumn("k", F.row_number().over(nearest)).where("k <= 5").select("q", "id", _R("distance").alias("distance"))
+    own = frames.clients(spark, sf_dir)
+    found = segment.nearest(own.where("id % 50 = 0"), own, "id", ["age", "wealth", "risk"], ["gender", "segment"], 5)
+    return found.select("q", "id", _R("distance").alias("distance"))
 
 
 @query(f"""WITH {_C}, {_GOWER}, m AS (SELECT gw.q, o.region AS own, c.region AS label, avg(distance) AS d FROM gw JOIN clients c ON c.id = gw.id JOIN clients o ON o.id = gw.q WHERE gw.q <> gw.id GROUP BY 1, 2, 3),

@@ -253,3 +253,18 @@ def test_fingerprint_knows_no_order(spark):
     first = tables.fingerprint(rows).first()
     assert first == tables.fingerprint(rows.orderBy(F.desc("id")).repartition(7)).first()
     assert first != tables.fingerprint(rows.where("id <> 3")).first() and first != tables.fingerprint(rows.withColumnRenamed("v", "w")).first()
+
+
+def test_nearest_rows_equal_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, float(round(a, 1)), float(b), "abc"[i % 3]) for i, (a, b) in enumerate(rng.normal(0, 1, (120, 2)))]
+    df = spark.createDataFrame(rows, "id long, x double, y double, g string").repartition(3)
+    queries = df.where("id % 10 = 0")
+    pairs = {}
+    for r in segment.gower(queries, df, "id", ["x", "y"], ["g"]).where("q <> id").collect():
+        pairs.setdefault(r.q, []).append((round(r.distance, 9), r.id))
+    want = {(q, i, n + 1) for q, found in pairs.items() for n, (_, i) in enumerate(sorted(found)[:4])}
+    for block in (1000, 5):
+        monkeypatch.setattr(segment, "NEAREST_BLOCK", block)
+        got = {(r.q, r.id, r["rank"]) for r in segment.nearest(queries, df, "id", ["x", "y"], ["g"], 4).collect()}
+        assert got == want
