@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, ngram_join, order_minhash, packing, pii, token_counts, toxicity, url_filter
+from . import decontaminate, delta_lloyd, divergence, license_scan, line_dedup, mixing, mixture_sql, ngram_join, order_minhash, packing, pii, token_counts, toxicity, url_filter
 from .session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,11 +139,32 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of kept words of each source beside those of its language's other sources, and the words it uses more."""
+    return divergence.audit(load(spark, sf_dir, "documents"), least_docs=30, smoothing=5, scale=10**9, top=50)
+
+
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the embeddings around 40 integer centroids."""
+    return delta_lloyd.clusters_of(load(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed=2)
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of each document so that sources have weights 5, 2, 1 of one and a half times all words."""
+    return mixing.mix(load(spark, sf_dir, "documents"), weights=(5, 2, 1), share=Fraction(3, 2), repeats=2)
+
+
+QUERIES = (
+    op1_ngram_jaccard, op2_line_dedup, op3_token_counts, op4_best_fit_packing, op5_url_filter, op6_order_minhash, op7_toxicity,
+    op8_license_scan, op9_decontaminate, op10_pii, op11_source_divergence, op12_delta_lloyd, op13_source_mixing,
+)
+
+
 def queries() -> dict[str, Query]:
     """Every corpus query by name."""
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_token_counts, op4_best_fit_packing, op5_url_filter, op6_order_minhash, op7_toxicity, op8_license_scan, op9_decontaminate, op10_pii)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the corpus queries that SQL can express on whole tables."""
-    return {"op2_line_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op9_decontaminate": OP9_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op9_decontaminate": OP9_SQL, "op11_source_divergence": mixture_sql.DIVERGENCE, "op12_delta_lloyd": mixture_sql.clusters(), "op13_source_mixing": mixture_sql.MIXING}
