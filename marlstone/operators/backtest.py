@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import expr as E
+from marlstone.functions import linalg as L
 from marlstone.operators import panel, risk
 
 Fit = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -80,7 +81,7 @@ def evaluate_weights(rows: DataFrame, weights: DataFrame, names: list[str], cost
     """
     w = [f"w_{n}" for n in names]
     held = panel.as_of(rows.select(by, "date"), weights, [by], w).na.drop(subset=w)
-    every = rows.withColumns(_windowed_covariances(names, by, var_rows)).join(held, [by, "date"])
+    every = windowed_covariances(rows, names, by, var_rows).join(held, [by, "date"])
     along = Window.partitionBy(by).orderBy("date")
     turnover = E.total(F.abs(F.col(c) - F.coalesce(F.lag(c).over(along), F.lit(0.0))) for c in w)
     own = every.withColumns({"gross": E.total(F.col(n) * F.col(f"w_{n}") for n in names), "ge": E.total(F.abs(c) for c in w), "turnover": turnover})
@@ -88,21 +89,61 @@ def evaluate_weights(rows: DataFrame, weights: DataFrame, names: list[str], cost
     rolls = (F.row_number().over(along) - 1 - roll_offset) % roll_every == 0
     charged = cost or risk.proportional(cost_bps, roll_bps)
     own = own.withColumn("tc", charged(F.col("turnover"), F.col("ge"), rolls))
-    variance = E.total(F.col(f"w_{a}") * F.col(f"w_{b}") * F.col(_cov(a, b)) * (1 if a == b else 2) for i, a in enumerate(names) for b in names[i:])
+    variance = E.total(F.col(f"w_{a}") * F.col(f"w_{b}") * F.col(cov_name(a, b)) * (1 if a == b else 2) for i, a in enumerate(names) for b in names[i:])
     factor = -E.normal_quantile(risk.CONFIDENCE) * risk.HORIZON**0.5
     var = F.sqrt(F.when(variance < 0, 0.0).otherwise(variance)) * factor
     return own.select(by, "date", "gross", (F.col("gross") - F.col("tc")).alias("net"), F.col(target).alias("target"), "ge", var.alias("var"), "turnover", "tc", "rebalanced", *w)
 
 
-def _cov(a: str, b: str) -> str:
+def cov_name(a: str, b: str) -> str:
+    """Column of the covariance of a and b, a not after b."""
     return f"cov_{a}_{b}"
 
 
-def _windowed_covariances(names: list[str], by: str, k: int) -> dict[str, Column]:
-    """Sample covariances of all pairs over the k rows before the row; NULL until there are as many."""
-    frame = Window.partitionBy(by).orderBy("date").rowsBetween(-k, -1)
-    full = F.count(F.lit(1)).over(frame) == k
-    return {_cov(a, b): F.when(full, F.covar_samp(a, b).over(frame)) for i, a in enumerate(names) for b in names[i:]}
+def windowed_covariances(rows: DataFrame, names: list[str], by: str, k: int) -> DataFrame:
+    """Adds the sample covariances of all pairs over the k rows before the row; NULL until there are as many."""
+    own = panel.windowed_moments(rows, names, k, by)
+    sums = [panel.product_name(a, b) for i, a in enumerate(names) for b in names[i:]] + [f"sum_{n}" for n in names]
+
+    def cov(a: str, b: str) -> Column:
+        return (F.col(panel.product_name(a, b)) - F.col(f"sum_{a}") * F.col(f"sum_{b}") / k) / (k - 1)
+
+    return own.withColumns({cov_name(a, b): cov(a, b) for i, a in enumerate(names) for b in names[i:]}).drop(*sums)
+
+
+def rolling_ridge(rows: DataFrame, names: list[str], k: int, alpha: float, by: str = "scenario", target: str = "y", scaled: bool = True, inverted: bool = False) -> DataFrame:
+    """Adds ridge, the array of coefficients without intercept fitted on the k rows before the row; NULL until there are k.
+
+    scaled brings each column to [0, 1] over its window before the fit and the coefficients back to raw units after it
+    (a column without range counts as of range 1); inverted multiplies them by the ranges instead. All fits come from windowed moments: X'X of the scaled columns is
+    that of the raw ones less the terms of the least values, and Cholesky runs as array expressions. No row is
+    gathered, no Python runs.
+    """
+    n, before = len(names), panel.Roll(by).before(k)
+    own = panel.windowed_moments(rows, [*names, target], k, by)
+    drop = [c for c in own.columns if c not in rows.columns]
+    ends = {f"low_{c}": F.min(c).over(before) for c in names} | {f"high_{c}": F.max(c).over(before) for c in names} if scaled else {}
+    own = own.withColumns(ends)
+
+    def span(c: str) -> Column:
+        gap = F.col(f"high_{c}") - F.col(f"low_{c}")
+        return F.when(gap > 0, gap).otherwise(1.0)
+
+    def entry(i: int, j: int) -> Column:
+        a, b = names[i], names[j]
+        value = F.col(panel.product_name(a, b))
+        if scaled:
+            la, lb = F.col(f"low_{a}"), F.col(f"low_{b}")
+            value = (value - la * F.col(f"sum_{b}") - lb * F.col(f"sum_{a}") + k * la * lb) / (span(a) * span(b))
+        return value + alpha if i == j else value
+
+    def side(c: str) -> Column:
+        value = F.col(panel.product_name(c, target))
+        return (value - F.col(f"low_{c}") * F.col(f"sum_{target}")) / span(c) if scaled else value
+
+    own = own.withColumns({"gram": L.symmetric(entry, n), "side": F.array(*map(side, names)), "spans": F.array(*(span(c) if scaled else F.lit(1.0) for c in names))})
+    fitted = F.when(F.col(f"sum_{target}").isNotNull(), L.solved(F.col("gram"), F.col("side"), n))
+    return own.withColumn("ridge", F.zip_with(fitted, "spans", lambda w, s: w * s if inverted else w / s)).drop(*drop, *ends, "gram", "side", "spans")
 
 
 def restrict(weekly: DataFrame, start: str, end: str, by: str = "scenario") -> DataFrame:

@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import expr as E
+from marlstone.operators import backtest, panel, risk
 
 
 def vote(train: DataFrame, rows: DataFrame, label: str, columns: list[str], seed: int = 42) -> DataFrame:
@@ -57,27 +58,50 @@ class _Net:
             self.p[i] = self.p[i] - rate * (self.m[i] / (1 - 0.9**self.t)) / (np.sqrt(self.v[i] / (1 - 0.999**self.t)) + 1e-8)
 
 
-def network_backtest(rows: DataFrame, features: list[str], names: list[str], by: str = "scenario", target: str = "y", window: int = 104, every: int = 4, members: int = 3, hidden: int = 16, epochs: int = 60, turnover: float = 1e-5) -> DataFrame:
-    """by, date, w_<name>: weights of an ensemble of networks, fitted on the rows before each date and warm-started.
+def network_features(rows: DataFrame, names: list[str], regime: list[str], by: str = "scenario", target: str = "y", returns: tuple[int, ...] = (4, 12, 52), spreads: tuple[int, ...] = (12, 52), window: int = 52, alpha: float = 1e-3) -> tuple[DataFrame, list[str]]:
+    """The rows with what may be known before each, and the names of these features; rows that lack one are left out.
 
-    Features must be known before their row (lagged); they are standardised on the fitting rows only.
+    Compounded returns and annualised deviations of every instrument, the regime (compounded returns of other series
+    and the target's deviation over twelve rows), and the coefficients of a ridge on the rows before as a warm start;
+    all one row old.
     """
-    w_names = [f"w_{n}" for n in names]
+    roll, annual = panel.Roll(by), risk.ANNUAL**0.5
+    made = {f"ret_{k}w_{n}": roll.compound(n, k) for k in returns for n in names}
+    made |= {f"vol_{k}w_{n}": roll.std(n, k) * annual for k in spreads for n in names}
+    made |= {f"regime_{n}_12w": roll.compound(n, 12) for n in regime} | {"regime_target_vol_12w": roll.std(target, 12) * annual}
+    fitted = backtest.rolling_ridge(rows, names, window, alpha, by, target, inverted=True)
+    warm = {f"warm_{n}": F.get("ridge", F.lit(i)) for i, n in enumerate(names)}
+    known = fitted.withColumns(made | warm)
+    lagged = {c: F.lag(c).over(roll.base) for c in (*made, *warm)}
+    return known.select(by, "date", *names, target, *(e.alias(c) for c, e in lagged.items())).na.drop(), list(lagged)
+
+
+def network_backtest(rows: DataFrame, features: list[str], names: list[str], by: str = "scenario", target: str = "y", window: int = 104, every: int = 4, members: int = 3, hidden: int = 16, epochs: int = 60, turnover: float = 1e-5, block: int = 12) -> DataFrame:
+    """by, date, w_<name>: the mean weights of an ensemble of networks, fitted on the rows before each date.
+
+    Every rebalance date gets the window of rows before it as an array. Members are keys and so are blocks of `block`
+    dates: a member starts afresh at the first date of a block and goes on from its last fit inside it, so members x
+    blocks tasks run side by side and no task holds more than a block's windows. Features must be known before their
+    row (lagged); they are standardised on the fitting rows only.
+    """
+    w_names, d, m = [f"w_{n}" for n in names], len(features), len(names)
+    along = Window.partitionBy(by).orderBy("date")
+    place = F.row_number().over(along) - 1 - window
+    numbers = F.array(*(F.col(c).cast("double") for c in [*features, *names, target]))
+    dated = rows.select(by, "date", place.alias("place"), numbers.alias("own"), F.collect_list(numbers).over(along.rowsBetween(-window, -1)).alias("past"))
+    dated = dated.where((F.col("place") >= 0) & (F.col("place") % every == 0)).withColumn("block", F.floor(F.col("place") / (every * block)))
+    keyed = dated.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("date")
-        phi, x, y = own[features].to_numpy(float), own[names].to_numpy(float), own[target].to_numpy(float)
-        nets = [_Net(len(features), len(names), hidden, np.random.default_rng(42 + i)) for i in range(members)]
-        out = []
-        for t in range(window, len(own), every):
-            past = slice(t - window, t)
-            mean, sd = phi[past].mean(axis=0), phi[past].std(axis=0)
+        net, out = _Net(d, m, hidden, np.random.default_rng(42 + int(own["member"].iloc[0]))), []
+        for i, r in enumerate(own.sort_values("date").itertuples(index=False)):
+            past, now = np.array([np.asarray(x, dtype=float) for x in r.past]), np.asarray(r.own, dtype=float)
+            mean, sd = past[:, :d].mean(axis=0), past[:, :d].std(axis=0)
             sd = np.where(sd < 1e-8, 1.0, sd)
-            for net in nets:
-                for _ in range(epochs if t == window else epochs // 4):
-                    net.step((phi[past] - mean) / sd, x[past], y[past], 0.005, turnover)
-            w = np.mean([net.weights((phi[t] - mean) / sd) for net in nets], axis=0)
-            out.append((own[by].iloc[0], own["date"].iloc[t], *w))
+            for _ in range(epochs // 4 if i else epochs):
+                net.step((past[:, :d] - mean) / sd, past[:, d : d + m], past[:, -1], 0.005, turnover)
+            out.append((getattr(r, by), r.date, *net.weights((now[:d] - mean) / sd)))
         return pd.DataFrame(out, columns=[by, "date", *w_names])
 
-    return rows.groupBy(by).applyInPandas(run, f"{by} string, date date, " + ", ".join(f"{c} double" for c in w_names))
+    each = keyed.groupBy(by, "member", "block").applyInPandas(run, f"{by} string, date date, " + ", ".join(f"{c} double" for c in w_names))
+    return each.groupBy(by, "date").agg(*(F.avg(c).alias(c) for c in w_names))

@@ -157,3 +157,54 @@ def value_range(df: DataFrame, c: str, ranges: int = RANGES) -> Column:
     cuts = df.agg(F.percentile_approx(c, [i / ranges for i in range(1, ranges)], 100 * ranges).alias("cuts")).first().cuts or []
     held = F.array(*(F.lit(x) for x in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
     return F.size(F.filter(held, lambda x: x < F.col(c)))
+
+
+def product_name(a: str, b: str) -> str:
+    """Column of the windowed sum of a * b."""
+    return f"sum_{a}_{b}"
+
+
+def windowed_moments(df: DataFrame, columns: list[str], k: int, by: str | list[str], order: str = "date") -> DataFrame:
+    """Adds sum_<a> of every column and sum_<a>_<b> of every pair, a not after b, over the k rows before the row.
+
+    Each is the difference of two running sums, so a window costs one addition a row whatever its width. NULL until
+    there are k rows, and where one of them lacks a value.
+    """
+    roll = Roll(by, order)
+    whole = E.total(F.col(c).isNotNull().cast("int") for c in columns) == len(columns)
+    parts = {"rows": F.when(whole, 1).otherwise(0)} | {f"sum_{c}": F.col(c) for c in columns}
+    parts |= {product_name(a, b): F.col(a) * F.col(b) for i, a in enumerate(columns) for b in columns[i:]}
+    own = df.withColumns({f"run_{n}": F.sum(F.coalesce(e, F.lit(0))).over(roll.sofar) for n, e in parts.items()})
+
+    def windowed(n: str) -> Column:
+        return F.lag(f"run_{n}").over(roll.base) - F.coalesce(F.lag(f"run_{n}", k + 1).over(roll.base), F.lit(0))
+
+    own = own.withColumns({n: windowed(n) for n in parts}).drop(*(f"run_{n}" for n in parts))
+    full = F.col("rows") == k
+    return own.withColumns({n: F.when(full, F.col(n)) for n in parts if n != "rows"}).drop("rows")
+
+
+#: Rows of a range over which running totals are laid, about, and ranges at most.
+RANGE_ROWS, MOST_RANGES = 50_000, 1000
+
+
+def running_totals(df: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
+    """Adds run_<v>, the sum of v over the group's rows up to the row's place, and all_<v>, the group's whole sum.
+
+    Rows differ in (by, order). The order of a group is cut into ranges of about equal counts; each is a partition of
+    its own, and the sums of the ranges before it are added. Groups are few (settings, features), so that cuts and range sums
+    are small tables; the rows are read twice, so give a written frame.
+    """
+    ranges = max(1, min(MOST_RANGES, -(-df.count() // RANGE_ROWS)))
+    steps = [i / ranges for i in range(1, ranges)]
+    cuts = F.array_distinct(F.percentile_approx(order, steps, 100 * ranges)) if steps else F.array().cast("array<double>")
+    held = df.groupBy(*by).agg(cuts.alias("cuts"))
+    cut = df.join(F.broadcast(held), by) if by else df.crossJoin(F.broadcast(held))
+    dealt = cut.withColumn("range", F.size(F.filter("cuts", lambda x: x < F.col(order)))).drop("cuts")
+    part = dealt.groupBy(*by, "range").agg(*(F.sum(v).alias(v) for v in values))
+    earlier = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    base = part.select(*by, "range", *(F.coalesce(F.sum(v).over(earlier), F.lit(0.0)).alias(f"base_{v}") for v in values), *(F.sum(v).over(whole).alias(f"all_{v}") for v in values))
+    inside = Window.partitionBy(*by, "range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = dealt.join(F.broadcast(base), [*by, "range"])  # groups x MOST_RANGES rows
+    return own.withColumns({f"run_{v}": F.col(f"base_{v}") + F.sum(v).over(inside) for v in values}).drop("range", *(f"base_{v}" for v in values))

@@ -44,8 +44,8 @@ def minmax(df: DataFrame, columns: list[str]) -> DataFrame:
     return own.withColumns({c: F.coalesce(E.ratio(F.col(c) - F.col(f"fit_{c}.a"), F.col(f"fit_{c}.b") - F.col(f"fit_{c}.a")), F.lit(0.0)) for c in columns}).drop(*fit.columns)
 
 
-#: Query rows that go to the tasks at once, for pairs and for nearest rows.
-QUERY_BLOCK, NEAREST_BLOCK = 100_000, 1000
+#: Query rows that go to the tasks at once for nearest rows.
+NEAREST_BLOCK = 1000
 
 
 def _blocks(queries: DataFrame, key: str, size: int) -> list[DataFrame]:
@@ -54,23 +54,6 @@ def _blocks(queries: DataFrame, key: str, size: int) -> list[DataFrame]:
     return [queries if n == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
-def gower(queries: DataFrame, rows: DataFrame, key: str, numbers: list[str], codes: list[str]) -> DataFrame:
-    """q, key, distance of every query to every row: mean over features of |difference| / range or of mismatch.
-
-    What is unknown differs from nothing. Queries are a stated set and sent to the rows, in blocks of about
-    QUERY_BLOCK; ranges are those of the rows. All pairs of a large frame are no operation of this library.
-    """
-    span = rows.agg(*(F.nullif(F.max(c) - F.min(c), F.lit(0)).cast("double").alias(f"span_{c}") for c in numbers))
-    parts = [F.abs(F.col(c) - F.col(f"q_{c}")) / F.col(f"span_{c}") for c in numbers] + [(F.col(c) != F.col(f"q_{c}")).cast("double") for c in codes]
-    distance = E.total(F.coalesce(p, F.lit(0.0)) for p in parts) / len(parts)
-    wide, out = rows.crossJoin(F.broadcast(span)), None
-    for own in _blocks(queries, key, QUERY_BLOCK):
-        q = own.select(F.col(key).alias("q"), *(F.col(c).alias(f"q_{c}") for c in [*numbers, *codes]))
-        pairs = wide.crossJoin(F.broadcast(q)).select("q", key, distance.alias("distance"))  # QUERY_BLOCK rows
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
-
-
 def nearest(queries: DataFrame, rows: DataFrame, key: str, numbers: list[str], codes: list[str], k: int) -> DataFrame:
     """q, key, distance, rank: the k rows nearest to each query under Gower distance, itself left out.
 
@@ -112,68 +95,6 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, numbers: list[str], c
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def silhouette(pairs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """One row: the mean silhouette over the q of a frame of pair distances (q, key, distance) and labels (key, label)."""
-    own = labels.select(F.col(key).alias("q"), F.col("label").alias("own"))
-    means = pairs.where(F.col("q") != F.col(key)).join(labels, key).join(own, "q").groupBy("q", "own", "label").agg(F.avg("distance").alias("d"))
-    one = means.groupBy("q").agg(F.max(F.when(F.col("own") == F.col("label"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("label"), F.col("d"))).alias("b"))
-    value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(E.ratio(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return one.agg(F.avg(value).alias("silhouette"), F.count(F.lit(1)).alias("n"))
-
-
-def _sampled(rows: DataFrame, key: str, numbers: list[str], codes: list[str], sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of at most `sample` rows, picked by a hash, and their distances."""
-    picked = rows.orderBy(F.xxhash64(key)).limit(sample)
-    pdf = gower(picked, picked, key, numbers, codes).toPandas()
-    ids = np.sort(pdf[key].unique())
-    return ids, pdf.pivot(index="q", columns=key, values="distance").loc[ids, ids].to_numpy()
-
-
-def _medoids(d: np.ndarray, k: int, steps: int) -> list[int]:
-    """Places of medoids: built one by one, then moved to the middle of their clusters until none moves."""
-    medoids = [int(d.sum(axis=1).argmin())]
-    while len(medoids) < min(k, len(d)):
-        near = d[:, medoids].min(axis=1)
-        medoids.append(int(np.maximum(near[None, :] - d, 0).sum(axis=1).argmax()))
-    for _ in range(steps):
-        label = d[:, medoids].argmin(axis=1)
-        new = [int(np.flatnonzero(label == c)[d[np.ix_(label == c, label == c)].sum(axis=1).argmin()]) if (label == c).any() else medoids[c] for c in range(len(medoids))]
-        if new == medoids:
-            break
-        medoids = new
-    return medoids
-
-
-def k_medoids(rows: DataFrame, key: str, numbers: list[str], codes: list[str], k: int, sample: int = 400, steps: int = 20) -> DataFrame:
-    """key, label: clusters around medoids under Gower distance.
-
-    Medoids are fitted on at most `sample` rows picked by a hash; then every row goes to its nearest.
-    """
-    ids, d = _sampled(rows, key, numbers, codes, sample)
-    chosen = {int(ids[m]): i for i, m in enumerate(_medoids(d, k, steps))}
-    dist = gower(rows.where(F.col(key).isin(list(chosen))), rows, key, numbers, codes)
-    label = E.mapped("q", {q: i for q, i in chosen.items()}).cast("int")
-    return dist.groupBy(key).agg(F.min_by(label, F.struct("distance", label)).alias("label"))
-
-
-def medoid_counts(rows: DataFrame, key: str, numbers: list[str], codes: list[str], ks: list[int], sample: int = 400, steps: int = 20) -> DataFrame:
-    """k, silhouette, best: the mean silhouette of each number of medoids on the fitting sample; best marks the greatest."""
-    _, d = _sampled(rows, key, numbers, codes, sample)
-    found = []
-    for k in ks:
-        medoids = _medoids(d, k, steps)
-        label = d[:, medoids].argmin(axis=1)
-        member = label[:, None] == np.arange(len(medoids))
-        size = member.sum(axis=0)
-        total = d @ member
-        own = total[np.arange(len(d)), label] / np.maximum(size[label] - 1, 1)
-        other = np.where(member | (size == 0), np.inf, total / np.maximum(size, 1)).min(axis=1)
-        value = np.where((size[label] < 2) | ~np.isfinite(other), 0.0, (other - own) / np.maximum(np.maximum(own, other), 1e-300))
-        found.append((k, float(value.mean())))
-    best = max(found, key=lambda x: (x[1], -x[0]))[0] if found else None
-    return rows.sparkSession.createDataFrame([(k, v, k == best) for k, v in found], "k int, silhouette double, best boolean")
-
-
 def mixture(df: DataFrame, columns: list[str], k: int, least_weight: float = 0.05, seed: int = 42) -> DataFrame:
     """Adds cluster and confidence: a Gaussian mixture whose components below a weight are dropped, renumbered from 0."""
     rows = VectorAssembler(inputCols=columns, outputCol="features").transform(df)
@@ -263,28 +184,6 @@ def stratified(df: DataFrame, label: str, key: str, share: float) -> DataFrame:
     return df.withColumn("train", F.row_number().over(order) <= F.round(n * share))
 
 
-def kalman(rows: DataFrame, names: list[str], by: str = "scenario", target: str = "y", drift: float = 1e-3, noise: float = 1e-2, damping: float = 1.0) -> DataFrame:
-    """by, date, w_<name>: random-walk weights filtered from returns and target; a row's weights know only rows before it."""
-    import pandas as pd
-
-    w_names = [f"w_{n}" for n in names]
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("date")
-        x, y, d = own[names].to_numpy(float), own[target].to_numpy(float), len(names)
-        w, p, out = np.zeros(d), np.eye(d), []
-        for t in range(len(own)):
-            out.append((own[by].iloc[t], own["date"].iloc[t], *w))
-            p = p + drift**2 * np.eye(d)
-            gain = p @ x[t] / (x[t] @ p @ x[t] + noise**2)
-            w = (1 - damping) * w + damping * (w + gain * (y[t] - x[t] @ w))
-            p = p - np.outer(gain, x[t]) @ p
-        return pd.DataFrame(out, columns=[by, "date", *w_names])
-
-    schema = f"{by} string, date date, " + ", ".join(f"{c} double" for c in w_names)
-    return rows.groupBy(by).applyInPandas(run, schema)
-
-
 def confidence_floor(base: float) -> float:
     """Least precision asked of a threshold: a quarter above the base rate, at most .7."""
     return min(0.7, base + 0.25) if not math.isnan(base) else 0.7

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import expr as E
-from marlstone.operators import clean, metrics, recommend, segment
+from marlstone.operators import clean, gower, metrics, recommend, segment
 from marlstone.plans import frames
 from marlstone.plans.registry import query
 
@@ -85,26 +85,29 @@ _GOWER = """sp AS (SELECT max(age) - min(age) AS a, max(wealth) - min(wealth) AS
  gw AS (SELECT q.id AS q, c.id, (abs(c.age - q.age) / a + abs(c.wealth - q.wealth) / w + abs(c.risk - q.risk) / r + CAST(c.gender <> q.gender AS DOUBLE) + CAST(c.segment <> q.segment AS DOUBLE)) / 5 AS distance FROM clients c, sp, (SELECT * FROM clients WHERE id % 50 = 0) q)"""
 
 
-def _gower(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    own = frames.clients(spark, sf_dir)
-    return own, segment.gower(own.where("id % 50 = 0"), own, "id", ["age", "wealth", "risk"], ["gender", "segment"])
+_NUMBERS, _CODES = ["age", "wealth", "risk"], ["gender", "segment"]
 
 
 @query(f"WITH {_C}, {_GOWER} SELECT q, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(distance, 9), id) AS k FROM gw WHERE q <> id) WHERE k <= 5")
 def segment_gower_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest clients of the query clients (every fiftieth) under Gower distance."""
     own = frames.clients(spark, sf_dir)
-    found = segment.nearest(own.where("id % 50 = 0"), own, "id", ["age", "wealth", "risk"], ["gender", "segment"], 5)
+    found = segment.nearest(own.where("id % 50 = 0"), own, "id", _NUMBERS, _CODES, 5)
     return found.select("q", "id", _R("distance").alias("distance"))
 
 
-@query(f"""WITH {_C}, {_GOWER}, m AS (SELECT gw.q, o.region AS own, c.region AS label, avg(distance) AS d FROM gw JOIN clients c ON c.id = gw.id JOIN clients o ON o.id = gw.q WHERE gw.q <> gw.id GROUP BY 1, 2, 3),
+_PAIRS = _GOWER.replace(" WHERE id % 50 = 0", "")
+
+
+@query(f"""WITH {_C}, {_PAIRS}, m AS (SELECT gw.q, o.region AS own, c.region AS label, avg(distance) AS d FROM gw JOIN clients c ON c.id = gw.id JOIN clients o ON o.id = gw.q WHERE gw.q <> gw.id GROUP BY 1, 2, 3),
  s AS (SELECT q, max(d) FILTER (WHERE own = label) AS a, min(d) FILTER (WHERE own <> label) AS b FROM m GROUP BY q)
- SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, CAST(count(*) AS BIGINT) AS n FROM s""")
+ SELECT id, region AS label, round(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM clients LEFT JOIN s ON q = id""")
 def segment_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean silhouette of the query clients for a given grouping."""
-    own, pairs = _gower(spark, sf_dir)
-    return segment.silhouette(pairs, own.select("id", F.col("region").alias("label")), "id").select(_R("silhouette").alias("silhouette"), "n")
+    """Silhouette of every client for a given grouping, from sums over features; the SQL takes all pairs."""
+    own = frames.clients(spark, sf_dir)
+    labels = own.select("id", F.col("region").cast("int").alias("label"))
+    rows = gower.scaled_rows(own, "id", _NUMBERS, _CODES).join(labels, "id")
+    return gower.silhouettes(rows, [], "id", _NUMBERS, _CODES, 5).select("id", "label", _R("silhouette").alias("silhouette"))
 
 
 @query(f"""WITH {_C}, t AS (SELECT region, gender, count(*) AS n, row_number() OVER (PARTITION BY region ORDER BY count(*) DESC, gender) AS k FROM clients GROUP BY 1, 2),
@@ -129,13 +132,13 @@ def segment_nearest_prototype(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def segment_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters around medoids."""
-    return segment.k_medoids(frames.clients(spark, sf_dir), "id", ["age", "wealth", "risk"], ["gender", "segment"], 5, sample=200)
+    return gower.k_medoids(frames.clients(spark, sf_dir), "id", _NUMBERS, _CODES, 5)
 
 
 @query()
 def segment_medoid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean silhouette of 3 to 14 medoids, and which number is best."""
-    return segment.medoid_counts(frames.clients(spark, sf_dir), "id", ["age", "wealth", "risk"], ["gender", "segment"], list(range(3, 15)), sample=200)
+    """Mean silhouette and inertia of 3 to 14 medoids over all clients, and which number is best."""
+    return gower.medoid_counts(frames.clients(spark, sf_dir), "id", _NUMBERS, _CODES, list(range(3, 15)))
 
 
 @query()

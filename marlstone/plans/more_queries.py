@@ -113,41 +113,6 @@ def risk_weight_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("date", *(_R(F.col(f"v{i}") / whole).alias(f"w{i}") for i in range(_K)))
 
 
-def _network_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    own = frames.replication(spark, sf_dir)
-    roll = panel.Roll("scenario")
-    made = {f"{n}_ret{k}": roll.compound(n, k) for n in N for k in (4, 12)} | {f"{n}_vol12": roll.std(n, 12) for n in N}
-    rows = own.withColumns(made)
-    lagged = {c: F.lag(c).over(roll.base) for c in made}
-    return rows.select("scenario", "date", *N, "y", *(e.alias(c) for c, e in lagged.items())).na.drop(), list(made)
-
-
-_NF = "OVER (ORDER BY date ROWS BETWEEN {} PRECEDING AND 1 PRECEDING)"
-
-
-def _lagged(n: str) -> str:
-    """The features of an instrument in SQL."""
-    four, twelve = _NF.format(4), _NF.format(12)
-    return f"""CASE WHEN count({n}) {four} = 4 THEN round(product(1 + {n}) {four} - 1, 6) END AS {n}_ret4,
- CASE WHEN count({n}) {twelve} = 12 THEN round(product(1 + {n}) {twelve} - 1, 6) END AS {n}_ret12,
- CASE WHEN count({n}) {twelve} = 12 THEN round(stddev_samp({n}) {twelve}, 6) END AS {n}_vol12"""
-
-
-@query(f"WITH {frames.REPLICATION}, f AS (SELECT date, {', '.join(map(_lagged, N))} FROM rep) SELECT * FROM f WHERE r0_ret12 IS NOT NULL")
-def backtest_network_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lagged compounded returns and spreads of every instrument: what a network may know before its row."""
-    own, made = _network_features(spark, sf_dir)
-    return own.select("date", *(_R(c).alias(c) for c in made))
-
-
-@query()
-def backtest_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric row of an ensemble of small networks, fitted walk-forward."""
-    own, features = _network_features(spark, sf_dir)
-    weights = learn.network_backtest(own, features, N, window=104, every=4)
-    return risk.network_metrics(backtest.evaluate_weights(own, weights, N))
-
-
 @query()
 def eval_voting_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC on held-out clients of four classifiers' mean probability."""

@@ -204,12 +204,6 @@ def warning_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warning.permutation_importance(own.where("part <> 'train'"), columns, forest, "label", repeats=2)
 
 
-@query()
-def portfolio_kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights from a random-walk Kalman filter."""
-    return segment.kalman(frames.replication(spark, sf_dir), frames.NAMES)
-
-
 @query()
 def warning_forest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds of all percentiles for a grid of forests: the ten best by F2 on validation rows."""
@@ -225,12 +219,3 @@ def warning_refit_on_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = warning.isolation_forest(own.where("part = 'train' AND label = 0"), columns, trees=30)
     importance = warning.permutation_importance(own.where("part = 'valid'"), columns, forest, "label", repeats=2)
     return warning.refit_on_top(own, columns, "label", importance, [5, 10, 20])
-
-
-@query(f"""WITH RECURSIVE {frames.REPLICATION}, s AS (SELECT date, r0 AS x, y, row_number() OVER (ORDER BY date) - 1 AS k FROM rep),
- kf(k, w, p) AS (SELECT 0::BIGINT, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
- SELECT k + 1, w + g * (y - x * w), q - g * x * q FROM (SELECT kf.k, w, p + 1e-6::DOUBLE AS q, x, y, (p + 1e-6::DOUBLE) * x / (x * x * (p + 1e-6::DOUBLE) + 1e-4::DOUBLE) AS g FROM kf JOIN s ON s.k = kf.k))
- SELECT date, round(w, 6) AS w0 FROM kf JOIN s ON s.k = kf.k""")
-def portfolio_kalman_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filter on a single instrument, which recursive SQL can check."""
-    return segment.kalman(frames.replication(spark, sf_dir), frames.NAMES[:1]).select("date", _R("w_r0").alias("w0"))

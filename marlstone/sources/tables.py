@@ -89,3 +89,8 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
     return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: cuts its lineage, survives lost executors, is worked out once."""
+    return overwrite(df, scratch(df.sparkSession, name))
