@@ -1,26 +1,31 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
-1. Voters are words (lexicon) and word beginnings (patterns) whose presence goes with toxic labels in a bounded
-   sample of the training labels, and a short list of common insults. A voter votes toxic or abstains.
+1. Voters are words (lexicon) and word beginnings (patterns) that go with toxic labels in a bounded sample of the
+   training labels, and a short list of common insults. A voter votes by how often it occurs: once, twice, up to LEVELS
+   times; without an occurrence it abstains. Every voter with evidence is kept; of names that contain each other, the
+   one with most evidence. Near copies of a labelled text count once.
 2. The label model assumes that voters vote independently given the unseen label, but for the pairs that it finds
    correlated. Covariances of independent voters are then products of one number per voter, which the model reads
    off the covariance matrix of the votes on ALL documents (median over triples); with the prior that gives each
-   voter's rate on toxic and on clean texts. Pairs whose covariance departs from the product are taken as
-   correlated, left out of the triples, and share their weight in the posterior.
-3. A logistic regression is trained on the posteriors of a bounded sample of documents and scores every text.
+   vote's rate on toxic and on clean texts. Where too few voters agree with one (a language with two patterns), its rates on
+   labelled rows stand in. Pairs whose covariance departs from the product are taken as correlated, left out of the
+   triples, and share their weight in the posterior.
+3. A logistic regression is trained on the posteriors of a bounded sample of documents and scores every text. It sees
+   the votes, their sum and density, and beyond them the densities of hashed words.
 
-What the driver gathers is bounded by the parameters below: the voters, their covariance matrix, the samples.
+What the driver gathers is bounded by the parameters below: counts of names in the labelled sample, covariances of
+voters (which evidence in that sample bounds), the training sample.
 
 Cases: null and empty texts have no votes and get the classifier's score for none; repeated rows are scored one by
 one; without labels, or where no word stands out, the insults alone vote; a doc_id with several labels is toxic if
-one of them says so; other columns are not used.
+one of them says so; an input column `score` gives way, all other columns stay.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -29,33 +34,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import tables, texts, written
+from .textblocks import ALNUM_DELIMITED, blocks, grams
 
 #: Labelled rows from which voters are chosen, and documents on which the classifier is trained, at most about.
 LABELLED_SAMPLE = 20_000
 TRAINING_SAMPLE = 20_000
-#: Voters at most.
-VOTERS = 96
-#: Words and beginnings from which voters are chosen, at most.
-CANDIDATES = 20_000
-#: Least log-likelihood ratio statistic of a voter on texts that no other voter covers.
-EVIDENCE = 12.0
+#: Least log-likelihood ratio statistic of a voter, least number of toxic texts that it must stand in. With M names to
+#: choose from, chance alone makes a statistic of about 2 ln M; a voter's must be above that as well.
+EVIDENCE, LEAST = 15.0, 3
+#: Occurrences that make votes of their own.
+LEVELS = 4
+#: Bounds of the density of votes, in votes per 100 words, which is a voter itself.
+DENSITIES = (0.0, 0.25, 0.75, 1.5, 3.0)
 #: Lengths of word beginnings that can be patterns.
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Buckets of hashed words that the classifier sees.
+HASHED = 256
 #: Insults that vote whatever the labels say.
 INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "worthless", "pathetic", "disgusting")
+#: Rates of an insult on toxic and on clean texts before any is seen.
+INSULT_RATES = (0.05, 0.001)
 #: Prior share of toxic texts where there are no labels.
 PRIOR = 0.05
 
 _WORD = re.compile(r"[^\W_]+")
 
 
+class Voter(NamedTuple):
+    """A word, or a beginning (marked by a trailing *), and the labelled toxic and clean texts with 1, 2, ... occurrences or more."""
+
+    name: str
+    toxic: tuple[int, ...]
+    clean: tuple[int, ...]
+
+
+class Chosen(NamedTuple):
+    """Voters by falling evidence, labelled toxic and clean texts, the share of toxic labels, texts by density of votes.
+
+    dense: toxic and clean labelled texts by density of all votes, none first.
+    """
+
+    voters: list[Voter]
+    toxic: int
+    clean: int
+    prior: float
+    dense: np.ndarray
+
+
 class Model(NamedTuple):
-    """Voters (a trailing * marks a beginning), their rates, correlated pairs, and the classifier."""
+    """Names of voters, weights of their votes (voter, level from 0) and of their density, correlated pairs, the classifier."""
 
     voters: tuple[str, ...]
-    rates: np.ndarray
+    votes: np.ndarray
+    dense: np.ndarray
     pairs: tuple[tuple[int, int], ...]
-    prior: float
     weights: np.ndarray
     bias: float
 
@@ -80,77 +112,115 @@ def _evidence(a: int, b: int, toxic: int, clean: int) -> float:
     return 2 * sum(o * np.log(o / e) for o, e in cells if o and e)
 
 
-def _named(text: str | None) -> set[str]:
-    words = set(_WORD.findall((text or "").lower()))
-    return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) > n}
+def _named(text: str | None) -> Counter[str]:
+    """Occurrences of every word and beginning."""
+    out: Counter[str] = Counter()
+    for w, n in Counter(_WORD.findall((text or "").lower())).items():
+        out[w] += n
+        for k in PREFIXES:
+            if len(w) > k:
+                out[w[:k] + "*"] += n
+    return out
 
 
-def choose_voters(docs: DataFrame, labels: DataFrame, sample: int = LABELLED_SAMPLE) -> tuple[list[str], float, np.ndarray, float]:
-    """Voters, the share of toxic rows among the training labels, each voter's rates on toxic and clean rows, and
-    the share of toxic rows that no voter covers.
+def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, float | None]:
+    """text, toxic of at most `sample` training rows, and the share of toxic labels; of near copies that are toxic one stays.
 
-    Voters are taken one by one, each for its evidence on toxic texts in which no voter before it votes: words that
-    only go along with an insult, as all words of a toxic text of which there are many copies do, add nothing.
+    Toxic texts that agree in the least hash of their runs of three words count as copies. Clean ones all count: they
+    only speak against a voter.
     """
     train = training_rows(labels)
     share = train.agg(F.avg("toxic").alias("p")).first().p
     chosen = F.broadcast(train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # `sample` rows at most
-    labelled = written(texts(docs).join(chosen, "doc_id").select("text", "toxic"), "labelled")
+    own = texts(docs).join(chosen, "doc_id").select("text", "toxic")
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros(batch.num_rows, dtype=np.int64)
+            for block in blocks(batch.column(0), ALNUM_DELIMITED):
+                for i in range(block.n):
+                    h = block.hashes[block.bounds[i] : block.bounds[i + 1]]
+                    g = grams(h, min(3, len(h))) if len(h) else np.zeros(1, dtype=np.uint64)
+                    found[block.first + i] = g.min().astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=["text", "toxic", "copy"])
+
+    hostile = own.where("toxic = 1").mapInArrow(signed, "text string, toxic int, copy long").groupBy("copy").agg(F.min("text").alias("text"))
+    return written(hostile.select("text", F.lit(1).alias("toxic")).unionByName(own.where("toxic <> 1")), "labelled"), share
+
+
+def choose_voters(docs: DataFrame, labels: DataFrame, sample: int = LABELLED_SAMPLE) -> Chosen:
+    """Chooses voters from at most `sample` labelled rows."""
+    labelled, share = _labelled(docs, labels, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        seen: dict[str, list[int]] = {"": [0] * (2 * LEVELS)}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[bool(toxic)].update(_named(text))
-                seen[bool(toxic)][""] += 1
-        names = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([seen[1][n] for n in names], pa.int64()), pa.array([seen[0][n] for n in names], pa.int64())],
-            names=["name", "toxic", "clean"],
-        )
-
-    counts = labelled.mapInArrow(count, "name string, toxic long, clean long")
-    counts = counts.groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # what is as common on clean texts cannot be a voter; of the others the most frequent are enough to choose from
-    likely = counts.where("name = '' OR toxic >= 3 AND toxic > 4 * clean").orderBy((F.col("name") != "").cast("int"), F.desc(F.col("toxic") - F.col("clean")), "name")
-    rows = likely.limit(CANDIDATES + 1).collect()
-    totals = next((r for r in rows if r.name == ""), None)
-    candidates = [r for r in rows if r.name]
-    place = {r.name: i for i, r in enumerate(candidates)}
-
-    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                seen[""][LEVELS * bool(toxic)] += 1
+                for name, n in _named(text).items():
+                    at = seen.setdefault(name, [0] * (2 * LEVELS))
+                    for level in range(min(n, LEVELS)):
+                        at[LEVELS * bool(toxic) + level] += 1
+        values = np.array(list(seen.values()), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array(c) for c in values.T)], names=["name", *columns])
+
+    columns = [f"{kind}{level}" for kind in ("clean", "toxic") for level in range(1, LEVELS + 1)]
+    counts = labelled.mapInArrow(count, ", ".join(["name string", *(f"{c} long" for c in columns)]))
+    counts = written(counts.groupBy("name").agg(*(F.sum(c).alias(c) for c in columns)), "names")
+    totals = counts.where("name = ''").first()
+    toxic, clean = (totals.toxic1, totals.clean1) if totals else (0, 0)
+    # what is as common on clean texts cannot have evidence
+    likely = counts.where(F.col("name") != "").where(" OR ".join(f"toxic{v} >= {LEAST} AND toxic{v} * {clean} > 4 * clean{v} * {toxic}" for v in range(1, LEVELS + 1)))
+    seen_often = counts.where(f"toxic1 + clean1 >= {LEAST}").count()
+    bound, ranked = max(EVIDENCE, 2 * np.log(max(seen_often, 1))), []
+    for r in likely.collect():  # names of the labelled sample that stand out
+        best = max(_evidence(r[f"toxic{v}"], r[f"clean{v}"], toxic, clean) if r[f"toxic{v}"] >= LEAST else 0.0 for v in range(1, LEVELS + 1))
+        if best >= bound:
+            own = (tuple(r[f"{kind}{v}"] for v in range(1, LEVELS + 1)) for kind in ("toxic", "clean"))
+            ranked.append((best, not r.name.endswith("*"), len(r.name), Voter(r.name, *own)))
+    # equal evidence: the whole word, else the longer beginning
+    taken, inside, voters = set(), set(), []
+    for _, _, _, voter in sorted(ranked, key=lambda x: (-x[0], not x[1], -x[2], x[3].name)):
+        stem = voter.name.rstrip("*")
+        begins = {stem[:k] + "*" for k in PREFIXES if len(stem) > k} | {stem + "*"}
+        if begins & taken or voter.name in inside or stem in taken:
+            continue
+        voters.append(voter)
+        taken.add(voter.name)
+        inside |= begins
+    known, none = {v.name for v in voters}, (0,) * LEVELS
+    voters += [Voter(w, none, none) for w in INSULTS if w not in known and not any(w[:k] + "*" in known for k in PREFIXES)]
+
+    dense = np.zeros((2, len(DENSITIES) + 1))
+    for r in labelled.mapInArrow(_density_counter([v.name for v in voters]), "toxic int, dense int").groupBy("toxic", "dense").count().collect():
+        dense[int(r.toxic != 1), r.dense] = r["count"]
+    return Chosen(voters, toxic, clean, min(max(float(share), 0.01), 0.5) if share is not None else PRIOR, dense)
+
+
+def _density_counter(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        votes = Votes(names)
         for batch in batches:
-            found = [sorted(place[n] for n in _named(t) if n in place) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["found"])
-
-    voters: list[str] = []
-    open_rows = np.zeros(0, dtype=bool)
-    if candidates:
-        toxic_rows = labelled.where("toxic = 1").select("text").mapInArrow(present, "found array<int>").collect()  # `sample` rows at most
-        has = [[] for _ in candidates]
-        for i, r in enumerate(toxic_rows):
-            for c in r.found:
-                has[c].append(i)
-        has = [np.array(x, dtype=np.int64) for x in has]
-        open_rows = np.ones(len(toxic_rows), dtype=bool)
-        left = set(range(len(candidates)))
-        while left and len(voters) < VOTERS:
-            # evidence only falls as rows are covered; equal evidence: the whole word, else the longer beginning
-            new = {c: int(open_rows[has[c]].sum()) for c in left}
-            left = {c for c in left if new[c] >= 3}
-            ranked = [(_evidence(new[c], candidates[c].clean, totals.toxic, totals.clean), not candidates[c].name.endswith("*"), len(candidates[c].name), c) for c in left]
-            best = max(ranked, default=(0.0,))
-            if best[0] < EVIDENCE:
-                break
-            voters.append(candidates[best[3]].name)
-            open_rows[has[best[3]]] = False
-            left.discard(best[3])
-    voters += [w for w in INSULTS if w not in voters and not any(v.endswith("*") and w.startswith(v[:-1]) for v in voters)]
-    sizes = (totals.toxic, totals.clean) if totals else (0, 0)
-    known = {r.name: (r.toxic, r.clean) for r in candidates}
-    rates = np.array([[(known.get(v, (0, 0))[k] + 1) / (sizes[k] + 2) for k in (0, 1)] for v in voters])
-    missed = (float(open_rows.sum()) + 1) / (len(open_rows) + 2)
-    return voters, min(max(float(share), 0.01), 0.5) if share is not None else PRIOR, rates, missed
+            total, words = votes.levels(batch.column(0).to_pylist())[:, -1], _words(batch.column(0))[0]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(density_level(total, words).astype(np.int32))], names=["toxic", "dense"])
+
+    return run
+
+
+def density_level(total: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """0 without votes, else 1 and one more for each of DENSITIES but the first that votes per 100 words reach."""
+    return (100 * total[:, None] / np.maximum(words, 1)[:, None] >= np.array(DENSITIES[1:])).sum(axis=1) * (total > 0) + (total > 0)
+
+
+def _words(column: pa.Array, buckets: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and how many fall into each of so many hash buckets."""
+    words, hashed = np.zeros(len(column)), np.zeros((len(column), buckets))
+    for block in blocks(column, ALNUM_DELIMITED):
+        for i in range(block.n):
+            h = block.hashes[block.bounds[i] : block.bounds[i + 1]]
+            words[block.first + i] = len(h)
+            hashed[block.first + i] = np.bincount((h % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+    return words, hashed
 
 
 class Votes:
@@ -172,15 +242,14 @@ class Votes:
             out[self.at[m[m.lastindex] + self.marks[m.lastindex - 1]]] += 1
         return out
 
-    def features(self, rows: list[str | None]) -> np.ndarray:
-        """Presence of each voter, log of all votes, votes per 100 words."""
-        x = np.zeros((len(rows), self.n + 2))
+    def levels(self, rows: list[str | None]) -> np.ndarray:
+        """Occurrences of each voter in each text, LEVELS at most; a last column has all occurrences."""
+        x = np.zeros((len(rows), self.n + 1), dtype=np.int64)
         for i, text in enumerate(rows):
             found = self.counts(text)
             if found:
-                x[i, list(found)] = 1
-                total = sum(found.values())
-                x[i, -2:] = np.log1p(total), min(5.0, 100 * total / (text.count(" ") + 1))
+                x[i, list(found)] = np.minimum(list(found.values()), LEVELS)
+                x[i, -1] = sum(found.values())
         return x
 
 
@@ -207,50 +276,91 @@ def vote_moments(docs: DataFrame, voters: list[str]) -> tuple[int, np.ndarray]:
     return total, both
 
 
-def label_model(n: int, both: np.ndarray, prior: float, labelled: np.ndarray) -> tuple[np.ndarray, tuple[tuple[int, int], ...]]:
-    """Rates of each voter on toxic and on clean texts, and the correlated pairs.
+def label_model(n: int, both: np.ndarray, prior: float, seen: np.ndarray, rows: tuple[int, int], before: np.ndarray | float = 0.5) -> tuple[np.ndarray, tuple[tuple[int, int], ...]]:
+    """Rates at which each voter votes on toxic and on clean texts, and the correlated pairs.
 
-    labelled: the rates on labelled rows. They bound the model's where few votes or groups of copies lead it astray:
-    the rate on toxic texts from below at a third, that on clean texts from above at three times.
+    The rates come from agreement on all documents, inside the range that labels leave open: seen has the labelled
+    toxic and clean texts with a vote, rows how many there are, and a rate may depart by the factor exp(2 / sqrt(count + 1))
+    of two standard errors. A language goes along with its voters, so agreement alone takes them for
+    better than they are. Voters that agree with fewer than two others keep the labelled rates. before: rates that
+    stand for one row more of each label.
     """
     v = len(both)
     mean = np.diag(both) / max(n, 1)
     cov = both / max(n, 1) - np.outer(mean, mean)
-    linked = np.zeros((v, v), dtype=bool)
-    factor = np.sqrt(np.maximum(mean * (1 - mean) * prior, 0))
+    linked = np.eye(v, dtype=bool)
+    factor, agreed = np.zeros(v), np.zeros(v, dtype=bool)
     for _ in range(3):
         for i in range(v):
-            good = np.flatnonzero(~linked[i] & (np.arange(v) != i) & (mean > 0))
+            good = np.flatnonzero(~linked[i] & (mean > 0))
+            agreed[i] = False
             if len(good) < 2 or not mean[i]:
                 continue
             top = cov[i, good][:, None] * cov[i, good][None, :]
             low = cov[np.ix_(good, good)]
-            use = (low > 0) & ~linked[np.ix_(good, good)] & (top > 0)
-            use[np.diag_indices(len(good))] = False
+            use = (low > 0) & (cov[i, good][:, None] > 0) & (cov[i, good][None, :] > 0) & ~linked[np.ix_(good, good)]
             if use.any():
-                factor[i] = np.sqrt(np.median(top[use] / low[use]))
+                factor[i], agreed[i] = np.sqrt(np.median(top[use] / low[use])), True
         spread = np.sqrt(np.outer(mean, mean) / max(n, 1)) + 1e-12
-        linked = np.abs(cov - np.outer(factor, factor)) > np.maximum(6 * spread, np.abs(np.outer(factor, factor)))
-        np.fill_diagonal(linked, False)
+        product = np.outer(factor, factor)
+        linked = (np.abs(cov - product) > np.maximum(6 * spread, product)) & agreed[:, None] & agreed[None, :] | np.eye(v, dtype=bool)
     gap = factor / np.sqrt(prior * (1 - prior))
-    on_toxic = np.clip(np.maximum(mean + (1 - prior) * gap, labelled[:, 0] / 3), 1e-4, 0.99)
-    on_clean = np.clip(np.minimum.reduce([mean - prior * gap, 0.5 * on_toxic, 3 * labelled[:, 1]]), 1e-4 * on_toxic, 0.5)
-    return np.stack([on_toxic, on_clean], axis=1), tuple((int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(linked)), strict=True))
+    model = np.stack([mean + (1 - prior) * gap, mean - prior * gap], axis=1)
+    labelled, room = (seen + before) / (np.array(rows) + 1.0), np.exp(2 / np.sqrt(seen + 1.0))
+    rates = np.where(agreed[:, None], np.clip(model, labelled / room, labelled * room), labelled)
+    linked[np.diag_indices(v)] = False
+    return np.clip(rates, 1e-6, 0.99), tuple((int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(linked)), strict=True))
 
 
-def posterior(present: np.ndarray, rates: np.ndarray, pairs: tuple[tuple[int, int], ...], prior: float, missed: float) -> np.ndarray:
-    """Probability of toxic for rows of votes; voters of a correlated pair share their weight where both vote.
+def vote_weights(rates: np.ndarray, voters: list[Voter]) -> np.ndarray:
+    """Log of how much likelier each number of occurrences is in a toxic text, by voter and level: 0, 1, ... LEVELS or more.
 
-    A voter that abstains says nothing by itself (it may belong to another language); a row in which all abstain is
-    toxic as often as toxic labels are missed by all.
+    The rates say how often a voter votes, labelled texts how often its votes have just so many occurrences. So a
+    beginning that stands once in clean texts and often in toxic ones speaks against toxic where it stands once. An
+    abstention weighs nothing (the voter may belong to another language).
     """
-    said = present > 0
-    share = np.ones(present.shape)
-    for i, j in pairs:
-        share[:, [i, j]] += (said[:, i] & said[:, j])[:, None] * 0.5
-    odds = np.log(prior / (1 - prior)) + (said * np.log(rates[:, 0] / rates[:, 1]) / share).sum(axis=1)
+    out = np.zeros((len(voters), LEVELS + 1))
+    for i, v in enumerate(voters):
+        shares = []
+        for at_least in (np.array(v.toxic), np.array(v.clean)):
+            just = at_least - np.append(at_least[1:], 0)
+            shares.append((just + 1 / LEVELS) / (at_least[0] + 1))
+        out[i, 1:] = np.log(rates[i, 0] / rates[i, 1]) + np.log(shares[0] / shares[1])
+    return out
+
+
+def density_weights(dense: np.ndarray) -> np.ndarray:
+    """Weight of each density of votes, given that there are votes: where toxic texts have many, few speak against it."""
+    smoothed = dense[:, 1:] + 0.5
+    return np.append(0.0, np.log(smoothed[0] / smoothed[0].sum()) - np.log(smoothed[1] / smoothed[1].sum()))
+
+
+def log_odds(levels: np.ndarray, votes: np.ndarray, pairs: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """Sum of the weights of a row's votes; voters of a correlated pair share theirs where both vote."""
+    weight = votes[np.arange(len(votes)), levels]
+    share = np.ones(levels.shape)
+    for a, b in pairs:
+        share[:, [a, b]] += ((levels[:, a] > 0) & (levels[:, b] > 0))[:, None] * 0.5
+    return (weight / share).sum(axis=1)
+
+
+def posterior(odds: np.ndarray, levels: np.ndarray, prior: float, missed: float) -> np.ndarray:
+    """Probability of toxic from summed weights; where all voters abstain, texts are toxic as often as toxic labels lack votes."""
+    odds = np.log(prior / (1 - prior)) + odds
     none = prior * missed / (prior * missed + 1 - prior)
-    return np.where(said.any(axis=1), 1 / (1 + np.exp(-np.clip(odds, -30, 30))), none)
+    return np.where((levels > 0).any(axis=1), 1 / (1 + np.exp(-np.clip(odds, -30, 30))), none)
+
+
+def _features(column: pa.Array, votes: Votes, weights: np.ndarray, dense: np.ndarray, pairs: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Votes, their summed weights, and the classifier's inputs: votes, their weight, number and density, densities of hashed words."""
+    levels = votes.levels(column.to_pylist())
+    own, total = levels[:, :-1], levels[:, -1]
+    words, hashed = _words(column, HASHED)
+    hashed = np.sqrt(hashed / np.maximum(words, 1)[:, None])
+    odds = log_odds(own, weights, pairs) + dense[density_level(total, words)]
+    density = np.minimum(5.0, 100 * total / np.maximum(words, 1))
+    more = np.stack([odds.clip(-15, 15) / 5, np.log1p(total), density, (own > 0).sum(axis=1)], axis=1)
+    return own, odds, np.hstack([np.log2(1 + own), more, hashed])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40) -> tuple[np.ndarray, float]:
@@ -272,20 +382,28 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40)
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits voters, label model and classifier."""
     tables(docs.sparkSession)
-    voters, prior, labelled, missed = choose_voters(docs, labels)
-    n, both = vote_moments(docs, voters)
-    rates, pairs = label_model(n, both, prior, labelled)
+    chosen = choose_voters(docs, labels)
+    names = tuple(v.name for v in chosen.voters)
+    n, both = vote_moments(docs, list(names))
+    seen = np.array([(v.toxic[0], v.clean[0]) for v in chosen.voters], dtype=float)
+    before = np.array([INSULT_RATES if v.name in INSULTS else (0.5, 0.5) for v in chosen.voters])
+    rates, pairs = label_model(n, both, chosen.prior, seen, (chosen.toxic, chosen.clean), before)
+    said, dense = vote_weights(rates, chosen.voters), density_weights(chosen.dense)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        votes = Votes(voters)
+        votes = Votes(names)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(list(votes.features(batch.column(0).to_pylist())), pa.list_(pa.float64()))], names=["x"])
+            own, odds, x = _features(batch.column(0), votes, said, dense, pairs)
+            y = posterior(odds, own, chosen.prior, (chosen.dense[0, 0] + 1) / (chosen.toxic + 2))
+            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
     one_in = max(1, -(-n // TRAINING_SAMPLE))
     own = texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text")
-    x = np.array([r.x for r in own.mapInArrow(featurise, "x array<double>").limit(2 * TRAINING_SAMPLE).collect()]).reshape(-1, len(voters) + 2)
-    weights, bias = logistic(x, posterior(x[:, :-2], rates, pairs, prior, missed)) if len(x) else (np.zeros(len(voters) + 2), -3.0)
-    return Model(tuple(voters), rates, pairs, prior, weights, bias)
+    rows = own.mapInArrow(featurise, "y double, x array<double>").limit(2 * TRAINING_SAMPLE).collect()
+    if not rows:
+        return Model(names, said, dense, pairs, np.zeros(len(names) + 4 + HASHED), -3.0)
+    weights, bias = logistic(np.array([r.x for r in rows]), np.array([r.y for r in rows]))
+    return Model(names, said, dense, pairs, weights, bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -293,13 +411,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     tables(docs.sparkSession)
     docs = docs.drop("score")
     names = docs.columns
-    held = docs.sparkSession.sparkContext.broadcast(model)  # VOTERS numbers
+    held = docs.sparkSession.sparkContext.broadcast(model)  # a few numbers for each voter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         votes = Votes(m.voters)
         for batch in batches:
-            x = votes.features(batch.column("text").to_pylist()) @ m.weights + m.bias
+            x = _features(batch.column("text"), votes, m.votes, m.dense, m.pairs)[2] @ m.weights + m.bias
             arrays = [batch.column(n) for n in names] + [pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, "score"])
 
