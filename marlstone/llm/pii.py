@@ -1,8 +1,10 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers that they miss.
 
 Base spans come from regular expressions with checks (parts of addresses, checksums, digit counts); their places
-follow from the lengths of what lies between matches. With identifiers of three more forms (bank accounts with a
-checksum, long hexadecimal keys, social security numbers) they are the seeds of a bootstrap over the whole corpus.
+follow from the lengths of what lies between matches. They and bank accounts, which a checksum proves, are the seeds of
+a bootstrap over the whole corpus. Long hexadecimal keys and social security numbers are forms that hashes of commits
+and part numbers share; one is a seed only where a label of its kind ("token", "password", "ssn") is among the two
+words before it, else a candidate like any other.
 
 Every seed, and outside of seeds every run of digits with spaces and brackets and every other token that looks like an
 identifier, is an instance. The word before it, the two words before it and the word after it are its lexical
@@ -10,11 +12,11 @@ patterns. Patterns are scored on the graph of patterns and instances: the share
 texts that stand at a known identifier, times the logarithm of how many different ones. So a common word scores
 little, however many identifiers it precedes, and "token =" or "ssn:" much. A pattern carries over from the form of
 its seeds to others: what stands in the slot of a high-confidence pattern becomes known, as its pattern's kind where it
-can be of that kind, else as "id"; then the graph is scored again, until nothing is added.
+can be of that kind, else as "id"; then the graph is scored again, until nothing is added. No pattern confirms itself: what
+became known only by a pattern is no known identifier when that pattern is scored.
 
-Added are, outside of base spans: what became known, where it stands in such a slot or is long enough to be known by
-itself; bank accounts, which a checksum proves; and keys and social security numbers where a high-confidence pattern
-confirms them (a hash in prose is no secret). What has the form of its pattern's kind and fails its check is never
+Added are, outside of base spans: the further seeds, and what became known, where it stands in the slot of a
+high-confidence pattern or is long enough to be known by itself. What has the form of its pattern's kind and fails its check is never
 added. All steps are DataFrame operations; patterns and instances are summed before the shuffle.
 
 Cases: null and empty texts have no spans; repeated rows get equal results; rows of a null doc_id are treated as any
@@ -37,13 +39,17 @@ KINDS = {
     "card": r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Forms of further seeds. A bank account's checksum is proof enough; the others need a context that confirms them.
+#: Further forms. A bank account's checksum is proof enough; the others need a label before them, or a pattern.
 FORMS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-SURE = (*KINDS, "iban")
+#: Labels of the forms without a checksum, as parts of the two words before: fixed values.
+LABELS = {
+    "secret": ("token", "key", "apikey", "secret", "password", "passwd", "pwd", "passphrase", "credential", "credentials", "bearer"),
+    "ssn": ("ssn", "social"),
+}
 #: Kinds in the order of results; "id" is an identifier of no other kind.
 ORDER = (*KINDS, *FORMS, "id")
 #: The least precision and the least number of different known identifiers of a pattern.
@@ -214,7 +220,7 @@ def kind_of(word: Column, said: Column) -> Column:
 def _instances(based: DataFrame) -> DataFrame:
     """doc_id, h, start, end, word, kind, slots of seeds (with their kind) and of candidates (kind NULL).
 
-    Candidates are runs and tokens that meet no seed and look like identifiers: at least five digits, or eight
+    A form of LABELS without a label before it is a candidate. Other candidates are runs and tokens that meet no seed and look like identifiers: at least five digits, or eight
     characters with letters and digits, or an @. slots: the patterns, each a side ("<", "<<" or ">") and words.
     """
 
@@ -240,11 +246,15 @@ def _instances(based: DataFrame) -> DataFrame:
     for kind, form in FORMS.items():
         found = F.filter(F.filter(matches("text", form), _checks(kind)), lambda x: apart(x["start"], x["end"], "seeds"))
         own = own.withColumn(kind, F.when(F.col("text").rlike(form), found).otherwise(F.array().cast(_SPANS)))
-        own = own.withColumn("seeds", F.concat("seeds", seeds(kind)))
+        own = own.withColumn("seeds", F.concat("seeds", seeds(kind)))  # told apart from candidates below
     own = own.withColumn("candidates", F.filter(F.transform(matches("text", _TOKEN), candidate), likely))
     own = own.select("doc_id", "h", "text", F.explode(F.concat("seeds", "candidates")).alias("i")).select("doc_id", "h", "text", "i.start", "i.word", "i.kind")
     own = own.withColumn("end", F.col("start") + F.length("word"))
     own = own.withColumns({"before": _words_before("text", "start"), "after": _word_after("text", "end")})
+    parts = F.split("before", r"[^\p{L}]+")
+    labelled = {k: F.arrays_overlap(parts, F.array(*map(F.lit, names))) for k, names in LABELS.items()}
+    bare = F.coalesce(*(F.when(F.col("kind") == k, ~said) for k, said in labelled.items()), F.lit(False))
+    own = own.withColumn("kind", F.when(~bare, F.col("kind")))
     last = F.substring_index("before", " ", -1)
     slots = F.array(F.when(last != "", F.concat(F.lit("< "), last)), F.when(F.col("before").contains(" "), F.concat(F.lit("<< "), "before")), F.when(F.col("after") != "", F.concat(F.lit("> "), "after")))
     return own.select("doc_id", "h", "start", "end", "word", "kind", F.array_compact(slots).alias("slots"))
@@ -260,16 +270,20 @@ def _occurrences(based: DataFrame, patterns: DataFrame) -> DataFrame:
     sought = written(patterns.select(F.substring_index("slot", " ", 1).alias("side"), F.expr("substring(slot, instr(slot, ' ') + 1)").alias("words"), "slot"), "sought")
     tokens = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
     own = based.select(tokens.alias("w")).select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("p"))
-    own = own.select(F.explode(F.array(F.col("p.a"), F.concat_ws(" ", "p.a", "p.b"))).alias("words"))
+    own = own.select(F.explode(F.array(F.col("p.a"), F.concat("p.a", F.lit(" "), "p.b"))).alias("words"))  # NULL after the last word
     counted = own.join(_small(written(sought.select("words").distinct(), "words")), "words", "left_semi").groupBy("words").agg(F.count(F.lit(1)).alias("total"))
     return sought.join(counted, "words", "left").select("slot", F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def scored_patterns(pairs: DataFrame, known: DataFrame, totals: DataFrame) -> DataFrame:
-    """slot, said, score of the patterns that score high. pairs: slot, word, n; known: word, known; totals: slot, total."""
+    """slot, said, score of the patterns that score high.
+
+    pairs: slot, word, n; totals: slot, total; known: word, known, only. `only` is the pattern by which alone a word
+    became known, NULL for seeds and where several say so: for that pattern the word does not count as known.
+    """
     graph = pairs.join(known, "word", "left")
-    hit = F.col("known").isNotNull()
-    pattern = graph.groupBy("slot").agg(F.count_if(hit).alias("hits"), F.sum(F.when(hit, F.col("n"))).alias("right"), F.sum("n").alias("held"), F.mode("known", True).alias("said"))
+    hit = F.col("known").isNotNull() & ~F.coalesce(F.col("only") == F.col("slot"), F.lit(False))
+    pattern = graph.groupBy("slot").agg(F.count_if(hit).alias("hits"), F.sum(F.when(hit, F.col("n"))).alias("right"), F.sum("n").alias("held"), F.mode(F.when(hit, F.col("known")), True).alias("said"))
     precise = F.col("right") / F.greatest("held", "total")
     scored = pattern.where(F.col("hits") >= SUPPORT).join(totals, "slot").withColumn("precision", precise).where(F.col("precision") >= PRECISION)
     return scored.select("slot", "said", (F.col("precision") * F.log2("hits")).alias("score")).where(F.col("score") >= SCORE)
@@ -281,21 +295,27 @@ def bootstrap(based: DataFrame) -> DataFrame:
     pairs = written(every.select(F.explode("slots").alias("slot"), "word").groupBy("slot", "word").agg(F.count(F.lit(1)).alias("n")), "graph")
     frequent = pairs.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
     totals = written(_occurrences(based, frequent), "totals")
-    known = written(every.where("kind IS NOT NULL").groupBy("word").agg(F.max("kind").alias("known")), "known")
-    before, n, strong = -1, known.count(), None
-    while n > before:  # known instances only grow in number, and so do the hits of a pattern
+    seeds = written(every.where("kind IS NOT NULL").groupBy("word").agg(F.max("kind").alias("kind")), "seeds")
+    known, strong, state = seeds.select("word", F.col("kind").alias("known"), F.lit(None).cast("string").alias("only")), None, None
+    while True:
         strong = _small(written(scored_patterns(pairs, known, totals), "patterns"))
-        named = pairs.join(strong, "slot").groupBy("word").agg(F.max(F.struct("score", "said")).alias("best"))
-        named = named.select("word", kind_of(F.col("word"), F.col("best.said")).alias("found")).where("found IS NOT NULL")
-        grown = named.join(known, "word", "full").select("word", F.coalesce("known", "found").alias("known"))
+        best = F.max(F.struct("score", "said")).alias("best")
+        named = pairs.join(strong, "slot").groupBy("word").agg(best, F.count(F.lit(1)).alias("patterns"), F.min("slot").alias("slot"))
+        found = kind_of(F.col("word"), F.col("best.said")).alias("found")
+        named = named.select("word", found, F.when(F.col("patterns") == 1, F.col("slot")).alias("only")).where("found IS NOT NULL")
+        grown = named.join(seeds, "word", "full").select("word", F.coalesce("kind", "found").alias("known"), F.when(F.col("kind").isNull(), F.col("only")).alias("only"))
         known = written(grown, "known")
-        before, n = n, known.count()
+        # words only grow in number, and so do those known by several patterns
+        seen = known.agg(F.count(F.lit(1)).alias("n"), F.count("only").alias("by_one")).first()
+        if seen == state:
+            break
+        state = seen
     open_ = every.where(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)))
     place = ["doc_id", "h", "word", "kind", "start", "end"]
     held = open_.select(*place, F.explode_outer("slots").alias("slot")).join(strong, "slot", "left")
     held = held.groupBy(*place).agg(F.max("score").isNotNull().alias("held")).join(known, "word")
-    by_itself = F.col("kind").isNull() & (F.length(F.regexp_replace("word", r"[^\p{L}\p{N}]", "")) >= OWN)
-    added = held.where(F.coalesce(F.col("kind").isin(*SURE), F.lit(False)) | F.col("held") | by_itself)
+    by_itself = F.length(F.regexp_replace("word", r"[^\p{L}\p{N}]", "")) >= OWN
+    added = held.where(F.col("kind").isNotNull() | F.col("held") | by_itself)
     return added.select("doc_id", "h", F.coalesce("kind", "known").alias("kind"), "start", "end")
 
 

@@ -113,11 +113,12 @@ def test_label_model_recovers_rates():
 def test_label_model_finds_the_correlated_pair_and_keeps_rates_of_lonely_voters():
     rng = np.random.default_rng(5)
     y = rng.random(100_000) < 0.2
-    votes = rng.random((len(y), 5)) < np.where(y[:, None], 0.5, 0.05)
-    votes[:, 4] = np.where(rng.random(len(y)) < 0.9, votes[:, 3], votes[:, 4])
+    votes = rng.random((len(y), 6)) < np.where(y[:, None], 0.5, 0.05)
+    votes[:, 5] = np.where(rng.random(len(y)) < 0.9, votes[:, 4], votes[:, 5])
     both = votes.T.astype(int) @ votes.astype(int)
-    seen = np.stack([np.full(5, 50.0), np.full(5, 20.0)], axis=1)
-    assert toxicity.label_model(len(y), both, 0.2, seen, (100, 400))[1] == ((3, 4),)
+    seen = np.stack([np.full(6, 50.0), np.full(6, 20.0)], axis=1)
+    rates, pairs = toxicity.label_model(len(y), both, 0.2, seen, (100, 400))
+    assert pairs == ((4, 5),) and rates == pytest.approx(np.array([[0.5, 0.05]] * 6), abs=0.03)
     alone = np.diag([500, 300])
     rates, _ = toxicity.label_model(10_000, alone, 0.2, np.array([[30.0, 1.0], [20.0, 2.0]]), (100, 400))
     assert rates == pytest.approx(np.array([[30.5 / 101, 1.5 / 401], [20.5 / 101, 2.5 / 401]]))
