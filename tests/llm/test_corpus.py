@@ -680,10 +680,10 @@ def test_pii_bootstrap_takes_identifiers_with_spaces(spark):
     rows = [(i, f"ring {long} +49 30 {100 + i} {2000 + i} soon") for i in range(50)]
     planted = {100: "(030) 555 6677", 101: "030/777 8899", 102: "+49\u00a030\u00a0123\u00a04567", 103: "0171 234 5678"}
     rows += [(i, f"ring {long} {p}, soon") for i, p in planted.items()]
-    rows += [(200, f"pages 12 (13) 14 and {long} x"), (201, f"other{long} (030) 999 1111 soon"), (202, "(2019) 1.5kg")]
+    rows += [(200, f"pages 12 (13) 14 and {long} x"), (201, f"other{long} (030) 999 1111 later"), (203, f"other{long} (030) 999 2222 soon"), (202, "(2019) 1.5kg")]
     got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(len(got[i].base) == len(got[i].spans) == 1 for i in range(50))
-    assert {i: [(s.kind, t[s.start : s.end]) for s in got[i].spans] for i, t in rows if i >= 100} == {**{i: [("phone", p)] for i, p in planted.items()}, 200: [], 201: [], 202: []}
+    assert {i: [(s.kind, t[s.start : s.end]) for s in got[i].spans] for i, t in rows if i >= 100} == {**{i: [("phone", p)] for i, p in planted.items()}, 200: [], 201: [], 202: [], 203: [("phone", "(030) 999 2222")]}
 
 
 def test_pii_bootstrap_goes_on_until_nothing_is_added(spark):
