@@ -103,13 +103,13 @@ def held_out(doc_id: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def _evidence(a: int, b: int, toxic: int, clean: int) -> float:
-    """Log-likelihood ratio statistic of a feature in a of the toxic and b of the clean texts; 0 if it favours clean."""
-    if a * clean <= b * toxic:
-        return 0.0
-    total, n = toxic + clean, a + b
-    cells = ((a, n * toxic / total), (b, n * clean / total), (toxic - a, (total - n) * toxic / total), (clean - b, (total - n) * clean / total))
-    return 2 * sum(o * np.log(o / e) for o, e in cells if o and e)
+def _evidence(a: str, b: str, toxic: int, clean: int) -> F.Column:
+    """Log-likelihood ratio statistic of a name in a of the toxic and b of the clean texts; 0 if it favours clean or is rare."""
+    total, n = toxic + clean, F.col(a) + F.col(b)
+    cells = ((F.col(a), n * toxic / total), (F.col(b), n * clean / total), (toxic - F.col(a), (total - n) * toxic / total), (clean - F.col(b), (total - n) * clean / total))
+    parts = [F.when((o > 0) & (e > 0), 2 * o * F.ln(o / e)).otherwise(0.0) for o, e in cells]
+    whole = parts[0] + parts[1] + parts[2] + parts[3]
+    return F.when((F.col(a) < LEAST) | (F.col(a) * clean <= F.col(b) * toxic), 0.0).otherwise(whole)
 
 
 def _named(text: str | None) -> Counter[str]:
@@ -170,14 +170,12 @@ def choose_voters(docs: DataFrame, labels: DataFrame, sample: int = LABELLED_SAM
     totals = counts.where("name = ''").first()
     toxic, clean = (totals.toxic1, totals.clean1) if totals else (0, 0)
     # what is as common on clean texts cannot have evidence
-    likely = counts.where(F.col("name") != "").where(" OR ".join(f"toxic{v} >= {LEAST} AND toxic{v} * {clean} > 4 * clean{v} * {toxic}" for v in range(1, LEVELS + 1)))
-    seen_often = counts.where(f"toxic1 + clean1 >= {LEAST}").count()
+    seen_often = counts.where((F.col("name") != "") & (F.col("toxic1") + F.col("clean1") >= LEAST)).count()
     bound, ranked = max(EVIDENCE, 2 * np.log(max(seen_often, 1))), []
-    for r in likely.collect():  # names of the labelled sample that stand out
-        best = max(_evidence(r[f"toxic{v}"], r[f"clean{v}"], toxic, clean) if r[f"toxic{v}"] >= LEAST else 0.0 for v in range(1, LEVELS + 1))
-        if best >= bound:
-            own = (tuple(r[f"{kind}{v}"] for v in range(1, LEVELS + 1)) for kind in ("toxic", "clean"))
-            ranked.append((best, not r.name.endswith("*"), len(r.name), Voter(r.name, *own)))
+    best = F.greatest(*(_evidence(f"toxic{v}", f"clean{v}", toxic, clean) for v in range(1, LEVELS + 1))) if toxic and clean else F.lit(0.0)
+    for r in counts.where(F.col("name") != "").withColumn("best", best).where(F.col("best") >= bound).collect():  # bounded by the sample's size
+        own = (tuple(r[f"{kind}{v}"] for v in range(1, LEVELS + 1)) for kind in ("toxic", "clean"))
+        ranked.append((r.best, not r.name.endswith("*"), len(r.name), Voter(r.name, *own)))
     # equal evidence: the whole word, else the longer beginning
     taken, inside, voters = set(), set(), []
     for _, _, _, voter in sorted(ranked, key=lambda x: (-x[0], not x[1], -x[2], x[3].name)):
@@ -363,16 +361,23 @@ def _features(column: pa.Array, votes: Votes, weights: np.ndarray, dense: np.nda
     return own, odds, np.hstack([np.log2(1 + own), more, hashed])
 
 
+#: Rows of a block in which the classifier's sums are worked out.
+BLOCK_ROWS = 2000
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Newton steps with a ridge on the weights."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
-    hold = np.full(z.shape[1], ridge * max(len(x), 1))
+    """Logistic regression on soft labels by Newton steps with a ridge on the weights; block by block, to bound memory."""
+    w = np.zeros(x.shape[1] + 1)
+    hold = np.full(len(w), ridge * max(len(x), 1))
     hold[-1] = 1e-9
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + hold * w
-        move = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(hold + 1e-6), grad)
+        grad, curve = hold * w, np.diag(hold + 1e-6)
+        for i in range(0, len(x), BLOCK_ROWS):
+            z = np.hstack([x[i : i + BLOCK_ROWS], np.ones((len(x[i : i + BLOCK_ROWS]), 1))]).astype(float)
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            grad = grad + z.T @ (p - y[i : i + BLOCK_ROWS])
+            curve = curve + (z * (p * (1 - p))[:, None]).T @ z
+        move = np.linalg.solve(curve, grad)
         w -= move * min(1.0, 4 / (np.abs(move).max() + 1e-12))
         if np.abs(move).max() < 1e-6:
             break
@@ -395,14 +400,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in batches:
             own, odds, x = _features(batch.column(0), votes, said, dense, pairs)
             y = posterior(odds, own, chosen.prior, (chosen.dense[0, 0] + 1) / (chosen.toxic + 2))
-            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
+            packed = [row.tobytes() for row in x.astype(np.float32)]  # a few hundred numbers a row, of which the driver gets TRAINING_SAMPLE
+            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(packed, pa.binary())], names=["y", "x"])
 
     one_in = max(1, -(-n // TRAINING_SAMPLE))
     own = texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text")
-    rows = own.mapInArrow(featurise, "y double, x array<double>").limit(2 * TRAINING_SAMPLE).collect()
+    rows = own.mapInArrow(featurise, "y double, x binary").limit(2 * TRAINING_SAMPLE).collect()
     if not rows:
         return Model(names, said, dense, pairs, np.zeros(len(names) + 4 + HASHED), -3.0)
-    weights, bias = logistic(np.array([r.x for r in rows]), np.array([r.y for r in rows]))
+    x = np.frombuffer(b"".join(r.x for r in rows), dtype=np.float32).reshape(len(rows), -1)
+    weights, bias = logistic(x, np.array([r.y for r in rows]))
     return Model(names, said, dense, pairs, weights, bias)
 
 
