@@ -30,7 +30,7 @@ from .session import written
 #: Runs of letters: of A-Z, a-z and of all that is not ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Terms in a part of the vocabulary, about.
-PART = 100
+PART = 1000
 
 
 def _counts(docs: DataFrame) -> DataFrame:
