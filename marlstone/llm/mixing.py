@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .session import written
 
 #: Bits of a level of the histogram, and levels of each of the two hashes of 60 bits.
-BITS, LEVELS = 15, 4
+BITS, LEVELS = 10, 6
 BUCKETS = 1 << BITS
 #: Sources at most.
 SOURCES = 100_000
