@@ -266,19 +266,21 @@ def apply_caps(w: np.ndarray, x: np.ndarray, config: Config) -> np.ndarray:
     return capped_by(w, recent_covariance(x, config), config)
 
 
-def iterative_var_scale(w: np.ndarray, x: np.ndarray, max_var: float, step: float = 0.05, least: float = 0.1, confidence: float = risk.CONFIDENCE, horizon: int = risk.HORIZON) -> tuple[float, float]:
-    """Largest scaling on a grid from 1 down whose historical value at risk passes the cap, else the least; and its risk.
+def iterative_var_scale(w: np.ndarray, x: np.ndarray, max_var: float, step: float = 0.01, least: float = 0.0, confidence: float = risk.CONFIDENCE, horizon: int = risk.HORIZON) -> tuple[float, float]:
+    """Largest of the scalings 1, 1 - step, ... down to `least` whose historical value at risk passes the cap, else the
+    last of them; and its risk.
 
-    Compounding makes the risk no multiple of the scaling, so the grid is walked.
+    Compounding makes the risk no multiple of the scaling, so the scalings are tried in turn, counted in whole steps.
     """
-    scale = 1.0
-    while True:
-        path = np.cumprod(np.concatenate(([1.0], 1 + x @ (w * scale))))
+    returns, scale, var = x @ w, 1.0, np.nan
+    for i in range(math.floor((1 - least) / step + 1e-9) + 1):
+        scale = max(1 - i * step, least)
+        path = np.cumprod(np.concatenate(([1.0], 1 + returns * scale)))
         moves = path[horizon:] / path[:-horizon] - 1
         var = -np.quantile(moves, confidence) if len(moves) else np.nan
-        if not var > max_var or scale - step < least - 1e-12:
-            return (scale, var) if not var > max_var else (least, var)
-        scale -= step
+        if not var > max_var:
+            break
+    return scale, var
 
 
 def training_windows(rows: DataFrame, names: list[str], config: Config, by: str = "scenario", target: str = "y") -> DataFrame:
@@ -383,7 +385,7 @@ def scenario_search(rows: DataFrame, grid: DataFrame, names: list[str], target:
                     new = fit(x[past], y[past])
                     gross = np.abs(new).sum()
                     new = new * c.max_exposure / gross if gross > c.max_exposure else new
-                    scale, var = iterative_var_scale(new, x[past], float(c.max_var))
+                    scale, var = iterative_var_scale(new, x[past], float(c.max_var), step=0.005)
                     turnover, w, since = float(np.abs(new * scale - w).sum()), new * scale, 0
                 since += 1
                 out.append((c.scenario, own["date"].iloc[t], float(x[t] @ w), float(y[t]), float(np.abs(w).sum()), float(var), turnover, None))

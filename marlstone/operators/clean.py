@@ -28,8 +28,10 @@ def coerced(df: DataFrame, numbers: list[str], codes: dict[str, list[int]]) -> D
 
 def imputed(df: DataFrame, numbers: list[str], codes: dict[str, list[int]]) -> DataFrame:
     """Medians for numbers, most frequent values for codes: the smallest on ties, the smallest allowed where all are NULL."""
-    picked = df.agg(*(F.median(c).alias(c) for c in numbers), *(F.mode(c, True).alias(c) for c in codes))
-    fill = picked.toDF(*(f"fill_{c}" for c in picked.columns))
+    medians = stats.quantiles(stats.long(df, numbers), ["name"], "value", [0.5])
+    middle = medians.agg(*(F.max(F.when(F.col("name") == c, F.col("q")[0])).alias(f"fill_{c}") for c in numbers))
+    common = df.agg(*(F.mode(c, True).alias(f"fill_{c}") for c in codes)) if codes else None
+    fill = middle.crossJoin(F.broadcast(common)) if codes else middle  # one row each
     own = df.crossJoin(F.broadcast(fill))  # one row
     filled = {c: F.coalesce(c, f"fill_{c}") for c in numbers} | {c: F.coalesce(c, f"fill_{c}", F.lit(min(v))).cast("int") for c, v in codes.items()}
     return own.withColumns(filled).drop(*fill.columns)

@@ -25,6 +25,7 @@ def interactions(clients: DataFrame, products: DataFrame, alpha: float = ALPHA)
 def rule_factor(median_wealth: Column) -> Column:
     """Product of the business rules' multipliers."""
     gap = F.abs(F.col("risk") - F.col("prisk"))
+    # ages, wealth, risks and factors of the rules: fixed values
     rules = [
         ((F.col("age") > 70) & (F.col("kind") == 1), 0.85),
         ((F.col("age") < 30) & (F.col("kind") == 0), 0.90),
@@ -38,10 +39,10 @@ def rule_factor(median_wealth: Column) -> Column:
 
 
 def ruled(scored: DataFrame, clients: DataFrame) -> DataFrame:
-    """Scores after the business rules."""
+    """Scores after the business rules; base has those before."""
     median = clients.agg(F.median("wealth").alias("median_wealth"))
     own = scored.crossJoin(F.broadcast(median))  # one row
-    return own.withColumn("score", F.greatest(F.col("score") * rule_factor(F.col("median_wealth")), F.lit(0.0))).drop("median_wealth")
+    return own.withColumn("base", F.col("score")).withColumn("score", F.greatest(F.col("score") * rule_factor(F.col("median_wealth")), F.lit(0.0))).drop("median_wealth")
 
 
 def held_out(user: str, item: str, percent: int = 20) -> Column:

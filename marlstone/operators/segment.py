@@ -6,9 +6,7 @@ import math
 
 import numpy as np
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,17 +93,6 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, numbers: list[str], c
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def mixture(df: DataFrame, columns: list[str], k: int, least_weight: float = 0.05, seed: int = 42) -> DataFrame:
-    """Adds cluster and confidence: a Gaussian mixture whose components below a weight are dropped, renumbered from 0."""
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(df)
-    model = GaussianMixture(k=k, seed=seed, maxIter=50).fit(rows)
-    kept = [i for i, w in enumerate(model.weights) if w > least_weight] or list(range(k))
-    p = vector_to_array("probability")
-    own = model.transform(rows).withColumn("p", F.array(*(p[i] for i in kept)))
-    best = F.array_max("p")
-    return own.withColumns({"cluster": F.array_position("p", best).cast("int") - 1, "confidence": E.ratio(best, E.norm1(F.col("p")))}).drop("features", "probability", "prediction", "p")
-
-
 def principal_axes(df: DataFrame, columns: list[str], k: int) -> tuple[DataFrame, list[float]]:
     """Adds pc1..pck of centred columns, each axis with its largest loading positive; and the explained shares."""
     mean = df.agg(*(F.avg(c).alias(c) for c in columns)).first()
@@ -147,27 +134,6 @@ def nearest_prototype(df: DataFrame, protos: DataFrame, label: str, columns: lis
     return df.crossJoin(F.broadcast(p)).groupBy(key).agg(F.min(F.struct(gap.alias("gap"), "nearest")).alias("x")).select(key, "x.nearest")
 
 
-def learn_prototypes(df: DataFrame, label: str, columns: list[str], steps: int = 20, rate: float = 0.1) -> DataFrame:
-    """Prototypes moved by gradient steps of the generalised relative distance; one aggregation a step."""
-    spark = df.sparkSession
-    now = {r[label]: np.array([r[c] for c in columns], float) for r in prototypes(df, label, columns).collect()}  # one row per class
-    names = sorted(now)
-    for _ in range(steps):
-        held = [(n, E.total(F.pow(F.col(c) - float(now[n][i]), 2) for i, c in enumerate(columns))) for n in names]
-        good = F.coalesce(*(F.when(F.col(label) == n, d) for n, d in held))
-        bad = F.array_min(F.array(*(F.when(F.col(label) != n, F.struct(d.alias("d"), F.lit(n).alias("n"))) for n, d in held)))
-        own = df.select(label, *columns, good.alias("good"), bad.alias("bad")).where("good + bad.d > 0")
-        base = F.pow(F.col("good") + F.col("bad.d"), 2)
-        pull, push = F.col("bad.d") / base, F.col("good") / base
-        moves = own.groupBy(F.col(label).alias("name")).agg(*(F.avg(pull * F.col(c)).alias(f"x{i}") for i, c in enumerate(columns)), F.avg(pull).alias("w")).collect()
-        back = own.groupBy(F.col("bad.n").alias("name")).agg(*(F.avg(push * F.col(c)).alias(f"x{i}") for i, c in enumerate(columns)), F.avg(push).alias("w")).collect()
-        scale = max([r.w for r in moves] + [r.w for r in back] + [1e-12])
-        for sign, rows in ((1, moves), (-1, back)):
-            for r in rows:
-                now[r.name] = now[r.name] + sign * rate / scale * (np.array([r[f"x{i}"] for i in range(len(columns))]) - r.w * now[r.name])
-    return spark.createDataFrame([(n, *map(float, now[n])) for n in names], [label, *columns])
-
-
 def balanced_tree(df: DataFrame, label: str, columns: list[str], depth: int = 6, least: int = 20):
     """A decision tree with classes weighted alike, and the frame it was fitted on with its features."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))

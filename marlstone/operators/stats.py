@@ -16,31 +16,65 @@ def long(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(parts).alias("x")).select(*keep, "x.name", "x.value")
 
 
+#: Rows of a range of values that is ordered as one, about, and ranges at most.
+RANGE_ROWS, MOST_RANGES = 50_000, 1000
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """by, q: exact, linearly interpolated quantiles of each group as an array; groups are few (columns, say).
+
+    By selection: values are counted in ranges of about equal counts, and only the ranges that hold a wanted rank are
+    ordered, by their distinct values with counts. So no task holds a column, and a value that fills a third of the rows is
+    one row. The rows are read three times. NULL counts for nothing; a group without values is missing.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    ranges = max(1, min(MOST_RANGES, -(-own.count() // RANGE_ROWS)))
+    steps = [i / ranges for i in range(1, ranges)]
+    cuts = F.array_distinct(F.percentile_approx("v", steps, 100 * ranges)) if steps else F.array().cast("array<double>")
+    held = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), cuts.alias("cuts"))
+    dealt = own.join(F.broadcast(held.select(*by, "cuts")), by).select(*by, "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("range"))
+
+    wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("n") - 1)).alias("at")) for i, p in enumerate(shares))))
+    ranks = held.select(*by, wanted.alias("w")).select(*by, "w.i", "w.at", F.explode(F.array(F.floor("w.at"), F.ceil("w.at"))).alias("rank")).distinct()
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*by, "range").agg(F.count(F.lit(1)).alias("in")).withColumn("base", F.coalesce(F.sum("in").over(before), F.lit(0)))  # MOST_RANGES rows a group
+    asked = ranks.join(counts, by).where((F.col("rank") >= F.col("base")) & (F.col("rank") < F.col("base") + F.col("in")))
+    asked = asked.select(*by, "range", "base", "i", "at", "rank")
+
+    inside = dealt.join(F.broadcast(asked.select(*by, "range").distinct()), [*by, "range"])  # two ranges a share
+    each = inside.groupBy(*by, "range", "v").agg(F.count(F.lit(1)).alias("m"))
+    upto = Window.partitionBy(*by, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.withColumn("upto", F.sum("m").over(upto)).join(F.broadcast(asked), [*by, "range"])
+    found = placed.where((F.col("rank") >= F.col("base") + F.col("upto") - F.col("m")) & (F.col("rank") < F.col("base") + F.col("upto")))
+    low, high = (F.max(F.when(F.col("rank") == f("at"), F.col("v"))) for f in (F.floor, F.ceil))
+    one = found.groupBy(*by, "i").agg(low.alias("low"), high.alias("high"), F.first("at").alias("at"))
+    q = F.col("low") + (F.col("at") - F.floor("at")) * (F.col("high") - F.col("low"))
+    return one.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", q.alias("q")))), lambda x: x["q"]).alias("q"))  # a few shares
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: count, mean, spread, extremes, exact quartiles, shape."""
-    v = F.col("value")
-    q = F.percentile(v, [0.25, 0.5, 0.75])
-    own = long(df, columns).groupBy("name").agg(
+    v, rows = F.col("value"), long(df, columns)
+    own = rows.groupBy("name").agg(
         F.count(v).alias("n"),
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"),
         F.min(v).alias("least"),
-        q.alias("q"),
         F.max(v).alias("most"),
         E.skew(v).alias("skew"),
         E.kurt(v).alias("kurt"),
         F.when(F.var_pop(v) > 0, F.skewness(v)).alias("skew_pop"),
         E.jarque_bera(v).alias("jb"),
     )
-    quartiles = {f"q{p}": F.get("q", F.lit(i)) for i, p in enumerate((25, 50, 75))}
-    own = own.withColumns(quartiles).drop("q")
+    own = own.join(F.broadcast(quantiles(rows, ["name"], "value", [0.25, 0.5, 0.75])), "name", "left")  # a row per column
+    own = own.withColumns({f"q{p}": F.get("q", F.lit(i)) for i, p in enumerate((25, 50, 75))}).drop("q")
     return own.withColumns({"iqr": F.col("q75") - F.col("q25"), "cv": E.ratio("std", "mean"), "jb_p": F.exp(-F.col("jb") / 2)})
 
 
 def tukey_outliers(df: DataFrame, columns: list[str], k: float = 1.5) -> DataFrame:
     """name, low, high, n_outliers: values beyond k interquartile ranges from the quartiles."""
     rows = long(df, columns)
-    q = rows.groupBy("name").agg(F.percentile("value", [0.25, 0.75]).alias("q"))
+    q = quantiles(rows, ["name"], "value", [0.25, 0.75])
     q = q.select("name", (F.col("q")[0] - k * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + k * (F.col("q")[1] - F.col("q")[0])).alias("high"))
     joined = rows.join(F.broadcast(q), "name")  # one row per column
     return joined.groupBy("name", "low", "high").agg(F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("n_outliers"))

@@ -182,37 +182,56 @@ def permutation_importance(df: DataFrame, columns: list[str], forest: list, labe
     return falls.groupBy("name").agg(F.avg(F.col("base") - F.col("auc")).alias("mean"), F.stddev_pop(F.col("base") - F.col("auc")).alias("std"))
 
 
-def forest_grid(df: DataFrame, columns: list[str], label: str, trees: list[int], samples: list[int], shares: list[float], percents: list[int], part: str = "part") -> DataFrame:
+def _drawn(picked: np.ndarray, trees: int, sample: int, share: float, seed: int) -> list:
+    """Trees on samples of the rows, each on its own draw of that share of the columns."""
+    rng, d = np.random.default_rng(seed), picked.shape[1]
+    limit, width = math.ceil(math.log2(max(sample, 2))), max(1, round(share * picked.shape[1]))
+
+    def placed(tree: list, columns: np.ndarray) -> list:
+        return tree if len(tree) == 1 else [int(columns[tree[0]]), tree[1], placed(tree[2], columns), placed(tree[3], columns)]
+
+    out = []
+    for _ in range(trees if len(picked) else 0):
+        columns = np.sort(rng.choice(d, width, replace=False))
+        rows = picked[rng.choice(len(picked), min(sample, len(picked)), replace=False)]
+        out.append(placed(_grow(rows[:, columns], rng, limit), columns))
+    return out
+
+
+def forest_grid(df: DataFrame, columns: list[str], label: str, trees: list[int], samples: list[int], shares: list[float], percents: list[float], part: str = "part") -> DataFrame:
     """trees, sample, share, percent, precision, recall, f2: forests over a grid of settings and thresholds.
 
-    A forest is fitted on the normal rows of part 'train' with that share of the columns; thresholds are percentiles
-    of its scores there, and are judged on part 'valid'. All forests score a row in one pass, and rows are counted by
-    the thresholds that they pass before anything is summed up.
+    A forest is fitted on the normal rows of part 'train'; each of its trees draws that share of the columns. Forests of one
+    sample and share are the first trees of the largest. Thresholds are percentiles (ascending) of the scores of
+    part 'valid', where they are judged, too: a row at or above one is an alert. All forests score a row in one pass,
+    and rows are counted by the thresholds that they pass before anything is summed up.
     """
-    settings = [(t, n, q) for t in trees for n in samples for q in shares]
+    settings = [(t, n, q) for n in samples for q in shares for t in sorted(trees)]
     picked = _picked(df.where((F.col(part) == "train") & (F.col(label) == 0)), columns, max(trees) * max(samples), 42)
-    held = []
-    for t, n, q in settings:
-        width = max(1, round(q * len(columns)))
-        held.append((_grown(picked[:, :width], t, n, 42), width, n))
-    forests = df.sparkSession.sparkContext.broadcast(held)
+    held = [(_drawn(picked, max(trees), n, q, 42), n) for n in samples for q in shares]
+    forests, counts = df.sparkSession.sparkContext.broadcast(held), sorted(trees)
 
     @F.pandas_udf("array<double>")
     def score(*values: pd.Series) -> pd.Series:
         x = np.column_stack([v.to_numpy(float) for v in values])
         every = []
-        for forest, width, n in forests.value:
-            mean = np.mean([_paths(tree, x[:, :width]) for tree in forest], axis=0) if forest else np.zeros(len(x))
-            every.append(2.0 ** (-mean / max(_expected(n), 1e-12)))
+        for forest, n in forests.value:
+            total = np.zeros(len(x))
+            for i, tree in enumerate(forest, 1):
+                total = total + _paths(tree, x)
+                if i in counts:
+                    every.append(2.0 ** (-total / i / max(_expected(n), 1e-12)))
+            if not forest:
+                every += [np.ones(len(x))] * len(counts)
         return pd.Series(list(np.array(every).T))
 
-    scored = df.where(F.col(part).isin("train", "valid")).select(part, label, score(*columns).alias("s")).select(part, label, F.posexplode("s").alias("setting", "score"))
-    cuts = scored.where(f"{part} = 'train'").groupBy("setting").agg(F.percentile("score", [p / 100 for p in percents]).alias("cuts"))
-    passed = F.size(F.filter("cuts", lambda c: c < F.col("score")))
-    judged = scored.where(f"{part} = 'valid'").join(F.broadcast(cuts), "setting")  # one row for each setting
-    counts = judged.groupBy("setting", passed.alias("passed")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count(F.lit(1)).alias("n"))
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p).alias("percent")) for i, p in enumerate(percents)))
-    every = counts.select("*", F.explode(steps).alias("x")).groupBy("setting", "x.percent").agg(
+    scored = df.where(F.col(part) == "valid").select(label, score(*columns).alias("s")).select(label, F.posexplode("s").alias("setting", "score"))
+    cuts = scored.groupBy("setting").agg(F.percentile("score", [p / 100 for p in percents]).alias("cuts"))
+    passed = F.size(F.filter("cuts", lambda c: c <= F.col("score")))
+    judged = scored.join(F.broadcast(cuts), "setting")  # one row for each setting
+    counts_of = judged.groupBy("setting", passed.alias("passed")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count(F.lit(1)).alias("n"))
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("percent")) for i, p in enumerate(percents)))
+    every = counts_of.select("*", F.explode(steps).alias("x")).groupBy("setting", "x.percent").agg(
         F.sum(F.when(F.col("passed") > F.col("x.i"), F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("passed") > F.col("x.i"), F.col("n")).otherwise(0)).alias("said"), F.sum("pos").alias("all")
     )
     names = F.array(*(F.struct(F.lit(t).alias("trees"), F.lit(n).alias("sample"), F.lit(float(q)).alias("share")) for t, n, q in settings))
@@ -235,3 +254,25 @@ def refit_on_top(df: DataFrame, columns: list[str], label: str, importance: Data
         one = roc_auc(scored, label, "anomaly", part).select(F.lit(k).alias("k"), F.lit(",".join(kept)).alias("features"), part, "auc")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def mahalanobis(df: DataFrame, columns: list[str], fitted_on: DataFrame | None = None) -> DataFrame:
+    """Adds d2, the squared Mahalanobis distance from the mean of a frame (its own by default).
+
+    Mean and covariance are one aggregation, one row; the inverse of its Cholesky factor whitens every row by plain
+    column arithmetic. NULL where a column is NULL, or where the covariance is not positive definite.
+    """
+    fit = (df if fitted_on is None else fitted_on).na.drop(subset=columns)
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    one = fit.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)), *(F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
+    cov = np.array([[one[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(columns))] for i in range(len(columns))])
+    try:
+        lower = np.linalg.cholesky(cov)
+    except np.linalg.LinAlgError:
+        lower = np.zeros_like(cov)
+    if (np.diag(lower) ** 2 <= 1e-12 * np.diag(cov)).any():
+        return df.withColumn("d2", F.lit(None).cast("double"))
+    white = np.linalg.inv(lower)
+    gaps = [F.col(c) - F.lit(float(one[f"m{i}"])) for i, c in enumerate(columns)]
+    whitened = [E.total(gaps[j] * F.lit(float(white[i, j])) for j in range(i + 1)) for i in range(len(columns))]
+    return df.withColumn("d2", E.total(F.pow(z, 2) for z in whitened))

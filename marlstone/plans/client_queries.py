@@ -141,13 +141,6 @@ def segment_medoid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gower.medoid_counts(frames.clients(spark, sf_dir), "id", _NUMBERS, _CODES, list(range(3, 15)))
 
 
-@query()
-def segment_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personas from a Gaussian mixture without light components, profiled."""
-    own = segment.standardised(frames.clients(spark, sf_dir), ["age", "income", "wealth", "risk"])
-    return segment.profile(segment.mixture(own, ["age", "income", "wealth", "risk"], 8), "cluster", ["age", "income", "wealth", "risk"], ["gender", "region"])
-
-
 @query()
 def segment_principal_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clients on two principal axes."""
@@ -167,13 +160,6 @@ def segment_axis_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
-@query()
-def segment_learned_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prototypes after learning."""
-    own = segment.standardised(frames.clients(spark, sf_dir), ["age", "risk", "family"])
-    return segment.learn_prototypes(own, "region", ["age", "risk", "family"], steps=5)
-
-
 @query()
 def segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A balanced tree's predictions of groups."""
@@ -202,9 +188,8 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 @query(f"WITH {_C}, {frames.PRODUCTS}, {_IA} SELECT id, product, round(base, 6) AS base, round(score, 6) AS score FROM ru")
 def reco_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interaction scores before and after the business rules."""
-    _, scored, ruled = _scored(spark, sf_dir)
-    median = ruled.select("id", "product", _R("score").alias("score"))
-    return scored.select("id", "product", _R("score").alias("base")).join(median, ["id", "product"])
+    _, _, ruled = _scored(spark, sf_dir)
+    return ruled.select("id", "product", _R("base").alias("base"), _R("score").alias("score"))
 
 
 @query(f"WITH {_C}, {frames.PRODUCTS}, {_IA} SELECT id, product, CAST(k AS INTEGER) AS rank, round(ln(1 + score), 6) AS log_score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, product) AS k FROM ru) WHERE k <= 3")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import expr as E
-from marlstone.operators import backtest, learn, panel, risk, statespace
-from marlstone.plans import frames
+from marlstone.operators import autoencoder, backtest, learn, mixture, panel, prototypes, recommend, risk, segment, statespace, warning
+from marlstone.plans import client_queries, frames
 from marlstone.plans.registry import query
+from marlstone.sources import tables
 
 _R = E.rounded
 N = frames.NAMES
@@ -157,3 +158,58 @@ def portfolio_kalman_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = statespace.grid([1e-4, 1e-3, 1e-2], [0.5, 1.0, 2.0], [0.1, 1.0])
     settings += statespace.grid([0.8e-3, 1.2e-3], [0.8, 1.2], [0.8, 1.2])
     return statespace.scores(rows, statespace.kalman(rows, N, settings), N)
+
+
+_FEATURES = ["age", "income", "wealth", "risk"]
+
+
+@query()
+def segment_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personas from a mixture of at most 15 components under a Dirichlet-process prior, profiled; others have persona NULL."""
+    own = tables.kept(segment.standardised(frames.clients(spark, sf_dir), _FEATURES), "standardised")
+    posterior, _ = mixture.fit(own, _FEATURES, k=15, steps=200)
+    return segment.profile(mixture.personas(own, _FEATURES, posterior), "persona", _FEATURES, ["gender", "region"])
+
+
+@query()
+def segment_learned_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prototypes of the regions from the best of 100 starts, with its loss."""
+    columns = ["age", "risk", "family"]
+    own = tables.kept(segment.standardised(frames.clients(spark, sf_dir), columns), "standardised")
+    classes, found, loss = prototypes.learn(own, "region", columns, starts=100, steps=30)
+    best = int(loss.argmin())
+    rows = [(c, *map(float, w), float(loss[best])) for c, w in zip(classes, found[best], strict=True)]
+    return spark.createDataFrame(rows, "region int, " + ", ".join(f"{c} double" for c in [*columns, "loss"]))
+
+
+@query()
+def reco_autoencoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RMSE and count on held-out cells of a masked autoencoder of width 8."""
+    _, scored, _ = client_queries._scored(spark, sf_dir)
+    cells, held = [f"c{p}" for p in frames.ASSETS], [f"h{p}" for p in frames.ASSETS]
+    long = scored.select("id", "product", "score", recommend.held_out("id", "product").cast("int").alias("out"))
+    wide = long.groupBy("id").agg(
+        *(F.max(F.when(F.col("product") == p, F.col("score"))).alias(f"c{p}") for p in frames.ASSETS),
+        *(F.max(F.when(F.col("product") == p, F.col("out"))).alias(f"h{p}") for p in frames.ASSETS),
+    )
+    own = tables.kept(wide.na.fill(0, held), "interactions")
+    layers, _ = autoencoder.train(own, "id", cells, held, steps=60)
+    back = autoencoder.reconstructed(own, "id", cells, held, layers)
+    parts = F.array(*(F.struct(F.lit(p).cast("long").alias("product"), F.col(f"c{p}").alias("fit")) for p in frames.ASSETS))
+    fitted = back.select("id", F.explode(parts).alias("x")).select("id", "x.*")
+    truth = long.where("out = 1")
+    return truth.join(fitted, ["id", "product"]).agg(F.sqrt(F.avg(F.pow(F.col("score") - F.col("fit"), 2))).alias("rmse"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {frames.REPLICATION}, m AS (SELECT avg(r0) AS a, avg(r1) AS b, var_samp(r0) AS v, var_samp(r1) AS w, covar_samp(r0, r1) AS c FROM rep),
+ d AS (SELECT date, (w * power(r0 - a, 2) - 2 * c * (r0 - a) * (r1 - b) + v * power(r1 - b, 2)) / (v * w - c * c) AS d2 FROM rep, m) SELECT date, round(d2, 6) AS d2 FROM d""")
+def warning_mahalanobis_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared Mahalanobis distance in two dimensions, which a closed form can check."""
+    own = warning.mahalanobis(frames.replication(spark, sf_dir), N[:2])
+    return own.select("date", _R("d2").alias("d2"))
+
+
+@query()
+def warning_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks by their distance from the mean of all instruments."""
+    return warning.mahalanobis(frames.replication(spark, sf_dir), N).select("date", "d2")

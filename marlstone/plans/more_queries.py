@@ -39,10 +39,14 @@ def source_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.bounded(own, 11, "less", "doc_id").select("doc_id", "n_chars")
 
 
-@query()
+_ROW = """CAST('0x' || substr(md5(concat_ws('|', 'c_custkey,c_nationkey,c_mktsegment,c_acctbal', coalesce(CAST(c_custkey AS VARCHAR), '\\N'),
+ coalesce(CAST(c_nationkey AS VARCHAR), '\\N'), coalesce(c_mktsegment, '\\N'), coalesce(CAST(c_acctbal AS VARCHAR), '\\N'))), 1, 15) AS BIGINT)"""
+
+
+@query(f"SELECT count(*) AS n_rows, bit_xor(h) AS xor_hash, CAST(sum(h % 2147483648) AS BIGINT) AS sum_hash FROM (SELECT {_ROW} AS h FROM customer)")
 def source_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-free hash of a table."""
-    return tables.fingerprint(frames.table(spark, sf_dir, "lineitem"))
+    return tables.fingerprint(frames.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"))
 
 
 @query("SELECT p_partkey, p_brand, p_size, p_retailprice FROM part")
@@ -197,6 +201,13 @@ def clients_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
 
 
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= DATE '2001-01-01')")
+def clients_without_late_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that no order of the last months names; others have some."""
+    late = frames.table(spark, sf_dir, "orders").where("o_orderdate >= DATE '2001-01-01'").select(F.col("o_custkey").alias("c_custkey"))
+    return frames.table(spark, sf_dir, "customer").select("c_custkey").join(late, "c_custkey", "left_anti")
+
+
 @query(f"WITH {risk_queries.WEEKLY} SELECT date, round(tc + CASE WHEN k % 13 = 0 THEN ge * 0.0002::DOUBLE ELSE 0 END, 8) AS tc, round(net - CASE WHEN k % 13 = 0 THEN ge * 0.0002::DOUBLE ELSE 0 END, 6) AS net FROM weekly")
 def risk_roll_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs with those of rolling the exposure every thirteenth week."""

@@ -208,8 +208,9 @@ def warning_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warning_forest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds of all percentiles for a grid of forests: the ten best by F2 on validation rows."""
     own, columns = _detector(spark, sf_dir)
-    grid = warning.forest_grid(own, columns, "label", [20, 40, 60], [64, 128, 192, 256], [0.5, 0.75, 1.0], list(range(30, 99)))
-    return grid.orderBy(F.desc("f2"), "trees", "sample", "share", "percent").limit(10)
+    percents = [100 - p / 2 for p in range(70, 1, -1)]  # alerts from 1 to 35 in a hundred, by halves
+    grid = warning.forest_grid(own, columns, "label", [100, 200, 300], [128, 256, 512], [0.5, 0.7, 1.0], percents)
+    return grid.orderBy(F.desc("f2"), F.desc("recall"), F.desc("precision"), "trees", "sample", "share", "percent").limit(10)
 
 
 @query()

@@ -66,9 +66,13 @@ def require(df: DataFrame, required: Iterable[str] = (), positive: Iterable[str]
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """rows and an order-free hash of a frame's content and column names."""
-    names = F.lit(",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields))
-    row = F.xxhash64(names, *df.columns)
+    """rows and an order-free hash of a frame's content and column names, which other engines can work out, too.
+
+    A row's hash is the first 15 hexadecimal digits of the md5 of its names and its values as text, NULL as a mark.
+    """
+    names = F.lit(",".join(df.columns))
+    text = F.concat_ws("|", names, *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns))
+    row = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(row).alias("xor_hash"), F.sum(F.pmod(row, F.lit(1 << 31))).alias("sum_hash"))
 
 
