@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import expr as E
 from marlstone.operators import backtest, panel, risk
+from marlstone.sources import tables
 
 
 def vote(train: DataFrame, rows: DataFrame, label: str, columns: list[str], seed: int = 42) -> DataFrame:
@@ -105,3 +109,54 @@ def network_backtest(rows: DataFrame, features: list[str], names: list[str], by:
 
     each = keyed.groupBy(by, "member", "block").applyInPandas(run, f"{by} string, date date, " + ", ".join(f"{c} double" for c in w_names))
     return each.groupBy(by, "date").agg(*(F.avg(c).alias(c) for c in w_names))
+
+
+#: Makes an estimator with columns `features` and the label's name.
+Base = Callable[[str], Estimator]
+
+
+def _chance(model, rows: DataFrame, name: str) -> DataFrame:
+    return model.transform(rows).withColumn(name, vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
+
+
+def out_of_fold(rows: DataFrame, label: str, key: str, bases: dict[str, Base], folds: int = 5) -> DataFrame:
+    """Adds, for each base model, the probability of class 1 from a model that has not seen the row's fold.
+
+    Folds follow from a hash of the key, so a key's rows are in one fold and reruns agree. rows: a written frame with
+    `features`.
+    """
+    dealt = rows.withColumn("fold", F.pmod(F.crc32(F.col(key).cast("string")), F.lit(folds)).cast("int"))
+    out = None
+    for f in range(folds):
+        seen, own = dealt.where(F.col("fold") != f), dealt.where(F.col("fold") == f)
+        for name, base in bases.items():
+            own = _chance(base(label).fit(seen), own, name)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def fbeta_at(rows: DataFrame, label: str, score: str, threshold: float = 0.5, beta: float = 0.5) -> float:
+    """F-beta of the rows whose score reaches a threshold; 0 where nothing is right."""
+    said, pos = F.col(score) >= threshold, F.col(label) == 1
+    one = rows.agg(F.count_if(said & pos).alias("tp"), F.count_if(said).alias("said"), F.count_if(pos).alias("pos")).first()
+    return (1 + beta**2) * one.tp / (one.said + beta**2 * one.pos) if one.tp else 0.0
+
+
+def stacked(train: DataFrame, rows: DataFrame, label: str, key: str, columns: list[str], bases: dict[str, Base], search: dict[str, Base], folds: int = 5) -> tuple[DataFrame, dict[str, float]]:
+    """The rows with a score from a second-level model, and the cross-validated F0.5 of every setting searched.
+
+    The setting of the best F0.5 over held-out folds joins the base models. The second-level logistic regression is fitted on
+    their out-of-fold probabilities only; base models fitted on all training rows then score the rows.
+    """
+    assemble = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip")
+    fit_on = tables.kept(assemble.transform(train), "train")
+    first = tables.kept(out_of_fold(fit_on, label, key, bases | search, folds), "folds")
+    found = {name: fbeta_at(first, label, name) for name in search}
+    best = max(found, key=lambda n: (found[n], n)) if found else None
+    chosen = bases | ({best: search[best]} if best else {})
+    second = VectorAssembler(inputCols=list(chosen), outputCol="chances")
+    meta = LogisticRegression(featuresCol="chances", labelCol=label, regParam=0.01).fit(second.transform(first.drop("features")))
+    own = assemble.transform(rows)
+    for name, base in chosen.items():
+        own = _chance(base(label).fit(fit_on), own, name)
+    return _chance(meta, second.transform(own.drop("features")), "score").drop("chances"), found

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import expr as E
-from marlstone.operators import autoencoder, backtest, learn, mixture, panel, prototypes, recommend, risk, segment, statespace, warning
+from marlstone.operators import autoencoder, backtest, learn, metrics, mixture, panel, prototypes, recommend, risk, segment, statespace, warning
 from marlstone.plans import client_queries, frames
 from marlstone.plans.registry import query
 from marlstone.sources import tables
@@ -160,6 +160,35 @@ def portfolio_kalman_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statespace.scores(rows, statespace.kalman(rows, N, settings), N)
 
 
+def _judged_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Labelled documents with measures of their texts; the label of quality is a judgement, no formula of these."""
+    text = F.coalesce("text", F.lit(""))
+    n = F.greatest(F.length(text), F.lit(1))
+    share = lambda pattern: F.length(F.regexp_replace(text, pattern, "")) / n
+    docs = frames.table(spark, sf_dir, "documents").select(
+        "doc_id", F.log1p(F.length(text)).alias("size"), share("[^A-Za-z]").alias("letters"), share("[^0-9]").alias("digits"), share("[^A-Z]").alias("capitals"),
+        share(r"[\p{L}\p{N}\s]").alias("marks"), share(r"\S").alias("blanks"), (F.size(F.split(text, "\n")) / n).alias("lines"),
+        (F.size(F.array_distinct(F.split(text, r"\s+"))) / F.size(F.split(text, r"\s+"))).alias("variety"),
+    )
+    labels = frames.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label")).where("label IS NOT NULL")
+    return tables.kept(docs.join(labels, "doc_id"), "judged"), [c for c in docs.columns if c != "doc_id"]
+
+
+@query()
+def eval_stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC and F0.5 on held-out documents of stacked classifiers, and the cross-validated F0.5 of the settings searched."""
+    from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
+
+    own, columns = _judged_documents(spark, sf_dir)
+    held = F.pmod(F.crc32(F.concat(F.lit("held:"), F.col("doc_id").cast("string"))), F.lit(10)) < 3
+    bases = {"logistic": lambda y: LogisticRegression(labelCol=y, regParam=0.01), "bayes": lambda y: NaiveBayes(labelCol=y, modelType="gaussian")}
+    search = {f"forest_{n}_{d}": (lambda y, n=n, d=d: RandomForestClassifier(labelCol=y, numTrees=n, maxDepth=d, seed=42)) for n, d in ((10, 3), (30, 6))}
+    scored, found = learn.stacked(own.where(~held), own.where(held), "label", "doc_id", columns, bases, search)
+    scored = tables.kept(scored.select("label", "score"), "stacked")
+    auc = metrics.roc_auc(scored, "label", "score")
+    return auc.withColumn("f05", F.lit(learn.fbeta_at(scored, "label", "score"))).withColumns({f"cv_{n}": F.lit(v) for n, v in found.items()})
+
+
 _FEATURES = ["age", "income", "wealth", "risk"]
 
 

@@ -177,3 +177,29 @@ def test_quantiles_by_selection(spark, monkeypatch, range_rows):
     assert got.keys() == groups.keys()
     for g, vs in groups.items():
         assert got[g] == pytest.approx(np.quantile(vs, shares).tolist())
+
+
+def test_stacking_does_not_leak(spark):
+    """A tree that learns rows by heart knows nothing of rows in other folds; the second level is fitted on such scores only."""
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from marlstone.operators import learn
+
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, 160)
+    rows = [(i, int(c), float(rng.normal()), float(c + rng.normal())) for i, c in enumerate(y)]
+    df = spark.createDataFrame(rows, "id long, label int, noise double, signal double").repartition(2)
+    heart = {"heart": lambda label: DecisionTreeClassifier(labelCol=label, maxDepth=15, minInstancesPerNode=1, maxBins=200)}
+    ready = VectorAssembler(inputCols=["noise"], outputCol="features").transform(df)
+    found = learn.out_of_fold(ready, "label", "id", heart, folds=3).collect()
+    assert len(found) == 160
+    right = np.mean([(r.heart >= 0.5) == (r.label == 1) for r in found])
+    assert 0.3 < right < 0.7
+    model = heart["heart"]("label").fit(ready)
+    assert np.mean([(r.prediction == r.label) for r in model.transform(ready).collect()]) > 0.9
+    plain = {"plain": lambda label: LogisticRegression(labelCol=label)}
+    scored, cv = learn.stacked(df.where("id < 110"), df.where("id >= 110"), "label", "id", ["noise", "signal"], plain, heart, folds=3)
+    got = scored.collect()
+    assert len(got) == 50 and cv.keys() == {"heart"} and 0 <= cv["heart"] <= 1
+    assert np.mean([(r.score >= 0.5) == (r.label == 1) for r in got]) > 0.6
