@@ -48,6 +48,8 @@ LEVELS = 4
 DENSITIES = (0.0, 0.25, 0.75, 1.5, 3.0)
 #: Lengths of word beginnings that can be patterns.
 PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Names that a worker counts before it hands them on.
+NAMES_HELD = 50_000
 #: Buckets of hashed words that the classifier sees.
 HASHED = 256
 #: Insults that vote whatever the labels say.
@@ -153,16 +155,22 @@ def choose_voters(docs: DataFrame, labels: DataFrame, sample: int = LABELLED_SAM
     labelled, share = _labelled(docs, labels, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[int]] = {"": [0] * (2 * LEVELS)}
+        seen: dict[str, list[int]] = {}
+
+        def gathered() -> pa.RecordBatch:
+            values = np.array(list(seen.values()), dtype=np.int64).reshape(-1, 2 * LEVELS)
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array(c) for c in values.T)], names=["name", *columns])
+
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[""][LEVELS * bool(toxic)] += 1
-                for name, n in _named(text).items():
+                for name, n in [("", 1), *_named(text).items()]:
                     at = seen.setdefault(name, [0] * (2 * LEVELS))
                     for level in range(min(n, LEVELS)):
                         at[LEVELS * bool(toxic) + level] += 1
-        values = np.array(list(seen.values()), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array(c) for c in values.T)], names=["name", *columns])
+                if len(seen) >= NAMES_HELD:  # Spark adds them up, so that a worker's memory does not grow with its rows
+                    yield gathered()
+                    seen.clear()
+        yield gathered()
 
     columns = [f"{kind}{level}" for kind in ("clean", "toxic") for level in range(1, LEVELS + 1)]
     counts = labelled.mapInArrow(count, ", ".join(["name string", *(f"{c} long" for c in columns)]))
