@@ -194,10 +194,10 @@ _FEATURES = ["age", "income", "wealth", "risk"]
 
 @query()
 def segment_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personas from a mixture of at most 15 components under a Dirichlet-process prior, profiled; others have persona NULL."""
+    """Personas from a mixture of at most 15 components under a Dirichlet-process prior, profiled; clients of other components are left out."""
     own = tables.kept(segment.standardised(frames.clients(spark, sf_dir), _FEATURES), "standardised")
-    posterior, _ = mixture.fit(own, _FEATURES, k=15, steps=200)
-    return segment.profile(mixture.personas(own, _FEATURES, posterior), "persona", _FEATURES, ["gender", "region"])
+    posterior, _ = mixture.fit(own, _FEATURES, k=15, steps=100)
+    return segment.profile(mixture.personas(own, _FEATURES, posterior).where("persona IS NOT NULL"), "persona", _FEATURES, ["gender", "region"])
 
 
 @query()
