@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators.partials import summed
+from marlstone.sources import tables
 
 
 class Layer(NamedTuple):
@@ -87,7 +88,7 @@ def train(rows: DataFrame, key: str, cells: list[str], held: list[str], width: i
     layers = started([n, *hidden, width, *hidden[::-1], n], seed)
     weights = flat(layers)
     kept, m, v = layers, np.zeros_like(weights), np.zeros_like(weights)
-    own = rows.select(F.col(key).cast("double").alias(key), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cells), *(F.col(h).cast("double").alias(h) for h in held))
+    own = tables.kept(rows.select(F.col(key).cast("double").alias(key), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cells), *(F.col(h).cast("double").alias(h) for h in held)), "cells")
     for step in range(1, steps + 1):
         now = layers
 
