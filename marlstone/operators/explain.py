@@ -32,20 +32,20 @@ def spread_grid(df: DataFrame, columns: list[str], points: int = 10) -> dict[str
 
 
 def individual_curves(df: DataFrame, key: str, grid: dict[str, list[float]], columns: list[str], score: Scorer) -> DataFrame:
-    """key, name, at, score: each row's score with one column set to each value of its grid."""
-    wanted = [F.struct(F.lit(c).alias("name"), F.lit(float(v)).alias("at")) for c, values in grid.items() for v in values]
+    """key, name, place, score: each row's score with one column set to each value of its grid."""
+    wanted = [F.struct(F.lit(c).alias("name"), F.lit(float(v)).alias("place")) for c, values in grid.items() for v in values]
     own = df.na.drop(subset=columns).select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(c) for c in columns))
     if not wanted:
-        own, wanted = own.limit(0), [F.struct(F.lit("").alias("name"), F.lit(0.0).alias("at"))]
+        own, wanted = own.limit(0), [F.struct(F.lit("").alias("name"), F.lit(0.0).alias("place"))]
     every = own.select("*", F.explode(F.array(*wanted)).alias("_g"))
-    moved = [F.when(F.col("_g.name") == c, F.col("_g.at")).otherwise(F.col(c)).alias(c) for c in columns]
-    return score(every.select("key", "_g", *moved)).select(F.col("key").alias(key), "_g.name", "_g.at", "score")
+    moved = [F.when(F.col("_g.name") == c, F.col("_g.place")).otherwise(F.col(c)).alias(c) for c in columns]
+    return score(every.select("key", "_g", *moved)).select(F.col("key").alias(key), "_g.name", "_g.place", "score")
 
 
 def partial_dependence(df: DataFrame, key: str, grid: dict[str, list[float]], columns: list[str], score: Scorer) -> DataFrame:
-    """name, at, mean, n: the mean score of all rows with one column set to each value of its grid."""
+    """name, place, mean, n: the mean score of all rows with one column set to each value of its grid."""
     curves = individual_curves(df, key, grid, columns, score)
-    return curves.groupBy("name", "at").agg(F.avg("score").alias("mean"), F.count("score").alias("n"))
+    return curves.groupBy("name", "place").agg(F.avg("score").alias("mean"), F.count("score").alias("n"))
 
 
 def _weighted(df: DataFrame, key: str, columns: list[str], score: Scorer, n: int, value: Callable[[int, Column], Column], sums: dict[str, np.ndarray]) -> DataFrame:

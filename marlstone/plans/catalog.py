@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.operators import backtest, risk
-from marlstone.plans import client_queries, frames, model_queries, more_queries, panel_queries, risk_queries, stats_queries, warning_queries  # noqa: F401  they register their queries
+from marlstone.plans import client_queries, explain_queries, frames, model_queries, more_queries, panel_queries, risk_queries, stats_queries, warning_queries  # noqa: F401  they register their queries
 from marlstone.plans.registry import ORACLES, QUERIES, Query
 
 

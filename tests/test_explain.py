@@ -29,7 +29,7 @@ def scorer(df):
 
 def test_partial_dependence(spark):
     grid = {"a": [-1.0, 2.0], "c": [0.5]}
-    got = {(r.name, r.at): (r["mean"], r.n) for r in explain.partial_dependence(table(spark), "id", grid, NAMES, scorer).collect()}
+    got = {(r.name, r.place): (r["mean"], r.n) for r in explain.partial_dependence(table(spark), "id", grid, NAMES, scorer).collect()}
     want = {}
     for name, values in grid.items():
         for v in values:
@@ -42,7 +42,7 @@ def test_partial_dependence(spark):
 def test_individual_curves(spark):
     got = explain.individual_curves(table(spark), "id", {"b": [3.0]}, NAMES, scorer).collect()
     assert {r.id: r.score for r in got} == {i: pytest.approx(x[0] * 3 + 2 * x[2]) for i, x in enumerate(X)}
-    assert explain.individual_curves(table(spark), "id", {"b": []}, NAMES, scorer).columns == ["id", "name", "at", "score"]
+    assert explain.individual_curves(table(spark), "id", {"b": []}, NAMES, scorer).columns == ["id", "name", "place", "score"]
     assert explain.individual_curves(table(spark), "id", {}, NAMES, scorer).count() == 0
 
 
