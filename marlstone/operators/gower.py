@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import expr as E
-from marlstone.operators import panel
+from marlstone.operators import centres, panel
 from marlstone.sources import tables
 
 
@@ -27,7 +27,7 @@ def scaled_rows(rows: DataFrame, key: str, numbers: list[str], codes: list[str])
     """key, numbers brought to [0, 1] by their ranges (NULL without a range), codes as text: a written table."""
     ends = rows.agg(*(F.struct(F.min(c).cast("double").alias("a"), F.max(c).cast("double").alias("b")).alias(c) for c in numbers)).first()
     scaled = [E.ratio(F.col(c).cast("double") - F.lit(ends[c].a), F.lit(ends[c].b) - F.lit(ends[c].a)).alias(c) for c in numbers]
-    return tables.kept(rows.select(key, *scaled, *(F.col(c).cast("string").alias(c) for c in codes)), "scaled")
+    return tables.spread(rows.select(key, *scaled, *(F.col(c).cast("string").alias(c) for c in codes)), "scaled", key)
 
 
 def _per_value(labelled: DataFrame, by: list[str], numbers: list[str], codes: list[str], k: int) -> tuple[DataFrame, DataFrame]:
@@ -102,17 +102,33 @@ def _uniform(key: str, *salt: int) -> Column:
     return (F.pmod(F.xxhash64(F.col(key), *(F.lit(s) for s in salt)), F.lit(1 << 52)) + 1) / float(1 << 52)
 
 
-def _seeds(rows: DataFrame, key: str, numbers: list[str], codes: list[str], k: int, seed: int) -> list:
+def _central(rows: DataFrame, own: centres.Coded | None, medoids: dict, ends: list, key: str, numbers: list[str], codes: list[str]) -> dict:
+    """The row of least total distance to the cluster of each medoid: from counts, or by joins where codes have very many values."""
+    if own is not None:
+        return centres.central(own, medoids, ends)
+    columns = [key, *numbers, *codes]
+    held = rows.sparkSession.createDataFrame([(*at, *row) for at, row in medoids.items()], _schema(rows))
+    found = tables.kept(assigned(rows, held, key, numbers, codes).drop("distance").withColumnRenamed("label", "cluster").withColumn("label", F.lit(0)), "assigned")
+    totals = cluster_totals(found, ["setting", "cluster"], key, numbers, codes, 1)
+    best = totals.groupBy("setting", "cluster").agg(F.min(F.struct(F.round(F.get("totals", F.lit(0)), 9).alias("t"), key)).alias("x"))
+    least = F.broadcast(best.select("setting", "cluster", f"x.{key}"))  # a row for each medoid
+    return {(r.setting, r.cluster): tuple(r[c] for c in columns) for r in found.join(least, ["setting", "cluster", key]).collect()}
+
+
+def _schema(rows: DataFrame) -> str:
+    return f"setting int, label int, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}"
+
+
+def _seeds(rows: DataFrame, own: centres.Coded | None, ends: list, key: str, numbers: list[str], codes: list[str], k: int, seed: int) -> list:
     """k rows: the most central one, then each drawn by its squared distance to the nearest before it.
 
     The draw is the least of exponential times -ln(u) / d**2 with u by hash: one aggregation, no weights on the driver.
     """
-    one = rows.withColumn("label", F.lit(0))
-    totals = cluster_totals(one, [], key, numbers, codes, 1)
-    first = totals.agg(F.min(F.struct(F.round(F.get("totals", F.lit(0)), 9), key)).alias("x")).first().x
-    if first is None:
+    some = rows.first()
+    if some is None:
         return []
-    picked = [rows.where(F.col(key) == first[key]).first()]
+    (middle,) = _central(rows, own, {(0, 0): tuple(some)}, ends, key, numbers, codes).values()
+    picked = [middle]
     while len(picked) < k:
         held = rows.sparkSession.createDataFrame(picked, rows.schema).withColumns({"setting": F.lit(0), "label": F.lit(0)})
         far = assigned(rows, held, key, numbers, codes).where("distance > 0")
@@ -132,23 +148,24 @@ def medoids(rows: DataFrame, key: str, numbers: list[str], codes: list[str], ks:
     medoids come to the driver.
     """
     scaled = scaled_rows(rows, key, numbers, codes)
-    spark, columns = rows.sparkSession, [key, *numbers, *codes]
-    schema = f"setting int, label int, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in scaled.schema.fields)}"
-    seeds = _seeds(scaled, key, numbers, codes, max(ks), seed)
-    now = {(k, i): tuple(r[c] for c in columns) for k in ks for i, r in enumerate(seeds[:k])}
-    moving = set(ks)
+    found, _ = _medoids(scaled, key, numbers, codes, ks, steps, seed)
+    return rows.sparkSession.createDataFrame([(*at, *row) for at, row in found.items()], _schema(scaled)), scaled
+
+
+def _medoids(scaled: DataFrame, key: str, numbers: list[str], codes: list[str], ks: list[int], steps: int, seed: int = 42) -> tuple[dict, centres.Coded | None]:
+    """(setting, label) to the medoid's key, numbers and codes; and the table they were found on."""
+    own = centres.coded(scaled, key, numbers, codes)
+    ends = centres.edges(own, centres.SEARCH_EDGES) if own is not None else []
+    seeds = _seeds(scaled, own, ends, key, numbers, codes, max(ks), seed)
+    now = {(k, i): tuple(r) for k in ks for i, r in enumerate(seeds[:k])}
+    moving = set(ks) if now else set()
     for _ in range(steps):
-        held = spark.createDataFrame([(*at, *row) for at, row in now.items() if at[0] in moving], schema)
-        own = tables.kept(assigned(scaled, held, key, numbers, codes).drop("distance").withColumnRenamed("label", "cluster").withColumn("label", F.lit(0)), "assigned")
-        totals = cluster_totals(own, ["setting", "cluster"], key, numbers, codes, 1)
-        best = totals.groupBy("setting", "cluster").agg(F.min(F.struct(F.round(F.get("totals", F.lit(0)), 9).alias("t"), key)).alias("x"))
-        found = F.broadcast(best.select("setting", "cluster", f"x.{key}"))  # a row for each medoid
-        new = {(r.setting, r.cluster): tuple(r[c] for c in columns) for r in own.join(found, ["setting", "cluster", key]).collect()}
-        moving = {at[0] for at, row in new.items() if now[at] != row}
-        now |= new
         if not moving:
             break
-    return spark.createDataFrame([(*at, *row) for at, row in now.items()], schema), scaled
+        new = _central(scaled, own, {at: row for at, row in now.items() if at[0] in moving}, ends, key, numbers, codes)
+        moving = {at[0] for at, row in new.items() if now[at] != row}
+        now |= new
+    return now, own
 
 
 def k_medoids(rows: DataFrame, key: str, numbers: list[str], codes: list[str], k: int, steps: int = 20) -> DataFrame:
@@ -162,10 +179,14 @@ def medoid_counts(rows: DataFrame, key: str, numbers: list[str], codes: list[str
 
     best marks the greatest silhouette, the smaller k on ties.
     """
-    found, scaled = medoids(rows, key, numbers, codes, ks, steps)
-    own = tables.kept(assigned(scaled, found, key, numbers, codes), "final")
+    scaled = scaled_rows(rows, key, numbers, codes)
+    found, coded = _medoids(scaled, key, numbers, codes, ks, steps)
+    order = Window.partitionBy().orderBy(F.desc(F.round("silhouette", 12)), "k")  # a row for each k
+    if coded is not None:
+        sums = centres.silhouette_sums(coded, found) if found else []
+        return rows.sparkSession.createDataFrame(sums, "k int, silhouette double, inertia double").withColumn("best", F.row_number().over(order) == 1)
+    own = tables.kept(assigned(scaled, rows.sparkSession.createDataFrame([(*at, *row) for at, row in found.items()], _schema(scaled)), key, numbers, codes), "final")
     each = silhouettes(own.drop("distance"), ["setting"], key, numbers, codes, max(ks))
     means = each.groupBy("setting").agg(F.avg("silhouette").alias("silhouette"))
     inertia = own.groupBy("setting").agg(F.sum("distance").alias("inertia"))
-    order = Window.partitionBy().orderBy(F.desc(F.round("silhouette", 12)), "k")  # a row for each k
     return means.join(inertia, "setting").withColumnRenamed("setting", "k").withColumn("best", F.row_number().over(order) == 1)

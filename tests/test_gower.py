@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import gower, panel
+from marlstone.operators import centres, gower, panel
 
 NUMBERS, CODES = ["x", "y", "flat"], ["g", "h"]
 
@@ -111,3 +111,24 @@ def test_running_totals(spark, monkeypatch):
     for r in panel.running_totals(df, ["g"], "v", ["w"]).collect():
         own = [w for g, v, w in rows if g == r.g]
         assert r.all_w == pytest.approx(sum(own)) and r.run_w == pytest.approx(sum(w for g, v, w in rows if g == r.g and v <= r.v))
+
+
+@pytest.mark.parametrize("few", [256, 3])
+def test_counts_at_edges_find_the_same_as_all_pairs(spark, rows, monkeypatch, few):
+    """Numbers with more values than edges: bounds between edges leave the right rows, and every row's silhouette counts."""
+    for name, n in (("FEW", few), ("SEARCH_EDGES", 4), ("ROW_EDGES", 5)):
+        monkeypatch.setattr(centres, name, n)
+    rows = [r for r in rows if r[0] != 200]
+    frame = spark.createDataFrame(rows, "id long, x double, y double, flat double, g string, h int").repartition(3)
+    d = all_pairs(rows)
+    found, scaled = gower.medoids(frame, "id", NUMBERS, CODES, [2, 4], steps=50)
+    chosen = {(r.setting, r.label): r.id for r in found.collect()}
+    got = {r.k: r for r in gower.medoid_counts(frame, "id", NUMBERS, CODES, [2, 4], steps=50).collect()}
+    for k in (2, 4):
+        held = [[r[0] for r in rows].index(chosen[k, c]) for c in range(k)]
+        label = d[:, held].argmin(axis=1)
+        for c, m in enumerate(held):
+            own = np.flatnonzero(label == c)
+            assert d[m, own].sum() == pytest.approx(d[np.ix_(own, own)].sum(axis=1).min(), abs=1e-9)
+        assert got[k].silhouette == pytest.approx(np.mean(brute_silhouette(d, label.tolist())), abs=1e-9)
+        assert got[k].inertia == pytest.approx(d[:, held].min(axis=1).sum(), abs=1e-9)
