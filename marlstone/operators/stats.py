@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,14 +191,50 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     return own.groupBy(F.coalesce(at, F.lit(0)).cast("int").alias("bin")).agg(F.first(F.col("a")).alias("a"), F.first(width).alias("w"), F.count(F.lit(1)).alias("n")).select("bin", (F.col("a") + F.col("bin") * F.col("w")).alias("low"), "n")
 
 
+#: Values of a block for which all powers are worked out at once.
+POWER_BLOCK = 2000
+
+
 def power_search(df: DataFrame, column: str, steps: int = 200, least: float = 0.01, most: float = 1.0) -> DataFrame:
-    """step, power, skew for powers of a column that is not negative: one job for the whole curve.
+    """step, power, skew for powers of a column that is not negative: one pass for the whole curve.
 
-    Every value is given once for each power, and sums combine before the shuffle of one row for each power.
+    A task works out central moments of all powers block by block and hands on one row for each power. The values are
+    dealt over all tasks first: they are few bytes each and much work.
     """
-    power = least + (most - least) * F.col("step") / (steps - 1)
-    every = df.where(F.col(column) >= 0).select(F.col(column).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
-    return every.groupBy("step").agg(F.skewness(F.pow("v", power)).alias("skew")).select("step", power.alias("power"), "skew")
+    powers = least + (most - least) * np.arange(steps) / (steps - 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, mean, m2, m3 = 0, np.zeros(steps), np.zeros(steps), np.zeros(steps)
+        for batch in batches:
+            values = batch["v"].to_numpy(float)
+            for at in range(0, len(values), POWER_BLOCK):
+                x = np.power(values[at : at + POWER_BLOCK], powers[:, None])
+                k, own = x.shape[1], x.mean(axis=1)
+                x -= own[:, None]
+                square = x * x
+                own2, own3 = square.sum(axis=1), (square * x).sum(axis=1)
+                d, both = own - mean, n + k
+                m3 = m3 + own3 + d**3 * n * k * (n - k) / both**2 + 3 * d * (n * own2 - k * m2) / both
+                m2, mean, n = m2 + own2 + d**2 * n * k / both, mean + d * k / both, both
+        if n:
+            yield pd.DataFrame({"step": np.arange(steps), "n": float(n), "mean": mean, "m2": m2, "m3": m3})
+
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    dealt = df.where(F.col(column) >= 0).select(F.col(column).cast("double").alias("v")).repartition(tasks)
+    parts = dealt.mapInPandas(run, "step int, n double, mean double, m2 double, m3 double")
+    whole = parts.groupBy("step").agg(F.collect_list(F.struct("n", "mean", "m2", "m3")).alias("parts"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"))  # a row a task
+    about = F.transform("parts", lambda p: F.struct(p["n"].alias("n"), (p["mean"] - F.col("mean")).alias("d"), p["m2"].alias("m2"), p["m3"].alias("m3")))
+    made = whole.select("step", "n", about.alias("parts"))
+
+    def added(value) -> Column:
+        return F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + value(p))
+
+    m2 = added(lambda p: p["m2"] + p["n"] * p["d"] * p["d"])
+    m3 = added(lambda p: p["m3"] + 3 * p["d"] * p["m2"] + p["n"] * p["d"] * p["d"] * p["d"])
+    own = made.select("step", "n", m2.alias("m2"), m3.alias("m3"))
+    power = F.lit(least) + F.lit(most - least) * F.col("step") / (steps - 1)
+    return own.select("step", power.alias("power"), F.when(F.col("m2") > 0, F.sqrt("n") * F.col("m3") / F.sqrt(F.col("m2") * F.col("m2") * F.col("m2"))).alias("skew"))
 
 
 def qq_points(df: DataFrame, column: str, *by: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import autoencoder, mixture, panel, partials, prototypes, statespace, warning
+from marlstone.sources import tables
 
 
 def frame(spark, x, names):
@@ -203,3 +204,15 @@ def test_stacking_does_not_leak(spark):
     got = scored.collect()
     assert len(got) == 50 and cv.keys() == {"heart"} and 0 <= cv["heart"] <= 1
     assert np.mean([(r.score >= 0.5) == (r.label == 1) for r in got]) > 0.6
+
+
+def test_equal_rows_weigh_as_many(spark):
+    """Prototypes learn from a table of the different rows, over several files."""
+    rng = np.random.default_rng(8)
+    x, y, times = rng.normal(size=(20, 2)), rng.integers(0, 3, 20), rng.integers(1, 5, 20)
+    w = rng.normal(size=(4, 3, 2))
+    many = prototypes.gradients(np.repeat(x, times, axis=0), np.repeat(y, times), w)
+    for a, b in zip(prototypes.gradients(x, y, w, times.astype(float)), many, strict=True):
+        assert a == pytest.approx(b)
+    df = tables.spread(spark.range(100).coalesce(1), "numbers", "id")
+    assert df.rdd.getNumPartitions() >= 4

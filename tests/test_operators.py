@@ -270,3 +270,41 @@ def test_audit_judges_near_zero_variance_by_known_values(spark):
     _, audit = clean.audited(rows, "id", "pos", ["x", "y"], {"one": [0, 1], "none": [0, 1]})
     got = {(r.step, r.column): r.value for r in audit.where("step LIKE '%variance'").collect()}
     assert got == {("near_zero_variance", "y"): pytest.approx(2 / 3000), ("zero_variance", "one"): pytest.approx(1 / 3000), ("zero_variance", "none"): pytest.approx(1 / 3000)}
+
+
+def test_powers_are_summed_by_blocks_in_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(stats, "POWER_BLOCK", 7)
+    df = spark.range(501).selectExpr("CASE WHEN id % 9 = 0 THEN 0.0D WHEN id % 50 = 1 THEN NULL ELSE id * id + 0.5D END AS v").coalesce(1)
+    own = stats.power_search(df, "v", 5)
+    want = {i: df.agg(F.skewness(F.pow("v", F.lit(0.01 + 0.99 * i / 4)))).first()[0] for i in range(5)}
+    assert {r.step: r.skew for r in own.collect()} == pytest.approx(want, rel=1e-9)
+    assert "Generate" not in own._jdf.queryExecution().optimizedPlan().toString()  # no row for each value and power
+    assert [r.skew for r in stats.power_search(spark.range(3).selectExpr("1.0D AS v"), "v", 2).collect()] == [None, None]
+
+
+def test_nearest_prototype_keeps_a_row_a_row(spark):
+    df = spark.createDataFrame([(1, 0.0), (2, 4.0), (3, 5.0), (4, None), (5, 9.0)], "id long, x double")
+    protos = spark.createDataFrame([(7, 10.0), (3, 0.0), (5, 8.0), (9, None)], "label int, x double")
+    own = segment.nearest_prototype(df, protos, "label", ["x"], "id")
+    assert {r.id: r.nearest for r in own.collect()} == {1: 3, 2: 3, 3: 5, 4: None, 5: 5}
+    assert "SortAggregate" not in own._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stratified_places_rows_within_ranges_of_the_hash(spark):
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 < 2 THEN id % 3 END AS label").unionByName(spark.createDataFrame([(7, 1), (7, 1)], "id long, label long"))
+    own = segment.stratified(df, "label", "id", 0.7)
+    order, n = "PARTITION BY label ORDER BY crc32(CAST(id AS STRING)), id", "count(*) OVER (PARTITION BY label)"
+    df.createOrReplaceTempView("dealt_rows")
+    want = spark.sql(f"SELECT id, label, row_number() OVER ({order}) <= round({n} * 0.7D) AS train FROM dealt_rows")
+    assert own.exceptAll(want).count() == 0 and want.exceptAll(own).count() == 0
+    assert "hash_range" in own._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_best_products_need_no_row_for_each_product(spark):
+    clients = spark.createDataFrame([(i, i / 10, 20.0 + 9 * i, 100.0 * i, 0.3, 0.6) for i in range(8)], "id long, risk double, age double, wealth double, p_income double, p_accumulation double")
+    products = spark.createDataFrame([(j, j % 2, j / 6) for j in range(7)], "product long, kind int, prisk double")
+    ruled = recommend.ruled(recommend.interactions(clients, products), clients).withColumn("steady", F.round("score", 9))
+    want = metrics.top_k(ruled, "id", "product", "steady", 3).select("id", "product", "rank", "score")
+    own = recommend.best_ruled(clients, products, 3)
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, want.collect()))
+    assert "Window" not in own._jdf.queryExecution().optimizedPlan().toString().split("median_wealth")[0]
