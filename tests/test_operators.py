@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import expr as E
-from marlstone.operators import backtest, clean, metrics, panel, recommend, risk, segment, stats, warning
+from marlstone.operators import backtest, cells, clean, metrics, panel, recommend, risk, segment, stats, warning
 from marlstone.sources import tables
 
 R = [0.01, -0.02, 0.03, 0.0, 0.015, -0.04, 0.02, 0.01]
@@ -308,3 +309,39 @@ def test_best_products_need_no_row_for_each_product(spark):
     own = recommend.best_ruled(clients, products, 3)
     assert sorted(map(tuple, own.collect())) == sorted(map(tuple, want.collect()))
     assert "Window" not in own._jdf.queryExecution().optimizedPlan().toString().split("median_wealth")[0]
+
+
+@pytest.mark.parametrize("group", [4000, 3])
+def test_nearest_rows_are_looked_for_in_few_cells(spark, monkeypatch, group):
+    """Ties, copies, unknown values and one value of many rows, as all pairs have them."""
+    monkeypatch.setattr(cells, "GROUP_ROWS", group)
+    monkeypatch.setattr(segment, "NEAREST_BLOCK", 8)
+    rng = np.random.default_rng(11)
+    rows = [(i, None if i % 37 == 0 else float(rng.integers(0, 12)), 0.0 if i % 4 == 0 else float(round(rng.exponential(), 2)), 3.0, None if i % 41 == 0 else "ab\u00e9"[i % 3], int(i % 2)) for i in range(300)]
+    rows += [(i + 300, *rows[50][1:]) for i in range(30)] + [(400, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, flat double, g string, h int").repartition(3)
+    span = [max(r[c] for r in rows if r[c] is not None) - min(r[c] for r in rows if r[c] is not None) for c in (1, 2)]
+
+    def distance(a, b):
+        d = sum(abs(a[c] - b[c]) / span[c - 1] if a[c] is not None and b[c] is not None else 0 for c in (1, 2))
+        return (d + sum(a[c] != b[c] and a[c] is not None and b[c] is not None for c in (4, 5))) / 5
+
+    got = {(r.q, r.id, r["rank"]) for r in segment.nearest(df.where("id % 10 = 0"), df, "id", ["x", "y", "flat"], ["g", "h"], 5).collect()}
+    asked = [q for q in rows if q[0] % 10 == 0]
+    want = {(q[0], i, n + 1) for q in asked for n, (_, i) in enumerate(sorted((round(distance(q, r), 9), r[0]) for r in rows if r[0] != q[0])[:5])}
+    assert got == want
+
+
+def test_boxes_bound_distances():
+    """No row is nearer than its cell's box, and far cells are told apart."""
+    rng = np.random.default_rng(4)
+    x, names, scale = rng.uniform(size=(2000, 2)), rng.choice(list("abc"), (2000, 1)).astype(object), np.ones(2)
+    nodes = cells.tree(x, names, scale, 20)
+    at = cells.placed(nodes, x, names)
+    frame = pd.DataFrame({"x": x[:, 0], "y": x[:, 1], "g": names[:, 0], "cell": at})
+    found = frame.groupby("cell").agg(n=("x", "size"), a_x=("x", "min"), b_x=("x", "max"), a_y=("y", "min"), b_y=("y", "max"), a_g=("g", "min"), b_g=("g", "max")).reset_index()
+    boxes = cells.Boxes(found, ["x", "y"], ["g"], scale)
+    assert 100 <= len(found) <= 300 and found["n"].max() <= 20
+    for i in range(0, 2000, 100):
+        low, d = boxes.least(x[i], names[i]), cells.compared(x[i], names[i], x, names, scale)
+        assert (d >= low[np.searchsorted(boxes.cell, at)] - 1e-12).all() and (low <= np.sort(d)[5]).mean() < 0.1
