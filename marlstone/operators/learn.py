@@ -19,10 +19,13 @@ from marlstone.sources import tables
 
 
 def vote(train: DataFrame, rows: DataFrame, label: str, columns: list[str], seed: int = 42) -> DataFrame:
-    """Adds score: the mean probability of class 1 over a forest, boosted trees, a logistic and a naive Bayes model."""
+    """Adds score: the mean probability of class 1 over a forest, boosted trees, a logistic and a naive Bayes model.
+
+    The scaled training rows are written once, dealt over all tasks: every fit passes over them many times.
+    """
     assemble = VectorAssembler(inputCols=columns, outputCol="raw_features", handleInvalid="skip")
     scale = MinMaxScaler(inputCol="raw_features", outputCol="features").fit(assemble.transform(train))
-    fit_on, own = scale.transform(assemble.transform(train)), scale.transform(assemble.transform(rows))
+    fit_on, own = tables.spread(scale.transform(assemble.transform(train)).select(label, "features"), "train"), scale.transform(assemble.transform(rows))
     models = [
         RandomForestClassifier(labelCol=label, numTrees=30, maxDepth=6, seed=seed),
         GBTClassifier(labelCol=label, maxIter=10, maxDepth=3, seed=seed),

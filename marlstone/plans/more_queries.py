@@ -121,7 +121,7 @@ def risk_weight_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_voting_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC on held-out clients of four classifiers' mean probability."""
     own = frames.clients(spark, sf_dir).withColumn("label", (F.col("n_orders") * 10 + F.col("age") + F.col("id") % 7 * 10 > 160).cast("int"))
-    dealt = segment.stratified(own, "label", "id", 0.7)
+    dealt = tables.spread(segment.stratified(tables.spread(own, "labelled", "id"), "label", "id", 0.7), "dealt", "id")
     columns = ["age", "income", "wealth", "risk", "n_orders"]
     return metrics.roc_auc(learn.vote(dealt.where("train"), dealt.where("NOT train"), "label", columns), "label", "score")
 
