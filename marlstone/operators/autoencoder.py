@@ -82,13 +82,13 @@ def train(rows: DataFrame, key: str, cells: list[str], held: list[str], width: i
     """The layers with the least loss on held-out cells, and that loss by step.
 
     rows: an integer key, cells (NULL or 0 where nothing is observed) and, for each, whether it is held out of training (0/1).
-    Each step is one job over a written frame.
+    Each step is one job over a written frame, dealt over all tasks.
     """
     n, best, waited, losses = len(cells), np.inf, 0, []
     layers = started([n, *hidden, width, *hidden[::-1], n], seed)
     weights = flat(layers)
     kept, m, v = layers, np.zeros_like(weights), np.zeros_like(weights)
-    own = tables.kept(rows.select(F.col(key).cast("double").alias(key), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cells), *(F.col(h).cast("double").alias(h) for h in held)), "cells")
+    own = tables.spread(rows.select(F.col(key).cast("double").alias(key), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cells), *(F.col(h).cast("double").alias(h) for h in held)), "cells", key)
     for step in range(1, steps + 1):
         now = layers
 
