@@ -10,7 +10,9 @@ prefixes. Texts that share a prefix shingle, directly or by way of others, form
 Families too large for one block are divided by a second condition that linked sets meet: the hash range is cut into
 a few segments more than two linked sets can have shingles of one only, so some of these segments are equal in both.
 Sets of a family that share an equal segment, directly or by way of others, stay together; those that share none
-have no links. Texts of long common passages meet in prefixes, but hardly in segments of several shingles.
+have no links. Texts of long common passages meet in prefixes, but hardly in segments of several shingles. Before that,
+sets leave a large family of which too many shingles are in no other set of such a family: a linked set shares all
+but the part 1 - t of its own. That keeps most texts that only passages tie from the division and the blocks.
 
 Inside a family the sets are joined through a prefix tree: sets in hash order are laid into a compressed trie, and
 all sets of a block are carried down it at once. The overlap with an edge is added to that of the path above, which
@@ -19,9 +21,10 @@ and of the set. Large families are dealt into blocks by size and every pair of b
 of work, so that no task holds more than two blocks. Units return links that span their classes, not all pairs.
 Components of these links are the result.
 
-Cost: four passes over the texts (classes; counts of the low part; prefixes among shared shingles; segments of large
-families) and a join of the texts that are in families. Counts combine before the shuffle, and joins on shingles,
-nodes and groups deal a heavy key into parts, so a shingle or a group of a third of all texts is no load for one task.
+Cost: three passes over the texts (classes; counts of the low part; prefixes among shared shingles), five over a copy
+of those of large families (counts and choice twice; segments) and a join of the texts that are in families. Counts
+combine before the shuffle, and joins on shingles, nodes and groups deal a heavy key into parts, so a shingle or a
+group of a third of all texts is no load for one task.
 A family of m shingles in different sets makes (m / BLOCK)**2 / 2 units.
 """
 
@@ -29,7 +32,7 @@ from __future__ import annotations
 
 import math
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,10 +52,12 @@ LIGHTEST = 300
 PROBES = 64
 #: Bits of the table that keeps the texts of no family from being shuffled; of one size for any corpus.
 BITS = 1 << 23
-#: Bits of the table that keeps shingles of one set only out of the shuffle; of one size for any corpus.
-SHARED_BITS = 1 << 26
+#: Bits of the table that keeps shingles of one set only out of the shuffle: 8 for each shared shingle, within these bounds.
+SHARED_BITS, MOST_BITS = 1 << 26, 1 << 29
 #: Part of the hash range that is ordered by rarity, in lengths of a prefix.
 REGION = 1.6
+#: Parts of the hash range in which the shingles of large families are counted, one after the other, the last for what is left.
+COUNTED = (0.6, 1.0)
 #: Ratio between the bounds of size classes, in which segments are equal for both sets of a pair.
 RATIO = 1.5
 #: Segments more than needed, so that one that is equal and not empty is certain but for sets with more empty ones.
@@ -191,7 +196,7 @@ def _candidates(docs: DataFrame, k: int, permille: int, table=None) -> DataFrame
 
 
 class BitTable:
-    """Bits of hashes; one size for any corpus, so it may hold more than was put in."""
+    """Bits of hashes; of bounded size for any corpus, so it may hold more than was put in."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
@@ -218,13 +223,18 @@ def bit_table(keys: DataFrame, name: str, size: int) -> BitTable:
     return BitTable(table.reshape(-1))
 
 
+def bits_for(n: int) -> int:
+    """Bits of a table of n shingles: a power of two of 8 n at least, from SHARED_BITS to MOST_BITS."""
+    return min(MOST_BITS, max(SHARED_BITS, 1 << (8 * n).bit_length()))
+
+
 def _families(docs: DataFrame, k: int, permille: int) -> DataFrame:
     """node, component: classes that share prefix shingles, and the family they belong to."""
     spark = docs.sparkSession
     # copies in several tasks count more than once: df orders the shingles, and is the same for all sets
     counted = _candidates(docs, k, permille).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("cls").alias("least"), F.max("cls").alias("most"))
     shared = written(counted.where("least < most").select("token", "df", "least"), "shared")
-    table = spark.sparkContext.broadcast(bit_table(shared, "token", SHARED_BITS))
+    table = spark.sparkContext.broadcast(bit_table(shared, "token", bits_for(shared.count())))
     rows = _candidates(docs, k, permille, table)
     found = spread_join(rows, shared.withColumn("n", F.col("df")), ["token"], "n", F.xxhash64("cls"))
     # one row of each class and shingle, whatever the number of tasks that met a copy of the class
@@ -238,25 +248,73 @@ def _families(docs: DataFrame, k: int, permille: int) -> DataFrame:
     return written(connected_components(edges, "cls", "least"), "families")
 
 
-def _divided(docs: DataFrame, members: DataFrame, k: int, permille: int) -> DataFrame:
-    """family, cls of the members (family, cls) that share a segment with others of their family, in smaller families."""
-    held = docs.sparkSession.sparkContext.broadcast(bit_table(members, "cls", BITS))
+def _maybe_among(ids: DataFrame, name: str) -> F.Column:
+    """False only for values of a long column that are not in ids: a table of BITS bits, sent to every task."""
+    held = ids.sparkSession.sparkContext.broadcast(bit_table(ids, name, BITS))
+
+    @F.pandas_udf("boolean")
+    def is_set(value: pd.Series) -> pd.Series:
+        return pd.Series(held.value.has(value.to_numpy(dtype=np.int64).view(np.uint64)))
+
+    return is_set(F.coalesce(F.col(name), F.lit(0)))
+
+
+def _each_once(held: DataFrame, members: DataFrame, k: int, name: str, give: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Rows of the members' sets: a column `name` of what `give` makes of a set, and cls. Copies give theirs once a task.
+
+    A few sets that are not members may come along.
+    """
+    among = held.sparkSession.sparkContext.broadcast(bit_table(members, "cls", BITS))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: OrderedDict[int, None] = OrderedDict()
         for batch in batches:
             keys, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for _, own in _sets(batch.column(0), k):
-                if not len(own) or (cls := set_hash(own)) in given or not held.value.has(np.array([cls]).view(np.uint64))[0]:
+                if not len(own) or (cls := set_hash(own)) in given or not among.value.has(np.array([cls]).view(np.uint64))[0]:
                     continue
                 given[cls] = None
                 if len(given) > REMEMBERED:
                     given.popitem(last=False)
-                keys.append(segment_keys(own, permille))
+                keys.append(give(own))
                 classes.append(np.full(len(keys[-1]), cls))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes))], names=["key", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes))], names=[name, "cls"])
+
+    return held.select("text").mapInArrow(cut, f"{name} long, cls long")
+
+
+def counted_part(own: np.ndarray, part: float) -> np.ndarray:
+    """The set's shingles in so large a part of the hash range, from 0 on."""
+    return own if part >= 1 else own[: int(np.searchsorted(own, np.uint64(int(part * (1 << 64)))))]
 
-    keyed = written(docs.select("text").mapInArrow(cut, "key long, cls long").join(members, "cls").select("family", "key", "cls"), "segments")
+
+def may_link(own: np.ndarray, common: BitTable, permille: int, part: float = 1.0) -> bool:
+    """False only for sets without links: more of their counted shingles are in no other set than a link leaves over."""
+    some = counted_part(own, part)
+    return 1000 * (len(some) - int(common.has(some).sum())) <= (1000 - permille) * len(own)
+
+
+def _that_may_link(held: DataFrame, members: DataFrame, k: int, permille: int, part: float) -> DataFrame:
+    """The members (cls and other columns) but those that may_link() rules out, with what two or more members have as common."""
+    tokens = _each_once(held, members, k, "token", lambda own: counted_part(own, part))
+    counted = tokens.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most"))
+    common = written(counted.where("least < most").select("token"), "common")
+    table = held.sparkSession.sparkContext.broadcast(bit_table(common, "token", bits_for(common.count())))
+    left = _each_once(held, members, k, "token", lambda own: own[:1] if may_link(own, table.value, permille, part) else own[:0])
+    return written(members.join(left.select("cls").distinct(), "cls", "left_semi"), "left")
+
+
+def _divided(docs: DataFrame, members: DataFrame, k: int, permille: int) -> DataFrame:
+    """family, cls of the members (family, cls, row) that share a segment with others of their family, in smaller families.
+
+    Members with too many shingles of their own to link with any other leave first.
+    """
+    rows = docs.select("text", row_key().alias("row")).where(_maybe_among(members, "row"))
+    held = written(rows.select("text"), "held")
+    for part in COUNTED:
+        members = _that_may_link(held, members, k, permille, part)
+    keys = _each_once(held, members, k, "key", lambda own: segment_keys(own, permille))
+    keyed = written(keys.join(members, "cls").select("family", "key", "cls"), "segments")
     shared = keyed.groupBy("family", "key").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
     edges = spread_join(keyed, written(shared, "shared"), ["family", "key"], "n", F.xxhash64("cls")).where("cls <> least").select("cls", "least").distinct()
     return connected_components(edges, "cls", "least").select(F.col("component").alias("family"), F.col("node").alias("cls"))
@@ -268,7 +326,7 @@ def _members(docs: DataFrame, classes: DataFrame, k: int, permille: int) -> Data
     families = _families(docs, k, permille).select(F.col("component").alias("family"), F.col("node").alias("cls"))
     sized = written(families.join(classes, "cls"), "sized")
     heavy = sized.groupBy("family").agg(weight.alias("weight")).where(F.col("weight") > BLOCK).select("family")
-    large = written(sized.join(heavy, "family", "left_semi").select("family", "cls"), "large")
+    large = written(sized.join(heavy, "family", "left_semi").select("family", "cls", "row"), "large")
     small = sized.join(heavy, "family", "left_anti")
     divided = _divided(docs, large, k, permille).join(classes, "cls").select(*small.columns)
     bucket = F.floor(F.log(BUCKET, "n_shingles")).cast("int")
@@ -371,17 +429,6 @@ def _spanning(sets: list[np.ndarray], classes: list[int], side: list[int], permi
     return links
 
 
-def _maybe_among(ids: DataFrame, name: str) -> F.Column:
-    """False only for values of a long column that are not in ids: a table of BITS bits, sent to every task."""
-    held = ids.sparkSession.sparkContext.broadcast(bit_table(ids, name, BITS))
-
-    @F.pandas_udf("boolean")
-    def is_set(value: pd.Series) -> pd.Series:
-        return pd.Series(held.value.has(value.to_numpy(dtype=np.int64).view(np.uint64)))
-
-    return is_set(F.coalesce(F.col(name), F.lit(0)))
-
-
 def _links(docs: DataFrame, members: DataFrame, k: int, permille: int) -> DataFrame:
     """a, b: links that span the classes of each family. members: family, block, cls, row, n_shingles."""
     bounds = members.groupBy("family", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))

@@ -107,6 +107,63 @@ def test_ngram_join_with_small_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 5, 800)
 
 
+def test_ngram_join_drops_texts_of_passages_from_large_families(spark, monkeypatch):
+    """What reaches the blocks of a large family follows its near copies, not the texts that passages tie."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 2000)
+    rng = random.Random(4)
+    passages = [[f"p{n}x{i}" for i in range(30)] for n in range(4)]
+    rows = []
+    for i in range(60):
+        own = [f"x{rng.randrange(10**6)}" for _ in range(50)]
+        rows.append((i, " ".join(sum((own[10 * n : 10 * n + 10] + p for n, p in enumerate(passages)), []) + own[40:])))
+        if i % 10 == 0:
+            rows.append((1000 + i, rows[-1][1] + " " + " ".join(f"y{rng.randrange(10**6)}" for _ in range(i // 5 + 1))))
+    docs = frame(spark, rows, extra=False)
+    known = ngram_join._identities(docs, 5)
+    classes = known.groupBy("cls").agg(F.min("row").alias("row"), F.min("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"))
+    members = ngram_join._members(docs, classes.drop("doc_id"), 5, 800)
+    near = {i for j in range(0, 60, 10) for i in (j, 1000 + j)}
+    parts = list(brute_components(rows, 5, 800).values())
+    assert near == {i for i, (_, c) in brute_components(rows, 5, 800).items() if sum(c == d for _, d in parts) > 1}
+    assert {r.doc_id for r in members.join(classes, "cls").collect()} == near
+
+
+def test_may_link_keeps_sets_with_just_enough_common_shingles():
+    own = np.sort(np.random.default_rng(3).integers(0, 1 << 64, 50, dtype=np.uint64))
+
+    class Common:
+        def __init__(self, n):
+            self.n = n
+
+        def has(self, x):
+            return np.isin(x, own[: self.n])
+
+    assert ngram_join.may_link(own, Common(40), 800) and not ngram_join.may_link(own, Common(39), 800)
+    assert len(ngram_join.counted_part(own, 0.6)) == (own < 0.6 * 2**64).sum() and len(ngram_join.counted_part(own, 1.0)) == 50
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    """The shuffle files of a written table go with its writing, whatever the driver's garbage collector does."""
+    import time
+
+    from marlstone.llm.session import written
+
+    def shuffle_files():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for i in range(files.size()) if (f := files.apply(i).getName()).startswith("shuffle_")}
+
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffle_files(), spark.conf.get(conf)
+    query = spark.range(10_000).groupBy((F.col("id") % 97).alias("k")).count()  # its plan, and so its shuffle, lives on in this name
+    assert written(query, "counts").count() == 97
+    for _ in range(50):
+        left = {f.split("_")[1] for f in shuffle_files() - before}
+        if len(left) <= 1:  # that of count() above
+            break
+        time.sleep(0.1)
+    assert len(left) <= 1 and spark.conf.get(conf) == setting
+
+
 def null_and_repeated_ids():
     """Rows; texts of the first three, of which one stays; the other rows that stay."""
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
